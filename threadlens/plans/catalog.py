@@ -56,11 +56,11 @@ comments_t AS (SELECT c.*, d.text AS body FROM comments c
 
 FLAG_CTES = """
 fbase AS (SELECT src_id AS id, author AS username, 'post' AS interaction_type, subreddit,
-                 post_id, CAST(NULL AS VARCHAR) AS parent_id, created_utc, CAST(score AS INTEGER) AS score
+                 post_id, CAST(NULL AS VARCHAR) AS parent_id, created_utc, CAST(trunc(score) AS INTEGER) AS score
           FROM posts
           UNION ALL
           SELECT comment_id, author, 'comment', src_type, post_id, parent_id, created_utc,
-                 CAST(score AS INTEGER) FROM comments),
+                 CAST(trunc(score) AS INTEGER) FROM comments),
 flagged AS (SELECT * FROM fbase
             UNION ALL
             SELECT id + 1000000000, username, interaction_type, subreddit, post_id, parent_id,
