@@ -67,17 +67,18 @@ def _map(d: Mapping[str, float]) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
 
 
-def compound(text: Column | str, lexicon: Mapping[str, float] | None = None) -> Column:
-    """Compound score in [-1, 1] per text (0 when no lexicon word occurs)."""
-    lex = _map(lexicon or LEXICON)
+def _score(toks: Column, t: Column, lexicon: Mapping[str, float]) -> Column:
+    lex = _map(lexicon)
+    keys = list(lexicon)
     boost = _map(BOOSTERS)
-    negs = F.array(*[F.lit(w) for w in NEGATIONS])
-    t = F.col(text) if isinstance(text, str) else text
-    toks = tokens(t)
     but_pos = F.array_position(toks, "but") - 1  # 0-based, -1 when absent
 
     def val(tok, i):
-        v0 = F.coalesce(F.try_element_at(lex, tok), F.lit(0.0))
+        # Only lexicon words get a valence; the membership test is an IN list,
+        # which the optimizer turns into a hash-set probe (InSet), so a
+        # non-lexicon token costs one lookup. Each adjustment is a factor in a
+        # linear chain, keeping the expression small.
+        v0 = F.element_at(lex, tok)
         sgn = F.when(v0 < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
         v = v0
         for d, damp in enumerate(BOOST_DAMPING, start=1):
@@ -85,11 +86,11 @@ def compound(text: Column | str, lexicon: Mapping[str, float] | None = None) ->
             v = v + sgn * b * F.lit(damp)
         negated = F.lit(False)
         for d in (1, 2, 3):
-            negated = negated | F.coalesce(F.array_contains(negs, F.get(toks, i - d)), F.lit(False))
-        v = F.when(negated, v * F.lit(NEGATION_SCALAR)).otherwise(v)
-        v = (F.when(but_pos < 0, v).when(i < but_pos, v * F.lit(BUT_BEFORE))
-             .when(i > but_pos, v * F.lit(BUT_AFTER)).otherwise(v))
-        return F.when(v0 == 0, F.lit(0.0)).otherwise(v)
+            negated = negated | F.coalesce(F.get(toks, i - d).isin(*NEGATIONS), F.lit(False))
+        neg_f = F.when(negated, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
+        but_f = (F.when(but_pos < 0, F.lit(1.0)).when(i < but_pos, F.lit(BUT_BEFORE))
+                 .when(i > but_pos, F.lit(BUT_AFTER)).otherwise(F.lit(1.0)))
+        return F.when(tok.isin(*keys), v * neg_f * but_f).otherwise(F.lit(0.0))
 
     s = F.aggregate(F.transform(toks, val), F.lit(0.0), lambda acc, x: acc + x)
     bangs = F.least(F.length(t) - F.length(F.regexp_replace(t, "!", "")), F.lit(EXCLAIM_MAX))
@@ -98,6 +99,24 @@ def compound(text: Column | str, lexicon: Mapping[str, float] | None = None) ->
     return r6(s / F.sqrt(s * s + F.lit(ALPHA)))
 
 
+def with_compound(df, text: str, out: str = "compound",
+                  lexicon: Mapping[str, float] | None = None):
+    """Add the compound score of ``text`` as column ``out``.
+
+    The token array is projected once as its own column, so the per-token
+    look-backs index a materialised array instead of re-splitting the text.
+    """
+    x = df.withColumn("_toks", tokens(text))
+    return x.withColumn(out, _score(F.col("_toks"), F.col(text), lexicon or LEXICON)).drop("_toks")
+
+
+def compound(text: Column | str, lexicon: Mapping[str, float] | None = None) -> Column:
+    """Compound score as a single expression (prefer :func:`with_compound` on
+    long texts: here the token array is recomputed inside the look-backs)."""
+    t = F.col(text) if isinstance(text, str) else text
+    return _score(tokens(t), t, lexicon or LEXICON)
+
+
 def sentiment_sql(src: str, id_col: str, text_col: str) -> str:
     """The same rules as DuckDB SQL over ``src`` (rows of id, text): tokens as
     rows with their position, neighbours by ``lag``. Returns CTE text defining
