@@ -39,8 +39,9 @@ def user_posts(inter: DataFrame) -> DataFrame:
 
 
 def shared_thread_pairs(up: DataFrame, min_shared: int = 2,
-                        chunk_users: int = DEFAULT.pair_chunk_users) -> DataFrame:
-    """C2 + D4: pairs (user1 < user2) sharing at least ``min_shared`` threads.
+                        chunk_users: int = DEFAULT.pair_chunk_users, keys: Sequence[str] = ()) -> DataFrame:
+    """C2 + D4: pairs (user1 < user2) sharing at least ``min_shared`` threads,
+    per value of ``keys`` (e.g. per week) when given.
 
     Same result as the self join ``up1.post_id = up2.post_id AND up1.u < up2.u``
     grouped by pair, with three changes for scale:
@@ -56,28 +57,34 @@ def shared_thread_pairs(up: DataFrame, min_shared: int = 2,
     * The pair count is aggregated partially inside the join stage, so only
       distinct pairs per task reach the shuffle.
     """
+    keys = list(keys)
     if min_shared > 1:
-        active = (up.groupBy("username").agg(F.count(F.lit(1)).alias("n_threads"))
-                  .filter(F.col("n_threads") >= min_shared).select("username"))
-        up = up.join(active, "username", "left_semi")
-    deg = (up.groupBy("post_id").agg(F.count(F.lit(1)).alias("deg"))
+        active = (up.groupBy(*keys, "username").agg(F.count(F.lit(1)).alias("n_threads"))
+                  .filter(F.col("n_threads") >= min_shared).select(*keys, "username"))
+        up = up.join(active, keys + ["username"], "left_semi")
+    deg = (up.groupBy(*keys, "post_id").agg(F.count(F.lit(1)).alias("deg"))
            .filter(F.col("deg") >= 2))
-    up = up.join(deg, "post_id", "inner")
+    up = up.join(deg, keys + ["post_id"], "inner")
     nch = F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(chunk_users))).cast("int")
     up = up.withColumn("nch", nch).withColumn(
         "ch", F.pmod(F.xxhash64("username"), F.col("nch")).cast("int"))
-    left = up.select("post_id", F.col("username").alias("u"), F.col("ch").alias("c1"),
+    left = up.select(*keys, "post_id", F.col("username").alias("u"), F.col("ch").alias("c1"),
                      F.explode(F.sequence(F.col("ch"), F.col("nch") - 1)).alias("c2"))
-    right = up.select("post_id", F.col("username").alias("v"), F.col("ch").alias("c2"),
+    right = up.select(*keys, "post_id", F.col("username").alias("v"), F.col("ch").alias("c2"),
                       F.explode(F.sequence(F.lit(0), F.col("ch"))).alias("c1"))
-    cand = (left.join(right, ["post_id", "c1", "c2"], "inner")
+    cand = (left.join(right, keys + ["post_id", "c1", "c2"], "inner")
             .filter((F.col("c1") < F.col("c2")) | (F.col("u") < F.col("v"))))
-    pairs = cand.select(F.least("u", "v").alias("user1"), F.greatest("u", "v").alias("user2"))
-    return (pairs.groupBy("user1", "user2")
+    pairs = cand.select(*keys, F.least("u", "v").alias("user1"), F.greatest("u", "v").alias("user2"))
+    return (pairs.groupBy(*keys, "user1", "user2")
             .agg(F.count(F.lit(1)).alias("shared_interactions"))
             .filter(F.col("shared_interactions") >= min_shared))
 
 
+def keyed_shared_thread_pairs(up: DataFrame, key: str, min_shared: int = 2) -> DataFrame:
+    """Pairs per value of ``key`` (J18 windows): (key, user1, user2, shared)."""
+    return shared_thread_pairs(up, min_shared, keys=[key])
+
+
 def find_user_pairs(forum: Forum, start, end, communities=None, min_shared: int = 2,
                     clean_authors: bool = False, params: Params = DEFAULT) -> DataFrame:
     """J1 (clean_authors=False) and J2 (True)."""
@@ -134,3 +141,121 @@ def scale_nodes(nodes: DataFrame, col: str = "user_score") -> DataFrame:
     size = (F.lit(10.0) + F.col(col) / F.lit(hi) * F.lit(40.0)) if hi > 0 else F.lit(10.0)
     return (nodes.withColumn("scaled_score", (F.col(col) - F.lit(lo)) / F.lit(den))
             .withColumn("node_size", size))
+
+
+# ------------------------------------------------------------ flagged graph
+def bipartite_edges(inter: DataFrame) -> DataFrame:
+    """user–thread edges from comment interactions; duplicates collapse."""
+    return inter.filter(F.col("interaction_type") == "comment").select("username", "post_id").distinct()
+
+
+def bipartite_nodes(inter: DataFrame) -> DataFrame:
+    """J6 nodes: users (label = name) and threads (label = the thread's author
+    from its earliest 'post' interaction, else its earliest commenter)."""
+    e = bipartite_edges(inter)
+    users = e.select(F.col("username").alias("node")).distinct().select(
+        "node", F.lit("user").alias("node_type"), F.col("node").alias("label"))
+    pl = (inter.filter(F.col("interaction_type") == "post").groupBy("post_id")
+          .agg(F.min_by("username", "id").alias("author")))
+    cl = (inter.filter(F.col("interaction_type") == "comment").groupBy("post_id")
+          .agg(F.min_by("username", "id").alias("first_commenter")))
+    posts = (e.select("post_id").distinct().join(pl, "post_id", "left").join(cl, "post_id", "left")
+             .select(F.col("post_id").cast("string").alias("node"), F.lit("post").alias("node_type"),
+                     F.coalesce("author", "first_commenter").alias("label")))
+    return users.unionByName(posts)
+
+
+def degree_centrality(edges: DataFrame) -> DataFrame:
+    """Degree, weighted degree and degree / (n − 1)."""
+    from threadlens.functions.numeric import r6
+    ends = (edges.select(F.col("user1").alias("username"), "weight")
+            .unionByName(edges.select(F.col("user2").alias("username"), "weight")))
+    d = ends.groupBy("username").agg(F.count(F.lit(1)).alias("degree"),
+                                      F.sum("weight").cast("bigint").alias("weighted_degree"))
+    n = d.count()
+    cen = r6(F.col("degree") / F.lit(float(n - 1))) if n > 1 else F.lit(None).cast("double")
+    return d.withColumn("degree_centrality", cen)
+
+
+def reply_edges(rep: DataFrame) -> DataFrame:
+    """C13 → distinct directed reply edges (src replied to dst), no self replies."""
+    p = rep.select(F.col("msg_id").alias("parent_msg_id"), F.col("author").alias("dst"))
+    return (rep.join(p, "parent_msg_id").select(F.col("author").alias("src"), "dst")
+            .filter(F.col("src") != F.col("dst")).distinct())
+
+
+def reciprocity(d: DataFrame) -> DataFrame:
+    """Share of directed edges whose reverse edge also exists."""
+    from threadlens.functions.numeric import r6
+    rev = d.select(F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("m", F.lit(1))
+    x = d.join(rev, ["src", "dst"], "left")
+    return x.agg(F.count(F.lit(1)).alias("directed_edges"),
+                 F.sum(F.coalesce("m", F.lit(0))).cast("bigint").alias("mutual_edges")).withColumn(
+        "reciprocity", r6(F.col("mutual_edges") / F.col("directed_edges")))
+
+
+def intra_inter(forum: Forum, clusters: DataFrame) -> DataFrame:
+    """Per day, replies (comments) inside vs across the clusters of the
+    commenter and of the thread author."""
+    cc = clusters.select(F.col("username").alias("author"), F.col("cluster").alias("c_cluster"))
+    pc = clusters.select(F.col("username").alias("p_author"), F.col("cluster").alias("p_cluster"))
+    x = (forum.comments.select("post_id", "author", "created_utc")
+         .join(forum.posts.select("post_id", F.col("author").alias("p_author")), "post_id")
+         .join(cc, "author").join(pc, "p_author"))
+    same = (F.col("c_cluster") == F.col("p_cluster"))
+    return x.groupBy(F.window("created_utc", "1 day").start.alias("day")).agg(
+        F.sum(same.cast("int")).cast("bigint").alias("intra_cluster"),
+        F.sum((~same).cast("int")).cast("bigint").alias("inter_cluster"))
+
+
+def community_growth(acts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Members joining each cluster per day (first activity), running
+    size and day-over-day change."""
+    from pyspark.sql import Window
+    x = acts.join(clusters.withColumnRenamed("username", "author"), "author")
+    fs = x.groupBy("cluster", "author").agg(F.min(F.window("created_utc", "1 day").start).alias("day"))
+    g = fs.groupBy("cluster", "day").agg(F.count(F.lit(1)).alias("new_members"))
+    w = Window.partitionBy("cluster").orderBy("day")
+    return (g.withColumn("size", F.sum("new_members").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("change", F.col("new_members") - F.lag("new_members").over(w)))
+
+
+def cluster_stability(members: DataFrame, window: str, step_days: int) -> DataFrame:
+    """For each (window, cluster), the cluster of the next window with the
+    highest member Jaccard (ties → smallest id)."""
+    from threadlens.functions.numeric import r6
+    sz = members.groupBy(window, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    nxt = members.select((F.col(window) - F.make_dt_interval(days=F.lit(step_days))).alias(window),
+                         F.col("cluster").alias("next_cluster"), "author")
+    ov = members.join(nxt, [window, "author"]).groupBy(window, "cluster", "next_cluster").agg(
+        F.count(F.lit(1)).alias("inter"))
+    s2 = sz.select((F.col(window) - F.make_dt_interval(days=F.lit(step_days))).alias(window),
+                   F.col("cluster").alias("next_cluster"), F.col("n").alias("n2"))
+    j = ov.join(sz, [window, "cluster"]).join(s2, [window, "next_cluster"]).withColumn(
+        "jac", F.col("inter") / (F.col("n") + F.col("n2") - F.col("inter")))
+    return j.groupBy(F.col(window).alias("week"), "cluster").agg(
+        F.min_by("next_cluster", F.struct(-F.col("jac"), F.col("next_cluster"))).alias("best_match"),
+        r6(F.max("jac")).alias("jaccard"))
+
+
+def top_fraction_posts(forum: Forum, frac: float) -> DataFrame:
+    """the first ceil(frac·N) threads by comment count (desc), ties by id.
+
+    No global window: the cut-off count and, inside the tied group, the cut-off
+    id are found by exact rank selection (bucketed counting), then the threads
+    are kept by a plain filter."""
+    import math
+
+    from threadlens.operators.quantiles import value_at_rank
+    cnt = forum.comments.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
+    pe = forum.posts.select("post_id").join(cnt, "post_id", "left").fillna(0, subset=["n"])
+    total = pe.count()
+    k = int(math.ceil(frac * total))
+    if k <= 0:
+        return pe.limit(0)
+    v = value_at_rank(pe, "n", total - k)     # rank k-1 from the top
+    above = pe.filter(F.col("n") > F.lit(v))
+    need = k - above.count()
+    ties = pe.filter(F.col("n") == F.lit(v))
+    idcut = value_at_rank(ties, "post_id", need - 1)
+    return above.unionByName(ties.filter(F.col("post_id") <= F.lit(idcut)))

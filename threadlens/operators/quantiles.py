@@ -79,3 +79,38 @@ def scalar_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[fl
     if r is None:
         return [None] * len(probs)
     return [r[f"q{i}"] for i in range(len(probs))]
+
+
+def value_at_rank(df: DataFrame, col: str, rank: int, buckets: int = 1024, small: int = 100_000):
+    """The value with 0-based ``rank`` in ascending order of ``col`` (exact).
+
+    Counts per equal-width bucket (one aggregation, ≤ ``buckets`` rows to the
+    driver) locate the bucket holding the rank; the search narrows to that
+    bucket until it holds at most ``small`` rows, whose distinct values are
+    then counted and scanned in order."""
+    x = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    st = x.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi, n = st["lo"], st["hi"], st["n"]
+    if not n or rank < 0 or rank >= n:
+        return None
+    while True:
+        if lo == hi:
+            return lo
+        if n <= small:
+            run = 0
+            for r in (x.groupBy("_v").agg(F.count(F.lit(1)).alias("_m")).orderBy("_v").collect()):
+                run += r["_m"]
+                if rank < run:
+                    return r["_v"]
+        w = (hi - lo) / buckets
+        b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(w)), F.lit(buckets - 1)).cast("int")
+        rows = (x.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"),
+                                             F.max("_v").alias("_hi")).orderBy("_b").collect())
+        acc = 0
+        for r in rows:
+            if rank < acc + r["_c"]:
+                rank -= acc
+                x = x.filter(b == r["_b"])
+                lo, hi, n = r["_lo"], r["_hi"], r["_c"]
+                break
+            acc += r["_c"]
