@@ -25,9 +25,13 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, buckets: int = 1024) -> DataFrame:
+                    names: Sequence[str] | None = None, buckets: int = 1024,
+                    materialize: bool = True) -> DataFrame:
     """One row per group: keys..., n, and one column per probability.
-    NULL values are ignored (groups with only NULLs are absent)."""
+    NULL values are ignored (groups with only NULLs are absent). The (keys,
+    value) projection is read three times; with ``materialize`` it is written
+    once to the shared checkpoint folder so an expensive upstream plan
+    (joins, text scoring) runs once."""
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     if not keys:
@@ -36,6 +40,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     else:
         gk = keys
     x = df.select(*gk, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if materialize:
+        from threadlens.session import cut_lineage
+        x = cut_lineage(x)
     st = x.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
                             F.max("_v").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
@@ -75,7 +82,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
 
 def scalar_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
     """Whole-column exact quantiles read back as Python floats (one row)."""
-    r = exact_quantiles(df, [], col, probs).first()
+    r = exact_quantiles(df, [], col, probs, materialize=False).first()
     if r is None:
         return [None] * len(probs)
     return [r[f"q{i}"] for i in range(len(probs))]
