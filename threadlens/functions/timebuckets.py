@@ -22,7 +22,8 @@ FIXED_SECONDS = {"1 second": 1, "1 minute": 60, "5 minutes": 300, "1 hour": 3600
                  "1 day": 86400}
 
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch_col():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def bucket(ts: str | Column, freq: str) -> Column:
@@ -31,8 +32,8 @@ def bucket(ts: str | Column, freq: str) -> Column:
         # floor(seconds since epoch / width) * width, all on timestamp_ntz: no
         # time-zone conversion and usable several times in one projection.
         w = FIXED_SECONDS[FIXED[freq]]
-        secs = F.floor(F.timestamp_diff("SECOND", _EPOCH, c) / F.lit(w)) * F.lit(w)
-        return F.timestamp_add("SECOND", secs, _EPOCH)
+        secs = F.floor(F.timestamp_diff("SECOND", _epoch_col(), c) / F.lit(w)) * F.lit(w)
+        return F.timestamp_add("SECOND", secs, _epoch_col())
     d = F.to_date(c)
     if freq in ("W", "1W", "W-SUN"):
         return F.next_day(F.date_sub(d, 1), "Sun").cast("timestamp_ntz")

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from threadlens.functions.numeric import r6
 from threadlens.functions.timebuckets import bucket, n_buckets, nth_label
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def epoch_col():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def epoch_seconds(col: str) -> F.Column:
     """Seconds since 1970-01-01 of a timestamp_ntz column (double, µs precision)."""
-    return F.timestamp_diff("MICROSECOND", EPOCH, F.col(col)) / F.lit(1e6)
+    return F.timestamp_diff("MICROSECOND", epoch_col(), F.col(col)) / F.lit(1e6)
 
 
 # ------------------------------------------------------------- D7 / D8 / D9
@@ -53,12 +54,12 @@ def keyed_zero_filled_counts(df: DataFrame, key: str, ts: str, freq: str, name:
     if freq not in FIXED:
         raise ValueError("per-key spines use fixed-width buckets")
     w = FIXED_SECONDS[FIXED[freq]]
-    b = df.withColumn("bi", F.floor(F.timestamp_diff("SECOND", EPOCH, F.col(ts)) / F.lit(w)))
+    b = df.withColumn("bi", F.floor(F.timestamp_diff("SECOND", epoch_col(), F.col(ts)) / F.lit(w)))
     counts = b.groupBy(key, "bi").agg(F.count(F.lit(1)).alias(name))
     rng = counts.groupBy(key).agg(F.min("bi").alias("lo"), F.max("bi").alias("hi"))
     sp = rng.select(key, F.explode(F.sequence("lo", "hi")).alias("bi"))
     out = sp.join(counts, [key, "bi"], "left").fillna(0, subset=[name])
-    return out.select(key, F.timestamp_add("SECOND", F.col("bi") * F.lit(w), EPOCH).alias("bucket"), name)
+    return out.select(key, F.timestamp_add("SECOND", F.col("bi") * F.lit(w), epoch_col()).alias("bucket"), name)
 
 
 def bucket_counts(df: DataFrame, ts: str, freq: str, by: str, name: str = "n") -> DataFrame:
@@ -255,7 +256,7 @@ def max_in_lookback(df: DataFrame, key: str, ts: str, seconds: int = 60,
     partitions; each chunk also receives the previous chunk's last ``seconds``
     as a halo, so every look-back is complete inside one bounded partition."""
     us = 1_000_000
-    e = df.select(key, F.timestamp_diff("MICROSECOND", EPOCH, F.col(ts)).alias("_t"))
+    e = df.select(key, F.timestamp_diff("MICROSECOND", epoch_col(), F.col(ts)).alias("_t"))
     e = e.withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_seconds * us)))
     halo = (e.filter(F.col("_t") >= (F.col("_c") + 1) * F.lit(chunk_seconds * us) - F.lit(seconds * us))
             .withColumn("_c", F.col("_c") + 1).withColumn("_h", F.lit(1)))

@@ -13,7 +13,8 @@ from threadlens.sources.lists import DATA_DIR, community_list, flagged_users
 from threadlens.sources.roles import (flagged_interactions, forum_from_events, forum_from_orders,
                                       forum_with_text, read_table, replies)
 
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def epoch_col():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _raw_posts(spark, sf_dir):
@@ -23,7 +24,7 @@ def _raw_posts(spark, sf_dir):
                     F.when(F.col("event_type") != "error", F.col("user_id").cast("string")).alias("author"),
                     F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("selftext"),
                     F.lit(None).cast("string").alias("url"),
-                    (F.timestamp_diff("MICROSECOND", EPOCH, F.col("ts")) / F.lit(1e6)).alias("created_utc"),
+                    (F.timestamp_diff("MICROSECOND", epoch_col(), F.col("ts")) / F.lit(1e6)).alias("created_utc"),
                     F.col("value").alias("score"), F.lit(0).alias("num_comments"),
                     F.get_json_object("props", "$.k").alias("link_flair_text"))
 

@@ -150,8 +150,7 @@ def i7_keyword_repetition(spark, sf_dir):
 
 
 def _stop_words():
-    from pyspark.ml.feature import StopWordsRemover
-    return [w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha() and w.islower()]
+    return list(T.STOP_WORDS)
 
 
 def _top_tokens_sql():
