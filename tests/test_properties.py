@@ -179,7 +179,22 @@ def test_near_duplicates_equal_brute_force(spark):
         if i % 10 == 0:
             docs.append((200 + i, " ".join(base)))                # exact copy
     df = spark.createDataFrame(docs, "id int, text string")
-    got = {(r.id_a, r.id_b) for r in near_duplicates(df, "id", "text", threshold=0.8).collect()}
+    rows = near_duplicates(df, "id", "text", threshold=0.8).collect()
+    rep = {}
+    for r in rows:
+        if r.kind == "copy":
+            rep[r.id_b] = r.id_a
+    groups = {}
+    for i in {r.id for r in df.select("id").collect()}:
+        groups.setdefault(rep.get(i, i), []).append(i)
+    got = set()
+    for members in groups.values():
+        got |= {(min(a, b), max(a, b)) for a in members for b in members if a < b}
+    for r in rows:
+        if r.kind == "near":
+            for a in groups[r.id_a]:
+                for b in groups[r.id_b]:
+                    got.add((min(a, b), max(a, b)))
     toks = {r.id: set(r.t) for r in df.select("id", clean_tokens("text").alias("t")).collect()}
     want = set()
     ids = sorted(toks)
@@ -222,3 +237,67 @@ def test_range_guard():
     with pytest.raises(ValueError):
         check_range("2024-01-01", "2024-03-01", max_days=30)
     check_range("2024-01-01", "2024-01-30", max_days=30)
+
+
+def test_extrema_with_distance_greedy(spark):
+    from threadlens.operators.timeseries import extrema_with_distance, local_extrema
+    x = [0, 5, 0, 3, 0, 4, 0, 0, 6, 0, 1, 0, 2, 0]
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(base + dt.timedelta(days=i), v) for i, v in enumerate(x)],
+                               "day timestamp_ntz, n int")
+    m = local_extrema(df, "day", "n")
+    out = sorted(extrema_with_distance(m, "day", "n", (), 4).collect(), key=lambda r: r.day)
+    peaks = [i for i, r in enumerate(out) if r.is_peak_distance == 1]
+    # highest first: 8 (6), then 1 (5), 5 (4) is within 4 of 8 → dropped, 3 within 4 of 1, 12 kept
+    assert peaks == [1, 8, 12]
+
+
+def test_closeness_on_path_graph(spark):
+    from threadlens.operators.graph import closeness_sampled
+    rows = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)]
+    e = spark.createDataFrame(rows, "user1 string, user2 string, weight int")
+    got = {r.username: r.closeness for r in closeness_sampled(e, 4).collect()}
+    # path a-b-c-d: closeness(a) = 3/6, closeness(b) = 3/4
+    assert abs(got["a"] - 0.5) < 1e-9 and abs(got["b"] - 0.75) < 1e-9
+
+
+def _brute_betweenness(adj):
+    from collections import deque
+    bc = {v: 0.0 for v in adj}
+    for s in adj:
+        dist, sigma, order, preds = {s: 0}, {s: 1.0}, [], {v: [] for v in adj}
+        q = deque([s])
+        while q:
+            v = q.popleft()
+            order.append(v)
+            for w in adj[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    sigma[w] = 0.0
+                    q.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    preds[w].append(v)
+        delta = {v: 0.0 for v in adj}
+        for w in reversed(order):
+            for v in preds[w]:
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                bc[w] += delta[w]
+    return bc
+
+
+def test_betweenness_exact_when_all_sources(spark):
+    from threadlens.operators.graph import betweenness_sampled
+    rnd = random.Random(2)
+    names = [f"n{i}" for i in range(12)]
+    es = {tuple(sorted(rnd.sample(names, 2))) for _ in range(25)}
+    e = spark.createDataFrame([(a, b, 1) for a, b in es], "user1 string, user2 string, weight int")
+    adj = {}
+    for a, b in es:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    want = _brute_betweenness(adj)
+    got = {r.username: r.betweenness for r in betweenness_sampled(e, 100).collect()}
+    for v in adj:
+        assert abs(got[v] - want[v]) < 1e-6

@@ -87,8 +87,13 @@ def keyed_shared_thread_pairs(up: DataFrame, key: str, min_shared: int = 2) -> D
 
 def find_user_pairs(forum: Forum, start, end, communities=None, min_shared: int = 2,
                     clean_authors: bool = False, params: Params = DEFAULT) -> DataFrame:
-    """J1 (clean_authors=False) and J2 (True)."""
-    up = user_posts(interactions(forum, start, end, communities, clean_authors))
+    """J1 (clean_authors=False) and J2 (True).
+
+    The distinct (user, thread) table is written once to the shared folder:
+    the pair job reads it three times (user pruning, thread degrees, the
+    tiles), and it is much smaller than the interactions it comes from."""
+    from threadlens.session import cut_lineage
+    up = cut_lineage(user_posts(interactions(forum, start, end, communities, clean_authors)))
     return shared_thread_pairs(up, min_shared, params.pair_chunk_users)
 
 
@@ -259,3 +264,93 @@ def top_fraction_posts(forum: Forum, frac: float) -> DataFrame:
     ties = pe.filter(F.col("n") == F.lit(v))
     idcut = value_at_rank(ties, "post_id", need - 1)
     return above.unionByName(ties.filter(F.col("post_id") <= F.lit(idcut)))
+
+
+def closeness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> DataFrame:
+    """Closeness of the sampled source nodes (unweighted shortest paths):
+    (reached − 1)/Σdist × (reached − 1)/(n − 1), the Wasserman–Faust form.
+
+    Sources are the ``n_sources`` nodes with the smallest hash (deterministic).
+    All sources advance together, one join per BFS level, until no frontier is
+    left (no depth cap); the visited set is checkpointed per level."""
+    from threadlens.functions.numeric import r6
+    from threadlens.session import cut_lineage
+    und = (edges.select(F.col("user1").alias("a"), F.col("user2").alias("b"))
+           .unionByName(edges.select(F.col("user2").alias("a"), F.col("user1").alias("b"))))
+    nodes = und.select(F.col("a").alias("node")).distinct()
+    n = nodes.count()
+    src = (nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
+           .select(F.col("node").alias("src")))
+    visited = cut_lineage(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist")))
+    frontier = visited
+    level = 0
+    while True:
+        level += 1
+        nxt = (frontier.join(und, frontier["node"] == und["a"]).select("src", F.col("b").alias("node"))
+               .distinct().join(visited.select("src", "node"), ["src", "node"], "left_anti")
+               .withColumn("dist", F.lit(level)))
+        nxt = cut_lineage(nxt)
+        if nxt.isEmpty():
+            break
+        visited = cut_lineage(visited.unionByName(nxt))
+        frontier = nxt
+    agg = visited.groupBy("src").agg(F.count(F.lit(1)).alias("reached"), F.sum("dist").alias("total_dist"))
+    r = F.col("reached") - 1
+    return agg.select(F.col("src").alias("username"), "reached", "total_dist",
+                      r6(F.when(F.col("total_dist") > 0, r / F.col("total_dist") * r / F.lit(float(max(n - 1, 1))))
+                         .otherwise(0.0)).alias("closeness"))
+
+
+def betweenness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> DataFrame:
+    """Betweenness from sampled sources (Brandes), unweighted.
+
+    Forward: all sources advance one BFS level per join, carrying σ (number of
+    shortest paths). Backward: levels are processed from the deepest up,
+    δ(v) = Σ_{w: v→w, d(w)=d(v)+1} σ(v)/σ(w)·(1 + δ(w)). Betweenness(v) =
+    Σ_sources δ(v); ``normalized`` = that · n/k / ((n−1)(n−2)) as networkx's
+    sampled, normalized form. Exact when every node is a source."""
+    from threadlens.functions.numeric import r6
+    from threadlens.session import cut_lineage
+    und = (edges.select(F.col("user1").alias("a"), F.col("user2").alias("b"))
+           .unionByName(edges.select(F.col("user2").alias("a"), F.col("user1").alias("b"))))
+    nodes = und.select(F.col("a").alias("node")).distinct()
+    n = nodes.count()
+    src = (nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
+           .select(F.col("node").alias("src")))
+    k = src.count()
+    lv = cut_lineage(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist"),
+                                F.lit(1.0).alias("sigma")))
+    levels = [lv]
+    visited = lv.select("src", "node")
+    d = 0
+    while True:
+        d += 1
+        f = levels[-1]
+        nxt = (f.join(und, f["node"] == und["a"]).groupBy("src", F.col("b").alias("node"))
+               .agg(F.sum("sigma").alias("sigma"))
+               .join(visited, ["src", "node"], "left_anti").withColumn("dist", F.lit(d)))
+        nxt = cut_lineage(nxt.select("src", "node", "dist", "sigma"))
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        visited = cut_lineage(visited.unionByName(nxt.select("src", "node")))
+    delta = levels[-1].select("src", "node", "sigma", F.lit(0.0).alias("delta"))
+    parts = [delta]
+    for L in range(len(levels) - 2, 0, -1):
+        cur = levels[L]
+        w = delta.select("src", F.col("node").alias("w"), F.col("sigma").alias("sw"), F.col("delta").alias("dw"))
+        contrib = (cur.join(und, cur["node"] == und["a"]).select("src", "node", "sigma", F.col("b").alias("w"))
+                   .join(w, ["src", "w"])
+                   .groupBy("src", "node", "sigma").agg(
+                       F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
+        delta = cut_lineage(cur.select("src", "node", "sigma").join(
+            contrib.select("src", "node", "delta"), ["src", "node"], "left").fillna(0.0, subset=["delta"]))
+        parts.append(delta)
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    bc = allp.groupBy(F.col("node").alias("username")).agg(F.sum("delta").alias("betweenness"))
+    bc = nodes.withColumnRenamed("node", "username").join(bc, "username", "left").fillna(0.0, subset=["betweenness"])
+    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 and k else 0.0
+    return bc.select("username", r6("betweenness").alias("betweenness"),
+                     r6(F.col("betweenness") * F.lit(scale)).alias("normalized"))

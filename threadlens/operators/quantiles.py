@@ -9,11 +9,14 @@ into ``buckets`` equal-width bins:
 1. count rows per (group, bin) — partial aggregation, ≤ groups × buckets rows;
 2. a running sum over the bins of each group (≤ ``buckets`` rows per window
    partition) locates the bin holding each needed rank;
-3. only rows of those bins are read again and ranked per distinct value
+3. the hit bins are cut again into ``buckets`` sub-bins over their own
+   min..max, located the same way;
+4. only rows of the hit sub-bins are ranked, per distinct value
    (``groupBy(value).count`` first, so repeated values collapse map-side).
 
-Three shuffles, all bounded per key, and the answer is a value of the data,
-so exact.
+A group of N rows leaves about N / buckets² values for the last ranking
+window. Every step is bounded per key, and the answer is a value of the
+data, so exact.
 """
 
 from __future__ import annotations
@@ -45,13 +48,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
         x = cut_lineage(x)
     st = x.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
                             F.max("_v").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    xb = x.join(st, gk).withColumn(
-        "_b", F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-            F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).cast("int"))
-    bins = xb.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wb = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("_end", F.sum("_c").over(wb)).withColumn("_start", F.col("_end") - F.col("_c"))
+
+    def bucket_of(v, lo, hi):
+        w = (hi - lo) / F.lit(float(buckets))
+        return F.when(hi == lo, F.lit(0)).otherwise(
+            F.least(F.floor((v - lo) / w), F.lit(buckets - 1))).cast("int")
+
     # needed ranks: floor(p(n-1)) and the next one, per probability
     tg = st.select(*gk, "_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_pos"))
@@ -59,16 +61,32 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     tg = tg.withColumn("_r0", F.floor("_pos").cast("long")).withColumn(
         "_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
     ranks = tg.select(*gk, F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
-    hit = (ranks.join(bins, gk)
-           .filter((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
-           .select(*gk, "_r", "_b", "_start"))
-    vals = (xb.join(hit.select(*gk, "_b").distinct(), gk + ["_b"], "left_semi")
-            .groupBy(*gk, "_b", "_v").agg(F.count(F.lit(1)).alias("_m")))
-    wv = Window.partitionBy(*gk, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+
+    # level 1: equal-width buckets over the group's range
+    xb = x.join(st.select(*gk, "_lo", "_hi"), gk).withColumn(
+        "_b", bucket_of(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    bins = xb.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
+                                     F.max("_v").alias("_bmax"))
+    wb = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("_end", F.sum("_c").over(wb)).withColumn("_start", F.col("_end") - F.col("_c"))
+    hit1 = (ranks.join(bins, gk).filter((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
+            .select(*gk, "_r", "_b", "_bmin", "_bmax", (F.col("_r") - F.col("_start")).alias("_r1x")))
+    # level 2: the same inside each hit bucket, over its actual min..max
+    hb = hit1.select(*gk, "_b", "_bmin", "_bmax").distinct()
+    x2 = xb.select(*gk, "_b", "_v").join(hb, gk + ["_b"]).withColumn(
+        "_s", bucket_of(F.col("_v"), F.col("_bmin"), F.col("_bmax")))
+    sb = x2.groupBy(*gk, "_b", "_s").agg(F.count(F.lit(1)).alias("_c2"))
+    ws = Window.partitionBy(*gk, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    sb = sb.withColumn("_e2", F.sum("_c2").over(ws)).withColumn("_s2", F.col("_e2") - F.col("_c2"))
+    hit2 = (hit1.join(sb, gk + ["_b"]).filter((F.col("_r1x") >= F.col("_s2")) & (F.col("_r1x") < F.col("_e2")))
+            .select(*gk, "_r", "_b", "_s", (F.col("_r1x") - F.col("_s2")).alias("_r2x")))
+    # final: distinct values of the hit sub-buckets only (repeats collapse map-side)
+    vals = (x2.join(hit2.select(*gk, "_b", "_s").distinct(), gk + ["_b", "_s"], "left_semi")
+            .groupBy(*gk, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("_m")))
+    wv = Window.partitionBy(*gk, "_b", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("_ve", F.sum("_m").over(wv)).withColumn("_vs", F.col("_ve") - F.col("_m"))
-    at = (hit.join(vals, gk + ["_b"])
-          .filter((F.col("_r") - F.col("_start") >= F.col("_vs"))
-                  & (F.col("_r") - F.col("_start") < F.col("_ve")))
+    at = (hit2.join(vals, gk + ["_b", "_s"])
+          .filter((F.col("_r2x") >= F.col("_vs")) & (F.col("_r2x") < F.col("_ve")))
           .select(*gk, "_r", "_v"))
     a0 = at.select(*gk, F.col("_r").alias("_r0"), F.col("_v").alias("_v0"))
     a1 = at.select(*gk, F.col("_r").alias("_r1"), F.col("_v").alias("_v1"))

@@ -266,13 +266,37 @@ def max_in_lookback(df: DataFrame, key: str, ts: str, seconds: int = 60,
     return cnt.groupBy(key).agg(F.max("_n").alias("max_actions_per_window"))
 
 
-def sessions(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:
-    """Activity sessions per key — a gap longer than ``gap_minutes``
-    starts a new session. Spark's batch ``session_window`` merges sessions after
-    a sort by key and time. Returns (key, session_start, session_end, n)."""
-    g = df.groupBy(key, F.session_window(F.col(ts).cast("timestamp"), f"{gap_minutes} minutes").alias("s"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("session_start"),
-                 F.max(ts).alias("session_end")).select(key, "session_start", "session_end", "n")
+def sessions(df: DataFrame, key: str, ts: str, gap_minutes: int = 30, tiebreak: str | None = None,
+             chunk_seconds: int = 3600) -> DataFrame:
+    """Activity sessions per key — an event at least ``gap_minutes``
+    after the key's previous event starts a new session. Returns
+    (key, session_start, session_end, n).
+
+    No key is processed in one task: (1) an event starts a session iff its
+    key's previous event (by time, then ``tiebreak``) is missing or ``gap``
+    or more earlier — a ``lag`` inside (key, hour-chunk) partitions that also
+    carry the previous chunk's last ``gap`` as a halo, so a previous event
+    within the gap is always present; (2) the session number is the running count of starts, from
+    the chunked running sum; (3) sessions are then plain groups."""
+    us = 1_000_000
+    gap = gap_minutes * 60 * us
+    chunk = max(chunk_seconds * us, gap)
+    tb = tiebreak or ts
+    e = df.select(key, ts, F.col(tb).alias("_tb") if tiebreak else F.col(ts).alias("_tb"),
+                  F.timestamp_diff("MICROSECOND", epoch_col(), F.col(ts)).alias("_t"))
+    e = e.withColumn("_c", F.floor(F.col("_t") / F.lit(chunk)))
+    halo = (e.filter(F.col("_t") >= (F.col("_c") + 1) * F.lit(chunk) - F.lit(gap))
+            .withColumn("_c", F.col("_c") + 1).withColumn("_h", F.lit(1)))
+    allr = e.withColumn("_h", F.lit(0)).unionByName(halo)
+    w = Window.partitionBy(key, "_c").orderBy("_t", "_tb")
+    prev = F.lag("_t").over(w)
+    starts = (allr.withColumn("_start", F.when(prev.isNull() | (F.col("_t") - prev >= F.lit(gap)), 1.0)
+                              .otherwise(0.0))
+              .filter(F.col("_h") == 0).drop("_h", "_c"))
+    run = chunked_running(starts, key, ts, "_start", "_tb", chunk_seconds)
+    return (run.groupBy(key, F.col("run_sum").alias("_sid"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("session_start"), F.max(ts).alias("session_end"))
+            .select(key, "session_start", "session_end", "n"))
 
 
 def equal_count_windows(df: DataFrame, key: str, ts: str, n: int, tiebreak: str) -> DataFrame:
@@ -283,3 +307,43 @@ def equal_count_windows(df: DataFrame, key: str, ts: str, n: int, tiebreak: str)
     r = r.withColumn("window_id", F.floor((F.col("run_n") - 1) / F.lit(n)))
     return r.groupBy(key, "window_id").agg(F.count(F.lit(1)).alias("n_events"),
                                            F.min(ts).alias("window_start"), F.max(ts).alias("window_end"))
+
+
+def extrema_with_distance(marked: DataFrame, order: str, col: str, by: Sequence[str] = (),
+                          distance: int = 7) -> DataFrame:
+    """Extrema at least ``distance`` rows apart (``find_peaks(distance=…)``):
+    per series, peaks are taken highest first (ties → earlier row) and any
+    other peak closer than ``distance`` rows is dropped; troughs the same on
+    −x. Input is the output of :func:`local_extrema`; only its extremum rows
+    (a few per series) go through the greedy step, grouped per series."""
+    import pandas as pd
+    by = list(by)
+    cand = marked.filter(F.col("is_peak") != 0).select(*by, "_i", F.col(col).cast("double").alias("_x"),
+                                                        "is_peak")
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cand.schema.fields if f.name in by)
+    schema = (key_schema + ", " if key_schema else "") + "_i long, kept int"
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for kind in (1, -1):
+            sub = pdf[pdf["is_peak"] == kind]
+            order_ = sorted(zip(sub["_x"] * kind, sub["_i"]), key=lambda t: (-t[0], t[1]))
+            chosen = []
+            for _v, i in order_:
+                if all(abs(i - j) >= distance for j in chosen):
+                    chosen.append(i)
+            keep += [(i, kind) for i in chosen]
+        out = pd.DataFrame(keep, columns=["_i", "kept"])
+        for b in by:
+            out.insert(0, b, pdf[b].iloc[0] if len(pdf) else None)
+        return out[[*by, "_i", "kept"]]
+
+    grouped = cand.groupBy(*by) if by else cand.groupBy(F.lit(0).alias("_one"))
+    if not by:
+        cand = cand.withColumn("_one", F.lit(0))
+        kept = cand.groupBy("_one").applyInPandas(
+            lambda p: greedy(p.drop(columns=["_one"])), "_i long, kept int")
+    else:
+        kept = grouped.applyInPandas(greedy, schema)
+    out = marked.join(kept, by + ["_i"], "left")
+    return out.withColumn("is_peak_distance", F.coalesce("kept", F.lit(0)).cast("int")).drop("kept")

@@ -54,11 +54,14 @@ def d16_overview_counts(spark, sf_dir):
     f = _ord(spark, sf_dir)
     p = E.load_posts(f, ORD_START, ORD_END, ORD_COMMUNITIES, cols=("post_id", "subreddit", "author"))
     c = E.load_comments(f, ORD_START, ORD_END, ORD_COMMUNITIES, extra=("author",))
-    pa = p.agg(F.count(F.lit(1)).alias("n_posts"), F.countDistinct("subreddit").alias("n_communities"))
-    ca = c.agg(F.count(F.lit(1)).alias("n_comments"))
-    ua = p.select("author").unionByName(c.select("author")).agg(F.countDistinct("author").alias("n_users"))
-    return pa.join(ca, how="cross").join(ua, how="cross").select(
-        "n_posts", "n_comments", "n_users", "n_communities")
+    # one pass over tagged rows instead of joining one-row aggregates
+    rows = (p.select(F.lit(1).alias("is_post"), "subreddit", "author")
+            .unionByName(c.select(F.lit(0).alias("is_post"), F.lit(None).cast("string").alias("subreddit"),
+                                  "author")))
+    return rows.agg(F.sum("is_post").cast("bigint").alias("n_posts"),
+                    F.sum(1 - F.col("is_post")).cast("bigint").alias("n_comments"),
+                    F.countDistinct("author").alias("n_users"),
+                    F.countDistinct("subreddit").alias("n_communities"))
 
 
 # ------------------------------------------------------------ D12–D15 histogram

@@ -154,9 +154,18 @@ def j6_flagged_network_nodes(spark, sf_dir):
 
 
 # ------------------------------------------------------------ J7–J10 Louvain
+_LOUVAIN_MEMO: dict = {}
+
+
 def _louvain_parts(spark, sf_dir):
+    """Edges and Louvain membership; the membership (a checkpointed table) is
+    shared by the J7–J10 queries of one session instead of being recomputed."""
     e = _clean_pairs(spark, sf_dir).withColumnRenamed("shared_interactions", "weight")
-    return e, L.louvain(e, "user1", "user2", "weight")
+    key = (id(spark), sf_dir)
+    if key not in _LOUVAIN_MEMO:
+        from threadlens.session import cut_lineage
+        _LOUVAIN_MEMO[key] = cut_lineage(L.louvain(e, "user1", "user2", "weight"))
+    return e, _LOUVAIN_MEMO[key]
 
 
 @register("j7_louvain_communities")
@@ -387,3 +396,15 @@ def j18_windowed_communities(spark, sf_dir):
     up = c.distinct()
     pairs = G.keyed_shared_thread_pairs(up, "week", 5)
     return L.louvain(pairs, "user1", "user2", "shared_interactions", group="week")
+
+
+@register("j12_closeness_sampled")
+def j12_closeness_sampled(spark, sf_dir):
+    e = _clean_pairs(spark, sf_dir).withColumnRenamed("shared_interactions", "weight")
+    return G.closeness_sampled(e, 16)
+
+
+@register("j13_betweenness_sampled")
+def j13_betweenness_sampled(spark, sf_dir):
+    e = _clean_pairs(spark, sf_dir).withColumnRenamed("shared_interactions", "weight")
+    return G.betweenness_sampled(e, 16)

@@ -273,7 +273,7 @@ s AS (SELECT *, sum(st) OVER (PARTITION BY author ORDER BY created_utc ROWS UNBO
 SELECT author, min(created_utc) AS session_start, max(created_utc) AS session_end, count(*) AS n
 FROM s GROUP BY author, sid"""))
 def e26_sessions(spark, sf_dir):
-    return TS.sessions(_ev(spark, sf_dir).comments, "author", "created_utc", 30)
+    return TS.sessions(_ev(spark, sf_dir).comments, "author", "created_utc", 30, "comment_id")
 
 
 @register("e27_equal_count_windows", sql(EV_CTES, body="""
@@ -349,3 +349,10 @@ def d8_week_community_counts(spark, sf_dir):
 SELECT time_bucket(INTERVAL 5 MINUTE, created_utc) AS bucket, src_type, count(*) AS n FROM comments GROUP BY 1, 2"""))
 def e1_five_minute_counts(spark, sf_dir):
     return TS.bucket_counts(_ev(spark, sf_dir).comments, "created_utc", "5min", "src_type")
+
+
+@register("e11_extrema_with_distance")
+def e11_extrema_with_distance(spark, sf_dir):
+    m = TS.local_extrema(ord_series(spark, sf_dir), "day", "n", BY)
+    return TS.extrema_with_distance(m, "day", "n", BY, 7).select("subreddit", "day", "n", "is_peak",
+                                                                 "is_peak_distance")
