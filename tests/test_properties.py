@@ -301,3 +301,16 @@ def test_betweenness_exact_when_all_sources(spark):
     got = {r.username: r.betweenness for r in betweenness_sampled(e, 100).collect()}
     for v in adj:
         assert abs(got[v] - want[v]) < 1e-6
+
+
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_dense_pairs_equal_naive(spark, block):
+    from threadlens.operators.graph import dense_pair_counts
+    rnd = random.Random(13)
+    up = {(f"u{rnd.randrange(30)}", rnd.randrange(8)) for _ in range(150)}
+    df = spark.createDataFrame(sorted(up), "username string, post_id int")
+    threads = sorted({p for _, p in up})
+    for n in (1, 3):
+        got = {(r.user1, r.user2): r.shared_interactions
+               for r in dense_pair_counts(df, n, threads, block_users=block).collect()}
+        assert got == _naive_pairs(up, n)
