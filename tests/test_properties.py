@@ -50,7 +50,8 @@ def test_exact_quantiles_match_numpy(spark):
     rows += [(9, 3.0)]  # one-row group
     df = spark.createDataFrame(rows, "g int, v double")
     probs = [0.05, 0.25, 0.5, 0.75]
-    got = {r.g: [r.q0, r.q1, r.q2, r.q3] for r in exact_quantiles(df, ["g"], "v", probs, buckets=16).collect()}
+    got = {r.g: [r.q0, r.q1, r.q2, r.q3] for r in exact_quantiles(df, ["g"], "v", probs, buckets=16,
+                                                                    small_group=10).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     for g, grp in pdf.groupby("g"):
         assert np.allclose(got[g], np.percentile(grp.v.values, [5, 25, 50, 75]), rtol=0, atol=1e-9)
@@ -314,3 +315,15 @@ def test_dense_pairs_equal_naive(spark, block):
         got = {(r.user1, r.user2): r.shared_interactions
                for r in dense_pair_counts(df, n, threads, block_users=block).collect()}
         assert got == _naive_pairs(up, n)
+
+
+def test_exact_quantiles_bucket_path_equals_fast_path(spark):
+    from threadlens.operators.quantiles import exact_quantiles
+    rnd = random.Random(21)
+    rows = [(g, float(rnd.choice([rnd.random() * 10, 1.0, 2.0]))) for g in range(3) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = [0.05, 0.25, 0.5, 0.75, 1.0]
+    fast = {r.g: list(r)[2:] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    slow = {r.g: list(r)[2:] for r in exact_quantiles(df, ["g"], "v", probs, buckets=8, small_group=10).collect()}
+    for g in fast:
+        assert np.allclose(fast[g], slow[g], rtol=0, atol=1e-12)

@@ -15,7 +15,9 @@ into ``buckets`` equal-width bins:
    (``groupBy(value).count`` first, so repeated values collapse map-side).
 
 A group of N rows leaves about N / buckets² values for the last ranking
-window. Every step is bounded per key, and the answer is a value of the
+window. When the largest group (counted first) has at most ``small_group``
+rows, Spark's exact ``percentile`` aggregate is used instead — its per-group
+buffer is then bounded by that count. Every step is bounded per key, and the answer is a value of the
 data, so exact.
 """
 
@@ -27,9 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SMALL_GROUP = 200_000
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, buckets: int = 1024,
-                    materialize: bool = True) -> DataFrame:
+                    materialize: bool = True, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per group: keys..., n, and one column per probability.
     NULL values are ignored (groups with only NULLs are absent). The (keys,
     value) projection is read three times; with ``materialize`` it is written
@@ -43,11 +48,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     else:
         gk = keys
     x = df.select(*gk, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    from threadlens.session import cut_lineage
     if materialize:
-        from threadlens.session import cut_lineage
         x = cut_lineage(x)
     st = x.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
                             F.max("_v").alias("_hi"))
+    if materialize:
+        st = cut_lineage(st)
+    biggest = st.agg(F.max("_n")).first()[0] or 0
+    if biggest <= small_group:
+        # Size-checked fast path: every group is small, so Spark's exact
+        # `percentile` (which buffers a group's values) is bounded.
+        q = x.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"),
+                               F.percentile("_v", [float(p) for p in probs]).alias("_q"))
+        out = q.select(*gk, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+        return out.drop("_all") if not keys else out
 
     def bucket_of(v, lo, hi):
         w = (hi - lo) / F.lit(float(buckets))
