@@ -327,3 +327,10 @@ def test_exact_quantiles_bucket_path_equals_fast_path(spark):
     slow = {r.g: list(r)[2:] for r in exact_quantiles(df, ["g"], "v", probs, buckets=8, small_group=10).collect()}
     for g in fast:
         assert np.allclose(fast[g], slow[g], rtol=0, atol=1e-12)
+
+
+def test_connected_components(spark):
+    from threadlens.operators.graph import connected_components
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("d", "c")], "a string, b string")
+    got = {r.node: r.component for r in connected_components(e).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}

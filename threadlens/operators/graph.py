@@ -435,3 +435,47 @@ def co_engagement_pairs(up: DataFrame, min_shared: int = 2,
         threads = [r[0] for r in up.select("post_id").distinct().collect()]   # ≤ DENSE_MAX_THREADS rows
         return dense_pair_counts(up, min_shared, threads)
     return shared_thread_pairs(up, min_shared, chunk_users)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_iter: int = 100) -> DataFrame:
+    """(node, component) by min-label propagation: every node takes the
+    smallest label among itself and its neighbours until nothing changes
+    (at most the graph diameter rounds). State is checkpointed each round."""
+    from threadlens.session import cut_lineage
+    und = (edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+           .unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))))
+    lab = cut_lineage(und.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
+    for _ in range(max_iter):
+        nb = und.join(lab.withColumnRenamed("node", "v").withColumnRenamed("label", "lv"), "v")
+        best = nb.groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("m"))
+        new = lab.join(best, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
+        new = cut_lineage(new)
+        changed = new.join(lab.withColumnRenamed("label", "old"), "node").filter(F.col("label") != F.col("old"))
+        lab = new
+        if changed.isEmpty():
+            break
+    return lab.withColumnRenamed("label", "component")
+
+
+def merge_redundant_clusters(members: DataFrame, window: str, step_days: int, threshold: float) -> DataFrame:
+    """Clusters of consecutive windows whose member Jaccard >= threshold
+    are the same cluster; returns (window, cluster, merged) where ``merged``
+    names the chain by its earliest (window, cluster)."""
+    sz = members.groupBy(window, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    nxt = members.select((F.col(window) - F.make_dt_interval(days=F.lit(step_days))).alias(window),
+                         F.col("cluster").alias("next_cluster"), "author")
+    ov = members.join(nxt, [window, "author"]).groupBy(window, "cluster", "next_cluster").agg(
+        F.count(F.lit(1)).alias("inter"))
+    s2 = sz.select((F.col(window) - F.make_dt_interval(days=F.lit(step_days))).alias(window),
+                   F.col("cluster").alias("next_cluster"), F.col("n").alias("n2"))
+    j = (ov.join(sz, [window, "cluster"]).join(s2, [window, "next_cluster"])
+         .withColumn("jac", F.col("inter") / (F.col("n") + F.col("n2") - F.col("inter")))
+         .filter(F.col("jac") >= threshold))
+    node = F.concat_ws("|", F.date_format(window, "yyyy-MM-dd HH:mm:ss"), "cluster")
+    node2 = F.concat_ws("|", F.date_format(F.col(window) + F.make_dt_interval(days=F.lit(step_days)),
+                                           "yyyy-MM-dd HH:mm:ss"), "next_cluster")
+    e = j.select(node.alias("a"), node2.alias("b"))
+    allnodes = sz.select(node.alias("node"), window, "cluster")
+    cc = connected_components(e)
+    out = allnodes.join(cc, "node", "left").withColumn("merged", F.coalesce("component", "node"))
+    return out.select(window, "cluster", "merged")

@@ -280,3 +280,12 @@ def recursive_elimination(df: DataFrame, vec: str, label: str, keep: int = 20, s
 
 def vectors(df: DataFrame, arr: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(arr).cast("array<double>")))
+
+
+def meta_clusters(features: DataFrame, id_col: str, cols: Sequence[str], k: int = 2, seed: int = 42) -> DataFrame:
+    """Cluster the clusters — standardised cluster features →
+    BisectingKMeans(k) → (cluster id, meta_cluster)."""
+    from pyspark.ml.clustering import BisectingKMeans
+    x = VectorAssembler(inputCols=list(cols), outputCol="f").transform(standardize(features, cols))
+    m = BisectingKMeans(k=k, seed=seed, featuresCol="f", predictionCol="meta_cluster").fit(x)
+    return m.transform(x).select(id_col, "meta_cluster")

@@ -408,3 +408,23 @@ def j12_closeness_sampled(spark, sf_dir):
 def j13_betweenness_sampled(spark, sf_dir):
     e = _clean_pairs(spark, sf_dir).withColumnRenamed("shared_interactions", "weight")
     return G.betweenness_sampled(e, 16)
+
+
+@register("j26_merge_redundant_clusters")
+def j26_merge_redundant_clusters(spark, sf_dir):
+    from threadlens.functions.timebuckets import bucket
+    c = forum_from_events(spark, sf_dir).comments
+    m = c.select(bucket("created_utc", "W").alias("window"), F.col("src_type").alias("cluster"), "author").distinct()
+    return G.merge_redundant_clusters(m, "window", 7, 0.5)
+
+
+@register("j19_meta_clusters")
+def j19_meta_clusters(spark, sf_dir):
+    from threadlens.operators.ml import meta_clusters
+    f = forum_from_events(spark, sf_dir)
+    dom = dominant_community(spark, sf_dir)
+    c = f.comments.join(dom.withColumnRenamed("username", "author"), "author")
+    feats = c.groupBy("cluster").agg(F.countDistinct("author").cast("double").alias("size"),
+                                     F.count(F.lit(1)).cast("double").alias("n_comments"),
+                                     F.avg("score").alias("avg_score"))
+    return meta_clusters(feats, "cluster", ["size", "n_comments", "avg_score"], k=2)
