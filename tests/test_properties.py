@@ -334,3 +334,16 @@ def test_connected_components(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("d", "c")], "a string, b string")
     got = {r.node: r.component for r in connected_components(e).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
+
+
+def test_knn_distance_equals_brute_force(spark):
+    from threadlens.operators.ml import knn_distance
+    rnd = np.random.default_rng(4)
+    pts = rnd.normal(size=(60, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id int, v array<double>")
+    got = {r.id: r.knn3_distance for r in knn_distance(df, "id", "v", k=3, block=16).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, 2]
+    for i in range(60):
+        assert abs(got[i] - want[i]) < 1e-5

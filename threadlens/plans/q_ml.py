@@ -276,3 +276,9 @@ def d28_user_sentiment_distribution(spark, sf_dir):
     a = c.groupBy("author").agg(r6(F.avg(F.when(F.abs("compound") >= 0.5, 1.0).otherwise(0.0))).alias("extreme_share"))
     q = exact_quantiles(c, ["author"], "compound", [0.5], ["median_sentiment"])
     return a.join(q.select("author", r6("median_sentiment").alias("median_sentiment")), "author")
+
+
+@register("k10_knn_distance")
+def k10_knn_distance(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return M.knn_distance(e, "vec_id", "embedding", k=5, block=256)
