@@ -48,12 +48,11 @@ def score_histogram(df: DataFrame, col: str = "score", num_bins: int = 26,
     """
     from threadlens.session import cut_lineage
     x = cut_lineage(df.select(F.col(col).cast("double").alias("x")).dropna())  # read several times
-    total = x.count()
+    (q1, q3), total = scalar_quantiles(x, "x", [0.25, 0.75], with_count=True)
     if total == 0:
         return x.sparkSession.createDataFrame(
             [], "part string, bin int, bin_start double, bin_end double, bin_center double, "
                 "n bigint, share double, pct double")
-    q1, q3 = scalar_quantiles(x, "x", [0.25, 0.75])  # noqa: F841
     iqr = q3 - q1
     lo_b, hi_b = q1 - iqr_mult * iqr, q3 + iqr_mult * iqr
     main = x.filter((F.col("x") >= lo_b) & (F.col("x") <= hi_b))

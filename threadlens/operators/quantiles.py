@@ -113,12 +113,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     return out.drop("_all") if not keys else out
 
 
-def scalar_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
-    """Whole-column exact quantiles read back as Python floats (one row)."""
+def scalar_quantiles(df: DataFrame, col: str, probs: Sequence[float],
+                     with_count: bool = False):
+    """Whole-column exact quantiles read back as Python floats (one row);
+    with ``with_count`` also the number of non-NULL values."""
     r = exact_quantiles(df, [], col, probs, materialize=False).first()
-    if r is None:
-        return [None] * len(probs)
-    return [r[f"q{i}"] for i in range(len(probs))]
+    vals = [None] * len(probs) if r is None else [r[f"q{i}"] for i in range(len(probs))]
+    if with_count:
+        return vals, (0 if r is None else r["n"])
+    return vals
 
 
 def value_at_rank(df: DataFrame, col: str, rank: int, buckets: int = 1024, small: int = 100_000):
