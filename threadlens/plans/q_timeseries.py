@@ -120,7 +120,8 @@ FROM m LEFT JOIN spk ON spk.subreddit = m.subreddit AND spk.day = m.day
 LEFT JOIN segs a1 ON a1.subreddit = m.subreddit AND a1.seg = spk.sseg
 LEFT JOIN segs a2 ON a2.subreddit = m.subreddit AND a2.seg = spk.dseg"""))
 def e13_auc_labels(spark, sf_dir):
-    s = ord_series(spark, sf_dir)
+    from threadlens.session import cut_lineage
+    s = cut_lineage(ord_series(spark, sf_dir))   # read by three branches
     m = TS.local_extrema(s, "day", "n", BY)
     segs = TS.auc_segments(m, "day", "n", BY)
     return TS.auc_labels(s, segs, "day", AUC_HI, AUC_LO, BY).select(

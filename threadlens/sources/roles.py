@@ -50,14 +50,18 @@ def forum_from_events(spark: SparkSession, sf_dir: str) -> Forum:
 
     The first event per thread comes from a ``min_by`` aggregate (partial
     aggregation before the shuffle, so a thread holding a third of all rows
-    costs one row per map task). Comments are the events minus those ids: an
-    anti join on the unique ``event_id``, never on the skewed thread key.
+    costs one row per map task); that small table is checkpointed once.
+    Comments are the events minus those ids: an anti join on the unique
+    ``event_id``, never on the skewed thread key.
     """
+    from threadlens.session import cut_lineage
     ev = _events(spark, sf_dir)
-    first = (ev.groupBy("k")
-             .agg(F.min_by(F.struct("event_id", "ts", "user_id", "event_type", "value"),
-                           F.struct("ts", "event_id")).alias("f"))
-             .select(F.col("k").alias("post_id"), "f.*"))
+    # one row per thread, referenced by every posts/comments branch: written
+    # once to the shared folder instead of re-aggregating the events each time
+    first = cut_lineage(ev.groupBy("k")
+                        .agg(F.min_by(F.struct("event_id", "ts", "user_id", "event_type", "value"),
+                                      F.struct("ts", "event_id")).alias("f"))
+                        .select(F.col("k").alias("post_id"), "f.*"))
     posts = first.select(
         "post_id",
         F.col("event_type").alias("subreddit"),
