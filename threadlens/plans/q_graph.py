@@ -37,7 +37,7 @@ from threadlens.functions.predicates import pair_authors_ok  # noqa: E402
 from threadlens.operators import louvain as L  # noqa: E402
 from threadlens.operators.engagement import top_per_group  # noqa: E402
 from threadlens.plans.catalog import FLAG_CTES, REPLY_CTES  # noqa: E402
-from threadlens.sources.lists import flagged_users  # noqa: E402
+from threadlens.sources.lists import DATA_DIR, flagged_users  # noqa: E402
 from threadlens.sources.roles import flagged_interactions, replies  # noqa: E402
 
 _PAIRS_BODY = f"""
@@ -369,15 +369,14 @@ def j25_cluster_description(spark, sf_dir):
                                     r6(F.avg("score")).alias("avg_score"))
 
 
-@register("a3_flagged_tier_activity", sql(EV_CTES, FLAG_CTES, body=_DEDUP + """
-, tiers AS (SELECT unnest(manual) AS username, 'manual' AS tier FROM read_json_auto('""" + __import__(
-    "threadlens.sources.lists", fromlist=["DATA_DIR"]).DATA_DIR + """/flagged_users.json')
-            UNION ALL SELECT unnest(high_reciprocity), 'high_reciprocity' FROM read_json_auto('""" + __import__(
-    "threadlens.sources.lists", fromlist=["DATA_DIR"]).DATA_DIR + """/flagged_users.json')
-            UNION ALL SELECT unnest(medium_reciprocity), 'medium_reciprocity' FROM read_json_auto('""" + __import__(
-    "threadlens.sources.lists", fromlist=["DATA_DIR"]).DATA_DIR + """/flagged_users.json')
-            UNION ALL SELECT unnest(low_reciprocity), 'low_reciprocity' FROM read_json_auto('""" + __import__(
-    "threadlens.sources.lists", fromlist=["DATA_DIR"]).DATA_DIR + """/flagged_users.json'))
+_TIERS_JSON = f"read_json_auto('{DATA_DIR}/flagged_users.json')"
+
+
+@register("a3_flagged_tier_activity", sql(EV_CTES, FLAG_CTES, body=_DEDUP + f"""
+, tiers AS (SELECT unnest(manual) AS username, 'manual' AS tier FROM {_TIERS_JSON}
+            UNION ALL SELECT unnest(high_reciprocity), 'high_reciprocity' FROM {_TIERS_JSON}
+            UNION ALL SELECT unnest(medium_reciprocity), 'medium_reciprocity' FROM {_TIERS_JSON}
+            UNION ALL SELECT unnest(low_reciprocity), 'low_reciprocity' FROM {_TIERS_JSON})
 SELECT t.tier, t.username, count(d.id) AS interactions
 FROM tiers t LEFT JOIN dedup d ON d.username = t.username GROUP BY 1, 2"""))
 def a3_flagged_tier_activity(spark, sf_dir):
