@@ -347,3 +347,28 @@ def test_knn_distance_equals_brute_force(spark):
     want = np.sort(d, axis=1)[:, 2]
     for i in range(60):
         assert abs(got[i] - want[i]) < 1e-5
+
+
+def test_near_duplicates_low_threshold_is_exact(spark):
+    """Prefix filtering is exact at any threshold (checked at 0.3, where LSH
+    candidate sets would be loose)."""
+    from threadlens.operators.text import clean_tokens, near_duplicates
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    docs = [(i, " ".join(rnd.sample(words, rnd.randrange(3, 12)))) for i in range(50)]
+    df = spark.createDataFrame(docs, "id int, text string")
+    rows = near_duplicates(df, "id", "text", threshold=0.3).collect()
+    toks = {r.id: set(r.t) for r in df.select("id", clean_tokens("text").alias("t")).collect()}
+    rep = {r.id_b: r.id_a for r in rows if r.kind == "copy"}
+    groups = {}
+    for i in toks:
+        groups.setdefault(rep.get(i, i), []).append(i)
+    got = set()
+    for m in groups.values():
+        got |= {(a, b) for a in m for b in m if a < b}
+    for r in rows:
+        if r.kind == "near":
+            got |= {(min(x, y), max(x, y)) for x in groups[r.id_a] for y in groups[r.id_b]}
+    want = {(a, b) for a in toks for b in toks
+            if a < b and len(toks[a] & toks[b]) / len(toks[a] | toks[b]) >= 0.3}
+    assert got == want

@@ -183,7 +183,29 @@ def i6_topic_share_by_day(spark, sf_dir):
     return T.topic_share_by_day(rows, "day")
 
 
-@register("i8_near_duplicate_documents")
+_I8_SQL = sql("d0 AS (SELECT doc_id, text FROM documents)", body=f"""
+, tk AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h,
+                list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''),
+                  'https?://\\S+', ' ', 'g')), '[^a-z]+'), lambda x: x <> '')) AS toks FROM d0),
+tk2 AS (SELECT * FROM tk WHERE len(toks) > 0),
+rep AS (SELECT h, min(doc_id) AS rep FROM tk2 GROUP BY h),
+copies AS (SELECT r.rep AS id_a, t.doc_id AS id_b, 1.0 AS jaccard, 'copy' AS kind
+           FROM tk2 t JOIN rep r ON r.h = t.h WHERE t.doc_id <> r.rep),
+uniq AS (SELECT t.doc_id, t.toks FROM tk2 t JOIN rep r ON r.rep = t.doc_id),
+flat AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok FROM uniq),
+fr AS (SELECT tok, count(*) AS df FROM flat GROUP BY tok),
+rk AS (SELECT f.doc_id, f.n, f.tok, row_number() OVER (PARTITION BY f.doc_id ORDER BY fr.df, f.tok) - 1 AS pos
+       FROM flat f JOIN fr ON fr.tok = f.tok),
+pre AS (SELECT doc_id, tok FROM rk WHERE pos < n - ceil(n * 0.8 - 1e-9) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.tok = b.tok AND a.doc_id < b.doc_id),
+pairs AS (SELECT c.a, c.b, len(list_intersect(ua.toks, ub.toks)) AS i, len(ua.toks) AS la, len(ub.toks) AS lb
+          FROM cand c JOIN uniq ua ON ua.doc_id = c.a JOIN uniq ub ON ub.doc_id = c.b)
+SELECT id_a, id_b, jaccard, kind FROM copies
+UNION ALL
+SELECT a, b, {sql_r6('i / (la + lb - i)')}, 'near' FROM pairs WHERE i / (la + lb - i) >= 0.8""")
+
+
+@register("i8_near_duplicate_documents", _I8_SQL)
 def i8_near_duplicate_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     return T.near_duplicates(d, "doc_id", "text", threshold=0.8)
