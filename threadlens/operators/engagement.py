@@ -145,7 +145,10 @@ def percentile_features(forum: Forum, start, end, communities) -> DataFrame:
     comments = load_comments(forum, start, end, communities)
     pct = comment_percentiles(posts, comments)
     pct = max_scaled(pct, PCT_COLS + ["score"])
-    comms = sorted(r[0] for r in posts.select("subreddit").distinct().collect())
+    max_cols = 1000   # one column per community, as the reference: bounded explicitly
+    comms = sorted(r[0] for r in posts.select("subreddit").distinct().limit(max_cols + 1).collect())
+    if len(comms) > max_cols:
+        raise ValueError(f"more than {max_cols} communities: use a sparse encoding (StringIndexer + OneHotEncoder)")
     pct = pct.join(posts.select("post_id", "subreddit").dropDuplicates(["post_id"]), "post_id")
     return one_hot(pct, "subreddit", comms)
 
