@@ -47,3 +47,14 @@ def test_every_query_has_callable_and_entry_runs(spark):
     assert set(o) <= set(q)
     df = E.entry(spark)
     assert df.count() >= 0
+
+
+def test_entry_module_imports_without_spark():
+    """The driver may read oracle_sql() in a process with no Spark session:
+    no module may build Columns at import time."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import __spark_entry__ as E; "
+            "q = E.queries(); o = E.oracle_sql(); assert set(o) <= set(q) and len(o) > 100; print(len(q))")
+    r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert r.returncode == 0, r.stderr[-2000:]
