@@ -4,24 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
-from .common import table
+from threadlens.session import scratch_path
+
+from . import chat, hmm, idfiles, langid, mixing, neardup, packing, quality, sharding, topk
+from .common import remainder, table
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4, 2)
+    model = langid.train(docs.where(~held_out))
+    told = langid.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_ids(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+CONTROL_CASE = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.table_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    case = spark.sql(f"SELECT id AS turn, -7L AS conv_id, '{CONTROL_CASE}' AS text, "
+                     "CASE id WHEN 0 THEN 'user' ELSE 'assistant' END AS role FROM range(2)")
+    every = turns.unionByName(chat.table_turns(case, "conv_id", "turn"))
+    return chat.read_back(chat.format_turns(every)).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = topk.search(rows, rows.where("id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7, 2)
+    scored = hmm.score(docs, *hmm.train(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -30,10 +80,24 @@ def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"], SHARDS)
 
 
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "id-files")
+    idfiles.write_ids(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return idfiles.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op3_window_packing": op3_window_packing,
+    "op4_chat_format": op4_chat_format,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_source_mixing": op6_source_mixing,
+    "op7_hamming_top_k": op7_hamming_top_k,
+    "op8_hmm_scores": op8_hmm_scores,
     "op9_shard_lookup": op9_shard_lookup,
+    "op10_id_files": op10_id_files,
+    "pipeline": corpus_pipeline.run,
 }
 
 # A source stops at twice its size if, with every source given its weight times that
@@ -65,4 +129,42 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
        CAST(size * (passes + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own))
                              THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c""",
+    "op4_chat_format": r"""
+WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+               UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?INST\]|/?ROLE\]|:\]|/?s>|</?SYS>>)', '\1\\\2\3', 'g')) AS n,
+             length(regexp_replace(role, '([\[<])(\\*)(/?INST\]|/?ROLE\]|:\]|/?s>|</?SYS>>)', '\1\\\2\3', 'g')) AS r FROM every)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE r + 16 END)
+            AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+    # Brute force: all pairs that share a shingle, then everything reachable.
+    "op5_near_duplicates": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b USING (shingle)
+          WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+          WHERE 100 * p.n >= 75 * (x.n + y.n - p.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)""",
+    # Brute force: every query against every row, bit by bit.
+    "op7_hamming_top_k": r"""
+WITH b AS (SELECT DISTINCT vec_id, i, embedding[i] > 0 AS bit
+           FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+d AS (SELECT q.vec_id AS query_id, r.vec_id, count(*) FILTER (q.bit <> r.bit) AS distance
+      FROM b q JOIN b r USING (i) WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id GROUP BY 1, 2)
+SELECT query_id, rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
