@@ -4,73 +4,101 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
+
+import numpy as np
 
 # The byte-level pattern never joins a space to a non-space character before it, so a
 # text may be cut before such a space and its parts encoded on their own. The class
 # holds characters that are surely no white space; any other space is left uncut.
-_UNSURE = re.compile(r"[^!-~\w] ")
+_SURE = re.compile(r"[!-~\w]")
 _CUT = re.compile(r"(?<=[!-~\w])(?= )")
 
-CACHE_PARTS = 300_000
-CACHE_CHARS = 6_000_000
+# Words of each of two generations of the cache; one word takes about 200 bytes.
+CACHE_WORDS = 400_000
+CACHE_CHARS = 8_000_000
+_JOIN_CHARS = 4_000      # parts are encoded in runs of about so many characters
 
 
 class Encoder:
     """Encodes with a byte-level BPE file of the ``tokenizers`` library, special tokens not
-    added. Parts of texts (mostly words) that were met before come from a bounded cache."""
+    added. Words that were met lately come from a bounded cache."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}   # by part
-        self.spaced: dict[str, bytes] = {}         # by part without its leading space
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)     # whether a token begins with a space
+        for token, i in vocab.items():
+            self.opens[i] = token.startswith("Ġ")
+        self.words: dict[str, bytes] = {}                        # ids of " " + word
+        self.older: dict[str, bytes] = {}
         self.chars = 0
+        self.sure: set[str] = set()
 
     @property
     def id_bits(self) -> int:
         """Bits that hold every id of the vocabulary."""
-        return max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for e in self.tokenizer.encode_batch(parts, add_special_tokens=False):
-            ids = array("I", e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            out.append(ids.tobytes())
-        return out
-
-    def _learn(self, cache: dict[str, bytes], parts, lead: str) -> None:
-        new = list({p for p in parts if p not in cache})
-        for p, ids in zip(new, self._encode([lead + p for p in new])):
-            cache[p] = ids
-            self.chars += len(p)
+        return max(1, (len(self.opens) - 1).bit_length())
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode words joined by spaces: each begins at a token that begins with a space,
+        as a word has no other one."""
+        new = words - self.words.keys()
+        kept = new & self.older.keys()
+        self.words.update(zip(kept, map(self.older.__getitem__, kept)))
+        runs, size = [[]], 0
+        for w in new - kept:
+            if size >= _JOIN_CHARS:
+                runs.append([])
+                size = 0
+            runs[-1].append(w)
+            size += len(w)
+        if not runs[0]:
+            return
+        done = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)
+        for run, encoding in zip(runs, done):
+            ids = np.array(encoding.ids, "<u4")
+            cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            data = ids.tobytes()
+            if len(cuts) != len(run):
+                raise ValueError("the tokenizer joins words that are parted by a space")
+            self.words.update(zip(run, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
+            self.chars += sum(map(len, run))
+
+    def _is_sure(self, ends: set[str]) -> bool:
+        for c in ends - self.sure:
+            if not _SURE.match(c):
+                return False
+            self.sure.add(c)
+        return True
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text; a null text is empty."""
-        if len(self.known) + len(self.spaced) > CACHE_PARTS or self.chars > CACHE_CHARS:
-            self._clear()
-        plain, cut = [], []
+        if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.older, self.words, self.chars = self.words, {}, 0   # words in use move on
+        parted, wanted = [], set()
         for t in texts:
-            t = t if isinstance(t, str) else ""
-            if _UNSURE.search(t):
-                plain.append(_CUT.split(t))
-                cut.append(None)
+            parts = (t or "").split(" ")
+            if self._is_sure({p[-1:] for p in parts[:-1]}):
+                first, *rest = parts
             else:
-                first, *rest = t.split(" ")
-                plain.append([first])
-                cut.append(rest)
-        self._learn(self.known, (p for ps in plain for p in ps), "")
-        self._learn(self.spaced, (p for ps in cut if ps for p in ps), " ")
-        known, spaced = self.known.__getitem__, self.spaced.__getitem__
-        return [b"".join(map(known, ps)) + (b"".join(map(spaced, rest)) if rest else b"")
-                for ps, rest in zip(plain, cut)]
+                # Spaces after white space and the like: only the sure ones are cut, and
+                # what can't be parted at every space is encoded as it stands.
+                first, rest = "", []
+                cut = _CUT.split(t)
+                while cut and (not cut[-1].startswith(" ") or " " not in cut[-1][1:]) and len(cut) > 1:
+                    rest.append(cut.pop()[1:])
+                rest.reverse()
+                first = "".join(cut)
+            parted.append((first, rest))
+            wanted.update(rest)
+        self._learn(wanted)
+        ids = self.words.__getitem__
+        return [(self._plain(first) if first else b"") + b"".join(map(ids, rest)) for first, rest in parted]
 
 
 _encoders: dict[str, Encoder] = {}
