@@ -50,8 +50,7 @@ def test_exact_quantiles_match_numpy(spark):
     rows += [(9, 3.0)]  # one-row group
     df = spark.createDataFrame(rows, "g int, v double")
     probs = [0.05, 0.25, 0.5, 0.75]
-    got = {r.g: [r.q0, r.q1, r.q2, r.q3] for r in exact_quantiles(df, ["g"], "v", probs, buckets=16,
-                                                                    small_group=10).collect()}
+    got = {r.g: [r.q0, r.q1, r.q2, r.q3] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     for g, grp in pdf.groupby("g"):
         assert np.allclose(got[g], np.percentile(grp.v.values, [5, 25, 50, 75]), rtol=0, atol=1e-9)
@@ -63,7 +62,7 @@ def test_value_at_rank(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x int")
     s = sorted(vals)
     for r in range(len(vals)):
-        assert value_at_rank(df, "x", r, buckets=4, small=2) == s[r]
+        assert value_at_rank(df, "x", r) == s[r]
 
 
 # ------------------------------------------------------------- pair counting
@@ -304,31 +303,6 @@ def test_betweenness_exact_when_all_sources(spark):
         assert abs(got[v] - want[v]) < 1e-6
 
 
-@pytest.mark.parametrize("block", [3, 7, 1000])
-def test_dense_pairs_equal_naive(spark, block):
-    from threadlens.operators.graph import dense_pair_counts
-    rnd = random.Random(13)
-    up = {(f"u{rnd.randrange(30)}", rnd.randrange(8)) for _ in range(150)}
-    df = spark.createDataFrame(sorted(up), "username string, post_id int")
-    threads = sorted({p for _, p in up})
-    for n in (1, 3):
-        got = {(r.user1, r.user2): r.shared_interactions
-               for r in dense_pair_counts(df, n, threads, block_users=block).collect()}
-        assert got == _naive_pairs(up, n)
-
-
-def test_exact_quantiles_bucket_path_equals_fast_path(spark):
-    from threadlens.operators.quantiles import exact_quantiles
-    rnd = random.Random(21)
-    rows = [(g, float(rnd.choice([rnd.random() * 10, 1.0, 2.0]))) for g in range(3) for _ in range(500)]
-    df = spark.createDataFrame(rows, "g int, v double")
-    probs = [0.05, 0.25, 0.5, 0.75, 1.0]
-    fast = {r.g: list(r)[2:] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
-    slow = {r.g: list(r)[2:] for r in exact_quantiles(df, ["g"], "v", probs, buckets=8, small_group=10).collect()}
-    for g in fast:
-        assert np.allclose(fast[g], slow[g], rtol=0, atol=1e-12)
-
-
 def test_connected_components(spark):
     from threadlens.operators.graph import connected_components
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("d", "c")], "a string, b string")
@@ -372,3 +346,158 @@ def test_near_duplicates_low_threshold_is_exact(spark):
     want = {(a, b) for a in toks for b in toks
             if a < b and len(toks[a] & toks[b]) / len(toks[a] | toks[b]) >= 0.3}
     assert got == want
+
+
+def test_value_at_rank_keeps_the_type(spark):
+    from threadlens.operators.quantiles import value_at_rank
+    big = spark.createDataFrame([(2 ** 53 + i,) for i in range(5)], "x long")
+    assert value_at_rank(big, "x", 1) == 2 ** 53 + 1
+    names = spark.createDataFrame([("b",), ("a",), ("c",), (None,)], "x string")
+    assert [value_at_rank(names, "x", i) for i in range(4)] == ["a", "b", "c", None]
+
+
+def test_quantiles_of_a_skewed_group(spark):
+    from threadlens.operators.quantiles import exact_quantiles
+    v = np.random.default_rng(3).pareto(0.5, 4000)
+    df = spark.createDataFrame([(None, float(x)) for x in v] + [("b", 1.0), ("b", None), ("c", None)], "g string, v double")
+    got = {r.g: (r.n, r.q) for r in exact_quantiles(df, ["g"], "v", [0.5], ["q"]).collect()}
+    assert got[None][0] == 4000 and math.isclose(got[None][1], np.percentile(v, 50), rel_tol=1e-12)
+    assert got["b"] == (1, 1.0) and "c" not in got
+
+
+def test_long_chain_is_one_component(spark):
+    from threadlens.operators.graph import connected_components
+    e = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(131)] + [("z", "z")], "a string, b string")
+    got = {r.node: r.component for r in connected_components(e).collect()}
+    assert set(got.values()) == {"n000", "z"} and len(got) == 133
+
+
+@pytest.mark.parametrize("span,chunk", [(7, 512), (60, 64), (60, 7)])
+def test_ema_is_the_full_recurrence(spark, span, chunk):
+    from threadlens.operators.timeseries import ema
+    rnd = np.random.default_rng(1)
+    rows = [(k, i, float(x)) for k in ("a", "b") for i, x in enumerate(rnd.uniform(0, 1000, 300))]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    got = {(r.k, r.i): r[f"ema_{span}_x"] for r in ema(df, "i", "x", span, ["k"], chunk).collect()}
+    for k, g in pd.DataFrame(rows, columns=["k", "i", "x"]).groupby("k"):
+        for i, want in zip(g.i, g.x.ewm(span=span).mean()):
+            assert math.isclose(got[k, i], want, abs_tol=2e-6)
+
+
+def test_ema_without_key_and_with_nulls(spark):
+    from threadlens.operators.timeseries import ema
+    xs = [None, 1.0, None, 4.0, 2.0]
+    df = spark.createDataFrame(list(enumerate(xs)), "i int, x double")
+    got = [r.ema_3_x for r in ema(df, "i", "x", 3, chunk=2).orderBy("i").collect()]
+    want = pd.Series(xs).ewm(span=3, ignore_na=True).mean()
+    assert got[0] is None and np.allclose(got[1:], want[1:], atol=1e-6)
+
+
+def test_auc_without_key(spark):
+    from threadlens.operators.timeseries import auc_labels, auc_segments, local_extrema
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(base + dt.timedelta(days=i), float(v)) for i, v in enumerate([0, 5, 1, 9, 2, 3, 0, 4, 1])],
+                               "day timestamp_ntz, n double")
+    segs = auc_segments(local_extrema(df, "day", "n"), "day", "n")
+    areas = {r.seg: r.auc for r in segs.collect()}
+    assert areas[1] == 3.0 and areas[2] == 5.0
+    got = {(r.day - base).days: (r.auc_spike, r.auc_drop) for r in auc_labels(df, segs, "day", 4.0, 4.0).collect()}
+    assert got[0] == (0.0, 0.0) and got[2] == (5.0, 3.0) and len(got) == 9
+
+
+def test_reply_tree_deep_chain_orphans_and_cycles(spark):
+    from threadlens.sources.ingest import reply_tree
+    rows = [("m0", None)] + [(f"m{i}", f"m{i - 1}") for i in range(1, 151)]
+    rows += [("o1", "gone"), ("o2", "o1"), ("c1", "c2"), ("c2", "c1"), ("c3", "c1"), ("r", None)]
+    got = {r.msg_id: (r.root_id, r.depth) for r in reply_tree(
+        spark, spark.createDataFrame(rows, "msg_id string, parent_msg_id string")).collect()}
+    assert got == {f"m{i}": ("m0", i) for i in range(151)} | {"r": ("r", 0)}
+
+
+def test_flatten_nested_three_levels(spark):
+    from threadlens.sources.ingest import flatten_nested
+    leaf = "struct<id:string,author:string,body:string,created_utc:double,score:long>"
+    mid = f"struct<id:string,author:string,body:string,created_utc:double,score:long,replies:array<{leaf}>>"
+    df = spark.createDataFrame(
+        [("a", "u", "x", 1.0, 1, [("b", "v", "y", 2.0, 2, [("c", "w", "z", 3.0, 3)]), ("d", "v", "y", 2.0, 2, None)]),
+         ("e", "u", "x", 1.0, 1, None)],
+        f"id string, author string, body string, created_utc double, score long, replies array<{mid}>")
+    assert {(r.id, r.parent_id) for r in flatten_nested(df).collect()} == {
+        ("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("e", None)}
+
+
+def test_assign_ids_are_consecutive(spark):
+    from threadlens.sources.ingest import assign_ids
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(rnd.random(), i) for i in range(500)], "x double, k int").repartition(7)
+    got = [r.id for r in assign_ids(df, ["x", "k"]).orderBy("x").collect()]
+    assert got == list(range(1, 501))
+
+
+def test_pairs_ignore_null_users_and_drop_bots(spark):
+    from threadlens.operators.graph import find_user_pairs
+    from threadlens.sources.roles import Forum
+    t = dt.datetime(2024, 1, 2)
+    posts = spark.createDataFrame([("p1", "s", "a", t, 1), ("p2", "s", None, t, 1)],
+                                  "post_id string, subreddit string, author string, created_utc timestamp_ntz, score int")
+    rows = [("p1", "b"), ("p1", None), ("p1", "AutoModerator"), ("p2", "c"), ("p2", "None"), ("p2", "b")]
+    comments = spark.createDataFrame([(p, a, t, 1) for p, a in rows],
+                                     "post_id string, author string, created_utc timestamp_ntz, score int")
+    f = Forum(posts, comments)
+    pairs = lambda clean: {(r.user1, r.user2) for r in find_user_pairs(
+        f, "2024-01-01", "2024-01-03", None, 1, clean_authors=clean).collect()}
+    assert pairs(True) == {("a", "b"), ("b", "c")}
+    assert pairs(False) == {("a", "b"), ("b", "c"), ("AutoModerator", "a"), ("AutoModerator", "b"),
+                            ("None", "b"), ("None", "c")}
+
+
+def test_sentiment_contractions_and_capitals(spark):
+    from threadlens.functions.sentiment import compound, tokens, with_compound
+    texts = ["this is good", "this isn't good", "don't like it", "this is GOOD", "THIS IS GOOD", "caf\u00e9 n'est \u00e9t\u00e9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.compound for r in with_compound(df, "t").orderBy("i").collect()]
+    assert got[1] < 0 < got[0] and got[2] < 0 and got[3] > got[0] == got[4] and got[5] == 0
+    assert [r[0] for r in df.orderBy("i").select(compound("t")).collect()] == got
+    assert df.filter("i = 5").select(tokens("t")).first()[0] == ["caf\u00e9", "nest", "\u00e9t\u00e9"]
+
+
+def test_clusters_are_the_same_after_load(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from threadlens.operators.ml import assign_clusters, cluster_posts
+    rnd = np.random.default_rng(5)
+    rows = [(i, float(rnd.normal(i % 3 * 9)), float(rnd.normal() * 100)) for i in range(90)]
+    df = spark.createDataFrame(rows, "post_id int, score double, f double")
+    res, model = cluster_posts(df, k=3)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = assign_clusters(df.filter("post_id % 2 = 1"), PipelineModel.load(str(tmp_path / "m")))
+    want = {r.post_id: r.cluster for r in res.collect()}
+    assert all(want[r.post_id] == r.cluster for r in again.collect()) and again.count() == 45
+
+
+def test_isolation_forest_keeps_small_groups(spark):
+    from threadlens.operators.ml import isolation_forest
+    rnd = np.random.default_rng(6)
+    rows = [(i, "big", *map(float, rnd.normal(size=3))) for i in range(200)] + [(900, "big", 50.0, 50.0, 50.0)]
+    rows += [(1000 + i, "tiny", 0.0, 1.0, 2.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, g string, a double, b double, c double")
+    got = {r.id: r for r in isolation_forest(df, "id", ["a", "b", "c"], n_trees=20, sample=32, group="g",
+                                             contamination=0.02).collect()}
+    assert len(got) == len(rows) and got[900].is_anomaly == 1
+    assert all(got[1000 + i].is_anomaly == 0 and got[1000 + i].anomaly_score is None for i in range(5))
+
+
+def test_knn_with_too_few_neighbours(spark):
+    from threadlens.operators.ml import knn_distance
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(3)], "id int, v array<double>")
+    assert all(r.knn5_distance is None for r in knn_distance(df, "id", "v", k=5).collect())
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    from threadlens.streaming import jobs as S
+    out = str(tmp_path / "out")
+    b = spark.createDataFrame([(1, "x")], "k int, v string")
+    for epoch in (0, 0, 1):
+        S._batch_sink(out)(b, epoch)
+    assert spark.read.parquet(out).count() == 2
+    assert S.path_exists(spark, out) and not S.path_exists(spark, out + "-none")

@@ -3,8 +3,10 @@
 The method follows the published rule-based approach of Hutto & Gilbert
 (2014): a valence per known word, adjusted by booster words in the three
 preceding tokens (damped by distance), flipped and scaled by a negation in the
-three preceding tokens, weighted around the first "but", plus emphasis for
-exclamation marks, then normalised as s / sqrt(s² + alpha).
+three preceding tokens, weighted around the first "but", raised for a word in capitals
+inside a text that isn't all capitals, plus emphasis for exclamation marks, then
+normalised as s / sqrt(s² + alpha). Tokens are runs of letters of any script;
+apostrophes inside words are dropped, so "isn't" is the negation "isnt".
 
 The lexicon is a parameter (any ``{word: valence}`` dict, e.g. loaded from a
 table of a few thousand rows); the built-in one below is a small self-written
@@ -31,47 +33,63 @@ EXCLAIM_MAX = 4
 BUT_BEFORE = 0.5
 BUT_AFTER = 1.5
 BOOST_DAMPING = (1.0, 0.95, 0.9)
-
-# Small self-written valence lexicon (scale -4..4).
-LEXICON = {
-    "good": 1.9, "great": 3.1, "excellent": 2.7, "love": 3.2, "like": 1.5, "nice": 1.8,
-    "happy": 2.7, "best": 3.2, "better": 1.9, "awesome": 3.1, "amazing": 2.8, "fun": 2.3,
-    "helpful": 1.7, "thanks": 1.9, "thank": 1.5, "agree": 1.5, "win": 2.8, "wonderful": 2.7,
-    "beautiful": 2.9, "glad": 2.0, "enjoy": 2.2, "support": 1.7, "fair": 1.3, "well": 1.1,
-    "clean": 1.7, "free": 1.9, "hope": 1.9, "interesting": 1.7, "perfect": 2.7, "safe": 1.9,
-    "bad": -2.5, "worse": -2.1, "worst": -3.1, "hate": -2.7, "terrible": -2.5, "awful": -2.0,
-    "angry": -2.3, "sad": -2.1, "poor": -2.1, "wrong": -2.1, "stupid": -2.4, "ugly": -2.3,
-    "fail": -2.5, "failed": -2.3, "problem": -1.7, "broken": -2.0, "spam": -1.5, "scam": -2.6,
-    "fake": -2.1, "lie": -1.8, "liar": -2.6, "kill": -3.7, "attack": -2.1, "fear": -2.2,
-    "boring": -1.3, "annoying": -1.7, "disagree": -1.6, "junk": -1.4, "toxic": -2.4, "secret": -0.3,
+CAPS_INCR = 0.733
+
+# Self-written lists of common words by strength; the valence is the strength.
+_STRENGTH = {
+    3.0: "great excellent love best awesome amazing wonderful perfect",
+    2.0: "good happy nice better fun win beautiful glad enjoy helpful thanks",
+    1.0: "like thank agree support fair well clean free hope interesting safe",
+    -1.0: "problem poor boring annoying disagree junk secret",
+    -2.0: "bad worse wrong sad angry awful fail failed broken ugly stupid fake lie fear spam attack toxic",
+    -3.0: "worst hate terrible kill scam liar",
 }
+LEXICON = {w: v for v, ws in _STRENGTH.items() for w in ws.split()}
 BOOSTERS = {
     "very": BOOST_INCR, "really": BOOST_INCR, "extremely": BOOST_INCR, "so": BOOST_INCR,
     "absolutely": BOOST_INCR, "totally": BOOST_INCR, "most": BOOST_INCR, "more": BOOST_INCR,
     "slightly": BOOST_DECR, "barely": BOOST_DECR, "somewhat": BOOST_DECR, "less": BOOST_DECR,
     "kind": BOOST_DECR, "little": BOOST_DECR,
 }
-NEGATIONS = ("not", "no", "never", "nothing", "nobody", "none", "neither", "nor", "without",
-             "cannot", "isnt", "dont", "doesnt", "wont", "cant")
+NEGATIONS = ("not", "no", "never", "nothing", "nobody", "none", "neither", "nor", "without", "cannot",
+             "isnt", "arent", "wasnt", "werent", "aint", "dont", "doesnt", "didnt", "wont", "wouldnt", "cant",
+             "couldnt", "shouldnt", "hasnt", "havent", "hadnt")
+
+APOSTROPHES = "['\u2019]"
+TOKEN_SPLIT = r"[^\p{L}]+"
 
-TOKEN_SPLIT = "[^a-z]+"
+
+def raw_tokens(text: Column | str) -> Column:
+    """Letter runs in their own case, apostrophes dropped."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(F.regexp_replace(F.coalesce(t, F.lit("")), APOSTROPHES, ""), TOKEN_SPLIT),
+                    lambda x: x != F.lit(""))
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-cased ASCII letter runs."""
+    """Lower-cased letter runs."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), TOKEN_SPLIT), lambda x: x != F.lit(""))
+    return raw_tokens(F.lower(t))
+
+
+def raw_tokens_sql(expr: str) -> str:
+    """The same split in DuckDB SQL."""
+    return (f"list_filter(regexp_split_to_array(regexp_replace({expr}, '[''\u2019]', '', 'g'), "
+            f"'{TOKEN_SPLIT}'), lambda x: x <> '')")
 
 
 def _map(d: Mapping[str, float]) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
 
 
-def _score(toks: Column, t: Column, lexicon: Mapping[str, float]) -> Column:
+def _score(raw: Column, toks: Column, t: Column, lexicon: Mapping[str, float]) -> Column:
+    """``toks`` are the lower-cased ``raw`` tokens; both must be cheap references."""
     lex = _map(lexicon)
     keys = list(lexicon)
     boost = _map(BOOSTERS)
     but_pos = F.array_position(toks, "but") - 1  # 0-based, -1 when absent
+    loud = lambda w: (w == F.upper(w)) & (w != F.lower(w))
+    some_loud = F.exists(raw, loud) & F.exists(raw, lambda w: ~loud(w))
 
     def val(tok, i):
         # Only lexicon words get a valence; the membership test is an IN list,
@@ -80,7 +98,7 @@ def _score(toks: Column, t: Column, lexicon: Mapping[str, float]) -> Column:
         # linear chain, keeping the expression small.
         v0 = F.element_at(lex, tok)
         sgn = F.when(v0 < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        v = v0
+        v = v0 + F.when(loud(F.get(raw, i)) & some_loud, sgn * F.lit(CAPS_INCR)).otherwise(F.lit(0.0))
         for d, damp in enumerate(BOOST_DAMPING, start=1):
             b = F.coalesce(F.try_element_at(boost, F.get(toks, i - d)), F.lit(0.0))
             v = v + sgn * b * F.lit(damp)
@@ -101,20 +119,19 @@ def _score(toks: Column, t: Column, lexicon: Mapping[str, float]) -> Column:
 
 def with_compound(df, text: str, out: str = "compound",
                   lexicon: Mapping[str, float] | None = None):
-    """Add the compound score of ``text`` as column ``out``.
-
-    The token array is projected once as its own column, so the per-token
-    look-backs index a materialised array instead of re-splitting the text.
-    """
-    x = df.withColumn("_toks", tokens(text))
-    return x.withColumn(out, _score(F.col("_toks"), F.col(text), lexicon or LEXICON)).drop("_toks")
+    """Add the compound score of ``text`` as column ``out``. The token arrays are
+    projected once as columns, so the look-backs index them instead of
+    re-splitting the text."""
+    x = df.withColumn("_raw", raw_tokens(text)).withColumn("_toks", F.transform("_raw", lambda w: F.lower(w)))
+    return x.withColumn(out, _score(F.col("_raw"), F.col("_toks"), F.col(text), lexicon or LEXICON)).drop("_raw", "_toks")
 
 
 def compound(text: Column | str, lexicon: Mapping[str, float] | None = None) -> Column:
-    """Compound score as a single expression (prefer :func:`with_compound` on
-    long texts: here the token array is recomputed inside the look-backs)."""
+    """Compound score as a single expression, the token arrays bound once."""
     t = F.col(text) if isinstance(text, str) else text
-    return _score(tokens(t), t, lexicon or LEXICON)
+    raw = raw_tokens(t)
+    both = F.array(F.struct(raw.alias("raw"), F.transform(raw, lambda w: F.lower(w)).alias("toks")))
+    return F.transform(both, lambda b: _score(b["raw"], b["toks"], t, lexicon or LEXICON))[0]
 
 
 def sentiment_sql(src: str, id_col: str, text_col: str) -> str:
@@ -127,23 +144,25 @@ def sentiment_sql(src: str, id_col: str, text_col: str) -> str:
     d1, d2, d3 = BOOST_DAMPING
     return f"""
 s_src AS (SELECT {id_col} AS sid, coalesce({text_col}, '') AS stext FROM ({src})),
-s_tl AS (SELECT sid, stext, list_filter(regexp_split_to_array(lower(stext), '{TOKEN_SPLIT}'), lambda x: x <> '') AS toks
-         FROM s_src),
-s_tok AS (SELECT sid, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM s_tl),
+s_tl AS (SELECT sid, stext, {raw_tokens_sql('stext')} AS toks FROM s_src),
+s_raw AS (SELECT sid, unnest(toks) AS w, generate_subscripts(toks, 1) - 1 AS pos FROM s_tl),
+s_tok AS (SELECT sid, lower(w) AS tok, pos, w = upper(w) AND w <> lower(w) AS loud FROM s_raw),
+s_caps AS (SELECT sid, bool_or(loud) AND bool_or(NOT loud) AS some_loud FROM s_tok GROUP BY sid),
 s_lex AS (SELECT * FROM (VALUES {lex}) t(word, val)),
 s_boo AS (SELECT * FROM (VALUES {boo}) t(word, val)),
 s_but AS (SELECT sid, min(pos) AS bpos FROM s_tok WHERE tok = 'but' GROUP BY sid),
-s_ctx AS (SELECT sid, pos, tok, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3
+s_ctx AS (SELECT sid, pos, tok, loud, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3
           FROM s_tok WINDOW w AS (PARTITION BY sid ORDER BY pos)),
 s_val AS (
   SELECT c.sid, c.pos, l.val AS v0,
-         l.val + (CASE WHEN l.val < 0 THEN -1.0 ELSE 1.0 END) * coalesce(b1.val, 0) * {d1}
+         l.val + (CASE WHEN c.loud AND cp.some_loud THEN (CASE WHEN l.val < 0 THEN -1.0 ELSE 1.0 END) * {CAPS_INCR} ELSE 0 END)
+               + (CASE WHEN l.val < 0 THEN -1.0 ELSE 1.0 END) * coalesce(b1.val, 0) * {d1}
                + (CASE WHEN l.val < 0 THEN -1.0 ELSE 1.0 END) * coalesce(b2.val, 0) * {d2}
                + (CASE WHEN l.val < 0 THEN -1.0 ELSE 1.0 END) * coalesce(b3.val, 0) * {d3} AS vb,
          coalesce(c.p1 IN ({neg}), false) OR coalesce(c.p2 IN ({neg}), false)
            OR coalesce(c.p3 IN ({neg}), false) AS negated,
          bt.bpos
-  FROM s_ctx c JOIN s_lex l ON l.word = c.tok
+  FROM s_ctx c JOIN s_lex l ON l.word = c.tok JOIN s_caps cp ON cp.sid = c.sid
   LEFT JOIN s_boo b1 ON b1.word = c.p1 LEFT JOIN s_boo b2 ON b2.word = c.p2
   LEFT JOIN s_boo b3 ON b3.word = c.p3 LEFT JOIN s_but bt ON bt.sid = c.sid),
 s_adj AS (SELECT sid, CASE WHEN bpos IS NULL THEN vn WHEN pos < bpos THEN vn * {BUT_BEFORE}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.numeric import r3, r6
 from threadlens.functions.predicates import date_range, in_communities
-from threadlens.operators.quantiles import exact_quantiles, scalar_quantiles
+from threadlens.operators.quantiles import exact_quantiles, ranked_values
+from threadlens.session import written
 from threadlens.sources.roles import Forum
 
 
@@ -46,13 +47,24 @@ def score_histogram(df: DataFrame, col: str = "score", num_bins: int = 26,
     is rebuilt with the same float operations and the index corrected against
     it, so float edges cannot move a value by one bin.
     """
-    from threadlens.session import cut_lineage
-    x = cut_lineage(df.select(F.col(col).cast("double").alias("x")).dropna())  # read several times
-    (q1, q3), total = scalar_quantiles(x, "x", [0.25, 0.75], with_count=True)
+    # Everything follows from the distinct values with their counts and ranks.
+    x = written(ranked_values(df.select(F.col(col).cast("double").alias("x")), [], "x"), "histogram")
+    x = x.withColumnRenamed("_v", "x")
+    total = x.agg(F.sum("_m")).first()[0] or 0
     if total == 0:
         return x.sparkSession.createDataFrame(
             [], "part string, bin int, bin_start double, bin_end double, bin_center double, "
                 "n bigint, share double, pct double")
+
+    def quantile(p):
+        pos = p * (total - 1)
+        r0, r1 = int(pos), min(int(pos) + 1, total - 1)
+        held = lambda r: F.max(F.when((F.col("_first") <= r) & (F.lit(r) < F.col("_first") + F.col("_m")), F.col("x")))
+        return held(r0), held(r1), pos - r0
+
+    (a1, b1, f1), (a3, b3, f3) = quantile(0.25), quantile(0.75)
+    v = x.agg(a1.alias("a1"), b1.alias("b1"), a3.alias("a3"), b3.alias("b3")).first()
+    q1, q3 = v["a1"] + (v["b1"] - v["a1"]) * f1, v["a3"] + (v["b3"] - v["a3"]) * f3
     iqr = q3 - q1
     lo_b, hi_b = q1 - iqr_mult * iqr, q3 + iqr_mult * iqr
     main = x.filter((F.col("x") >= lo_b) & (F.col("x") <= hi_b))
@@ -76,7 +88,7 @@ def score_histogram(df: DataFrame, col: str = "score", num_bins: int = 26,
         b = F.col("bin")
         binned = binned.withColumn("bin", F.when((F.col("x") >= edge(b + 1)) & (b < num_bins - 1),
                                                  b + 1).otherwise(b))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = binned.groupBy("bin").agg(F.sum("_m").alias("n"))
     spark = x.sparkSession
     spine = spark.range(num_bins).select(F.col("id").cast("int").alias("bin"))
     i = F.col("bin")
@@ -85,8 +97,8 @@ def score_histogram(df: DataFrame, col: str = "score", num_bins: int = 26,
                          edge(i).alias("bin_start"), edge(i + 1).alias("bin_end"),
                          F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
     main_rows = main_rows.withColumn("bin_center", F.lit(0.5) * (F.col("bin_start") + F.col("bin_end")))
-    outl = x.agg(F.sum(F.when(F.col("x") < lo_b, 1).otherwise(0)).cast("bigint").alias("lower"),
-                 F.sum(F.when(F.col("x") > hi_b, 1).otherwise(0)).cast("bigint").alias("upper"))
+    outl = x.agg(F.sum(F.when(F.col("x") < lo_b, F.col("_m")).otherwise(0)).cast("bigint").alias("lower"),
+                 F.sum(F.when(F.col("x") > hi_b, F.col("_m")).otherwise(0)).cast("bigint").alias("upper"))
     out_rows = outl.select(F.explode(F.array(
         F.struct(F.lit("lower").alias("part"), F.col("lower").alias("n")),
         F.struct(F.lit("upper").alias("part"), F.col("upper").alias("n")))).alias("o")).select(
@@ -126,7 +138,7 @@ def max_scaled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = df
     for c in cols:
         m = row[c]
-        out = out.withColumn(c, F.lit(None).cast("double") if not m else r6(F.col(c) / F.lit(float(m))))
+        out = out.withColumn(c, F.lit(None).cast("double") if not m else F.col(c) / F.lit(float(m)))
     return out
 
 

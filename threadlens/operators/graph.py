@@ -34,8 +34,8 @@ def interactions(forum: Forum, start, end, communities: Sequence[str] | None = N
 
 
 def user_posts(inter: DataFrame) -> DataFrame:
-    """G2 + B7: distinct (username, post_id) with a post id."""
-    return inter.filter(F.col("post_id").isNotNull()).distinct()
+    """G2 + B7: distinct (username, post_id) with a user and a post id."""
+    return inter.filter(F.col("post_id").isNotNull() & F.col("username").isNotNull()).distinct()
 
 
 def shared_thread_pairs(up: DataFrame, min_shared: int = 2,
@@ -55,29 +55,34 @@ def shared_thread_pairs(up: DataFrame, min_shared: int = 2,
       the work of one hot thread spreads over many tasks. Ordinary threads
       (one chunk) join exactly as before.
     * The pair count is aggregated partially inside the join stage, so only
-      distinct pairs per task reach the shuffle.
+      distinct pairs per task reach the shuffle; users are numbered first, so
+      a pair is two longs there and gets its names after the threshold.
     """
+    from threadlens.session import written
     keys = list(keys)
     if min_shared > 1:
         active = (up.groupBy(*keys, "username").agg(F.count(F.lit(1)).alias("n_threads"))
                   .filter(F.col("n_threads") >= min_shared).select(*keys, "username"))
         up = up.join(active, keys + ["username"], "left_semi")
+    names = written(up.select("username").distinct().withColumn("u", F.monotonically_increasing_id()), "pair-users")
+    up = up.join(names, "username").select(*keys, "post_id", "u")
     deg = (up.groupBy(*keys, "post_id").agg(F.count(F.lit(1)).alias("deg"))
            .filter(F.col("deg") >= 2))
     up = up.join(deg, keys + ["post_id"], "inner")
     nch = F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(chunk_users))).cast("int")
-    up = up.withColumn("nch", nch).withColumn(
-        "ch", F.pmod(F.xxhash64("username"), F.col("nch")).cast("int"))
-    left = up.select(*keys, "post_id", F.col("username").alias("u"), F.col("ch").alias("c1"),
+    up = up.withColumn("nch", nch).withColumn("ch", F.pmod(F.xxhash64("u"), F.col("nch")).cast("int"))
+    left = up.select(*keys, "post_id", "u", F.col("ch").alias("c1"),
                      F.explode(F.sequence(F.col("ch"), F.col("nch") - 1)).alias("c2"))
-    right = up.select(*keys, "post_id", F.col("username").alias("v"), F.col("ch").alias("c2"),
+    right = up.select(*keys, "post_id", F.col("u").alias("v"), F.col("ch").alias("c2"),
                       F.explode(F.sequence(F.lit(0), F.col("ch"))).alias("c1"))
     cand = (left.join(right, keys + ["post_id", "c1", "c2"], "inner")
             .filter((F.col("c1") < F.col("c2")) | (F.col("u") < F.col("v"))))
-    pairs = cand.select(*keys, F.least("u", "v").alias("user1"), F.greatest("u", "v").alias("user2"))
-    return (pairs.groupBy(*keys, "user1", "user2")
-            .agg(F.count(F.lit(1)).alias("shared_interactions"))
-            .filter(F.col("shared_interactions") >= min_shared))
+    pairs = (cand.groupBy(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+             .agg(F.count(F.lit(1)).alias("shared_interactions"))
+             .filter(F.col("shared_interactions") >= min_shared))
+    one, two = names.select("u", F.col("username").alias("a")), names.select(F.col("u").alias("v"), F.col("username").alias("b"))
+    return pairs.join(one, "u").join(two, "v").select(
+        *keys, F.least("a", "b").alias("user1"), F.greatest("a", "b").alias("user2"), "shared_interactions")
 
 
 def keyed_shared_thread_pairs(up: DataFrame, key: str, min_shared: int = 2) -> DataFrame:
@@ -92,9 +97,9 @@ def find_user_pairs(forum: Forum, start, end, communities=None, min_shared: int
     The distinct (user, thread) table is written once to the shared folder:
     the pair job reads it three times (user pruning, thread degrees, the
     tiles), and it is much smaller than the interactions it comes from."""
-    from threadlens.session import cut_lineage
-    up = cut_lineage(user_posts(interactions(forum, start, end, communities, clean_authors)))
-    return co_engagement_pairs(up, min_shared, params.pair_chunk_users)
+    from threadlens.session import written
+    up = written(user_posts(interactions(forum, start, end, communities, clean_authors)), "user-posts")
+    return shared_thread_pairs(up, min_shared, params.pair_chunk_users)
 
 
 def user_totals(forum: Forum, start, end, communities=None) -> DataFrame:
@@ -128,7 +133,10 @@ def weighted_graph(pairs: DataFrame, totals: DataFrame, min_score: float):
 
 def scale_edges(edges: DataFrame) -> DataFrame:
     """width = (w - min) / (max - min); equal weights → denominator 1.
-    min/max are one scalar aggregate read back as literals."""
+    min/max are one scalar aggregate read back as literals, over edges that
+    are written first: they are read twice."""
+    from threadlens.session import written
+    edges = written(edges, "edges")
     row = edges.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi")).first()
     lo = row["lo"] if row["lo"] is not None else 0
     hi = row["hi"] if row["hi"] is not None else 1
@@ -173,10 +181,12 @@ def bipartite_nodes(inter: DataFrame) -> DataFrame:
 def degree_centrality(edges: DataFrame) -> DataFrame:
     """Degree, weighted degree and degree / (n − 1)."""
     from threadlens.functions.numeric import r6
+    from threadlens.session import written
     ends = (edges.select(F.col("user1").alias("username"), "weight")
             .unionByName(edges.select(F.col("user2").alias("username"), "weight")))
     d = ends.groupBy("username").agg(F.count(F.lit(1)).alias("degree"),
                                       F.sum("weight").cast("bigint").alias("weighted_degree"))
+    d = written(d, "degrees")     # counted and returned
     n = d.count()
     cen = r6(F.col("degree") / F.lit(float(n - 1))) if n > 1 else F.lit(None).cast("double")
     return d.withColumn("degree_centrality", cen)
@@ -266,6 +276,57 @@ def top_fraction_posts(forum: Forum, frac: float) -> DataFrame:
     return above.unionByName(ties.filter(F.col("post_id") <= F.lit(idcut)))
 
 
+def edge_table(edges: DataFrame, membership: DataFrame, community: str) -> DataFrame:
+    """The edge export: both ends with their communities (NULL if they have none)."""
+    side = lambda i: membership.select(F.col("username").alias(f"user{i}"), F.col(community).alias(f"community{i}"))
+    return edges.join(side(1), "user1", "left").join(side(2), "user2", "left").select(
+        "user1", "user2", "weight", "community1", "community2")
+
+
+def community_table(edges: DataFrame, membership: DataFrame, community: str) -> DataFrame:
+    """Per community its users, the weight at their ends, and the weight of the
+    edges inside. One pass over the edges with their communities."""
+    e = edge_table(edges, membership, community)
+    ends = e.select(F.explode(F.array(
+        F.struct(F.col("community1").alias("c"), F.when(F.col("community1") == F.col("community2"), F.col("weight")).alias("inside"),
+                 F.col("weight").alias("w")),
+        F.struct(F.col("community2").alias("c"), F.lit(None).cast("long").alias("inside"), F.col("weight").alias("w")))).alias("x"))
+    sums = ends.groupBy(F.col("x.c").alias(community)).agg(F.sum("x.w").alias("total_weight"),
+                                                          F.sum("x.inside").alias("inner_weight"))
+    n = membership.groupBy(community).agg(F.count(F.lit(1)).alias("n_users"))
+    return n.join(sums, community, "left").select(
+        community, "n_users", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("total_weight", "inner_weight")])
+
+
+def _mutual(d: DataFrame) -> DataFrame:
+    """Directed edges with ``mutual`` (0/1): whether the reverse edge is there."""
+    rev = d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("mutual"))
+    return d.join(rev, ["src", "dst"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(0)))
+
+
+def group_reciprocity(d: DataFrame, membership: DataFrame, group: str) -> DataFrame:
+    """J14 inside and across groups: reciprocity per (group of the source, group of
+    the target)."""
+    from threadlens.functions.numeric import r6
+    x = (_mutual(d).join(membership.select(F.col("username").alias("src"), F.col(group).alias("src_group")), "src")
+         .join(membership.select(F.col("username").alias("dst"), F.col(group).alias("dst_group")), "dst"))
+    return x.groupBy("src_group", "dst_group").agg(
+        F.count(F.lit(1)).alias("directed_edges"), F.sum("mutual").cast("bigint").alias("mutual_edges"),
+        r6(F.avg("mutual")).alias("reciprocity"))
+
+
+def reciprocity_tiers(d: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Per user the share of their targets that answer, and the tier by the
+    thresholds of ``params``; below the lowest the tier is NULL."""
+    from threadlens.functions.numeric import r6
+    x = _mutual(d).groupBy(F.col("src").alias("username")).agg(r6(F.avg("mutual")).alias("reciprocity"))
+    r = F.col("reciprocity")
+    tier = (F.when(r >= params.high_reciprocity, "high_reciprocity")
+            .when(r >= params.medium_reciprocity, "medium_reciprocity")
+            .when(r >= params.low_reciprocity, "low_reciprocity"))
+    return x.withColumn("tier", tier)
+
+
 def closeness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> DataFrame:
     """Closeness of the sampled source nodes (unweighted shortest paths):
     (reached − 1)/Σdist × (reached − 1)/(n − 1), the Wasserman–Faust form.
@@ -356,105 +417,35 @@ def betweenness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) ->
                      r6(F.col("betweenness") * F.lit(scale)).alias("normalized"))
 
 
-# ------------------------------------------------- dense co-occurrence path
-DENSE_MAX_THREADS = 4096
-DENSE_MIN_FILL = 0.05
-
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node connected with each.
 
-def dense_pair_counts(up: DataFrame, min_shared: int, threads: list, block_users: int = 512,
-                      keys: Sequence[str] = ()) -> DataFrame:
-    """Pair counts as a blocked matrix product, for dense incidence.
-
-    Each user is a 0/1 row over the (few, counted and bounded) threads.
-    Users are hashed into blocks of ~``block_users``; every block pair
-    (i <= j) is one ``applyInPandas`` group that multiplies its two
-    blocks (float32, exact for counts below 2^24) and emits only pairs at or
-    above ``min_shared``. A user row is copied to the blocks pairs it belongs
-    to (number of blocks times), so no task holds more than two blocks."""
-    import numpy as np
-    import pandas as pd
-    spark = up.sparkSession
-    keys = list(keys)
-    n_threads = len(threads)
-    tmap = F.create_map(*[x for i, t in enumerate(threads) for x in (F.lit(t), F.lit(i))])
-    rows = (up.withColumn("_ti", F.element_at(tmap, F.col("post_id")))
-            .groupBy(*keys, "username").agg(F.collect_list("_ti").alias("_ts")))
-    n_users = rows.count()
-    nb = max(1, -(-n_users // block_users))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("username"), F.lit(nb)).cast("int"))
-    # block b joins tiles (b, j) for j >= b (as left) and (i, b) for i < b (as right)
-    tiles = rows.select(*keys, "username", "_ts", "_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_o"))
-    tiles = tiles.select(*keys, "username", "_ts", F.least("_b", "_o").alias("_bi"),
-                         F.greatest("_b", "_o").alias("_bj"), F.col("_b"))
-    key_schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in up.schema.fields if f.name in keys)
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-        left = pdf[pdf["_b"] == bi]
-        right = pdf[pdf["_b"] == bj]
-        a = np.zeros((len(left), n_threads), dtype=np.float32)
-        for r, ts in enumerate(left["_ts"]):
-            a[r, np.asarray(ts, dtype=int)] = 1.0
-        if bi == bj:
-            b, rnames = a, left["username"].to_numpy()
-        else:
-            b = np.zeros((len(right), n_threads), dtype=np.float32)
-            for r, ts in enumerate(right["_ts"]):
-                b[r, np.asarray(ts, dtype=int)] = 1.0
-            rnames = right["username"].to_numpy()
-        c = a @ b.T
-        lnames = left["username"].to_numpy()
-        ii, jj = np.nonzero(c >= min_shared)
-        u, v = lnames[ii], rnames[jj]
-        keep = u < v if bi == bj else u != v
-        u, v, cnt = u[keep], v[keep], c[ii[keep], jj[keep]].astype(np.int64)
-        out = pd.DataFrame({"user1": np.where(u < v, u, v), "user2": np.where(u < v, v, u),
-                            "shared_interactions": cnt})
-        for kname in keys:
-            out.insert(0, kname, pdf[kname].iloc[0])
-        return out
-
-    res = tiles.groupBy(*keys, "_bi", "_bj").applyInPandas(
-        tile, key_schema + "user1 string, user2 string, shared_interactions long")
-    return res
-
-
-def co_engagement_pairs(up: DataFrame, min_shared: int = 2,
-                        chunk_users: int = DEFAULT.pair_chunk_users) -> DataFrame:
-    """C2 + D4 with a size-checked choice of plan: the blocked dense product
-    when the threads are few (≤ DENSE_MAX_THREADS, counted) and the
-    incidence is dense (fill ≥ DENSE_MIN_FILL); the tiled join otherwise.
-    Both are exact."""
-    if min_shared > 1:
-        active = (up.groupBy("username").agg(F.count(F.lit(1)).alias("n_threads"))
-                  .filter(F.col("n_threads") >= min_shared).select("username"))
-        up = up.join(active, "username", "left_semi")
-    st = up.agg(F.countDistinct("post_id").alias("t"), F.countDistinct("username").alias("u"),
-                F.count(F.lit(1)).alias("n")).first()
-    if st["t"] and st["t"] <= DENSE_MAX_THREADS and st["n"] >= DENSE_MIN_FILL * st["t"] * st["u"]:
-        threads = [r[0] for r in up.select("post_id").distinct().collect()]   # ≤ DENSE_MAX_THREADS rows
-        return dense_pair_counts(up, min_shared, threads)
-    return shared_thread_pairs(up, min_shared, chunk_users)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_iter: int = 100) -> DataFrame:
-    """(node, component) by min-label propagation: every node takes the
-    smallest label among itself and its neighbours until nothing changes
-    (at most the graph diameter rounds). State is checkpointed each round."""
-    from threadlens.session import cut_lineage
-    und = (edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-           .unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))))
-    lab = cut_lineage(und.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_iter):
-        nb = und.join(lab.withColumnRenamed("node", "v").withColumnRenamed("label", "lv"), "v")
-        best = nb.groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("m"))
-        new = lab.join(best, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        new = cut_lineage(new)
-        changed = new.join(lab.withColumnRenamed("label", "old"), "node").filter(F.col("label") != F.col("old"))
-        lab = new
-        if changed.isEmpty():
-            break
-    return lab.withColumnRenamed("label", "component")
+    Star contraction until nothing changes. A round ties every node's larger
+    neighbours to the smallest node around it, then the smaller neighbours
+    likewise; a chain of n nodes takes about log n rounds. Neighbours are
+    aggregated (min), never gathered, so a hub costs one row per map task.
+    """
+    from threadlens.session import written
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    ends = written(ends, "cc-input")
+    nodes = ends.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    tied = written(ends.filter("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(),
+                   "cc-ties")
+    last = None
+    while True:
+        around = tied.unionAll(tied.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))   # (node, neighbour)
+        centre = around.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
+        outer = (around.filter("lo > hi").join(centre, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+                 .filter("hi <> lo").distinct())
+        centre = outer.groupBy("hi").agg(F.min("lo").alias("m"))
+        inner = (outer.join(centre, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo"))
+                 .filter("hi <> lo").distinct())
+        tied = written(inner, "cc-ties")
+        state = tied.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if state == last:
+            return nodes.join(tied.select(F.col("hi").alias("node"), F.col("lo").alias("c")), "node", "left").select(
+                "node", F.coalesce("c", "node").alias("component"))
+        last = state
 
 
 def merge_redundant_clusters(members: DataFrame, window: str, step_days: int, threshold: float) -> DataFrame:

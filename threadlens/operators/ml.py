@@ -19,7 +19,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -46,21 +46,26 @@ def cluster_posts(features: DataFrame, id_col: str = "post_id", k: int = 5, dims
                   seed: int = 42) -> tuple[DataFrame, PipelineModel]:
     """K5: standardise → PCA to min(dims, d) components (the linear form of the
     autoencoder's 10-d code) → KMeans(k, seed). Returns rows
-    (id, score, cluster) and the fitted pipeline (K23: reusable on new rows)."""
-    from threadlens.session import cut_lineage
+    (id, code, cluster, score) and the fitted pipeline with its scaler (K23:
+    saved, loaded and used on new rows)."""
+    from threadlens.session import written
     feats = [c for c in features.columns if c != id_col]
-    features = cut_lineage(features)   # iterative fits re-read their input
-    x = cut_lineage(standardize(features.fillna(0.0, subset=feats), feats))
+    features = written(features.fillna(0.0, subset=feats), "cluster-features")   # iterative fits re-read their input
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=feats, outputCol="x"),
+        VectorAssembler(inputCols=feats, outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True),
         PCA(k=min(dims, len(feats)), inputCol="x", outputCol="code"),
         KMeans(k=k, seed=seed, featuresCol="code", predictionCol="cluster"),
     ])
-    model = pipe.fit(x)
-    out = model.transform(x)
+    model = pipe.fit(features)
     score = "score" if "score" in features.columns else feats[0]
-    res = out.select(id_col, "code", "cluster").join(features.select(id_col, score), id_col)
-    return res, model
+    return model.transform(features).select(id_col, "code", "cluster", score), model
+
+
+def assign_clusters(features: DataFrame, model: PipelineModel, id_col: str = "post_id") -> DataFrame:
+    """(id, cluster) of rows by a fitted pipeline; scaling is the model's own."""
+    feats = [c for c in features.columns if c != id_col]
+    return model.transform(features.fillna(0.0, subset=feats)).select(id_col, "cluster")
 
 
 def silhouette(clustered: DataFrame, features: str = "code", prediction: str = "cluster") -> float:
@@ -77,7 +82,7 @@ def reconstruction_error(df: DataFrame, vec: str, k: int, pct: float = 0.95) ->
     """K8: distance of each centred vector to its projection on the first k
     principal components; rows above the ``pct`` quantile are anomalies. The
     residual is a numpy product per Arrow batch (components broadcast, d × k)."""
-    from threadlens.operators.quantiles import scalar_quantiles
+    from threadlens.operators.quantiles import exact_quantiles
     from threadlens.session import cut_lineage
     model = pca_model(df, vec, k)
     comps = model.pc.toArray()
@@ -94,7 +99,7 @@ def reconstruction_error(df: DataFrame, vec: str, k: int, pct: float = 0.95) ->
         return pd.Series(np.sqrt(np.maximum((x * x).sum(axis=1) - (p * p).sum(axis=1), 0.0)))
 
     out = cut_lineage(arr.withColumn("recon_error", resid(F.col("_a"))).drop("_a"))
-    cut = scalar_quantiles(out, "recon_error", [pct])[0]
+    cut = exact_quantiles(out, [], "recon_error", [pct], ["cut"]).first()["cut"]
     return out.withColumn("is_anomaly", (F.col("recon_error") > F.lit(cut)).cast("int"))
 
 
@@ -141,20 +146,24 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_tree
     Training sample per (group, tree): the ``sample`` rows with the smallest
     hash of (tree, id) — a WindowGroupLimit top-k, so each group sends at most
     ``sample`` rows per map task. Trees are grown in ``applyInPandas`` per
-    (group, tree); groups smaller than 2·sample are skipped (not scored)."""
+    (group, tree). Groups smaller than 2·sample keep their rows, with a NULL
+    score and is_anomaly 0. Scoring meets each group's trees with slices of at
+    most ~20,000 of its rows; nothing goes through the driver."""
     from threadlens.operators.quantiles import exact_quantiles
-    spark = df.sparkSession
+    from threadlens.session import written
     feats = list(features)
     g = F.col(group) if group else F.lit(0)
     x = df.select(g.alias("_g"), id_col, *feats)
-    sizes = x.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2 * sample)
-    x = x.join(sizes.select("_g"), "_g", "left_semi")
+    sizes = x.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    small = x.join(sizes.filter(F.col("_n") < 2 * sample).select("_g"), "_g", "left_semi")
+    sizes = sizes.filter(F.col("_n") >= 2 * sample)
     # Row r enters tree t's candidate pool when u(t, r) < p_g, with u a hash
     # uniform in [0, 1) and p_g = min(1, 4·sample / n_g): about 4·sample
     # candidates per (group, tree), and each row is copied only for the few
     # trees that pick it. The `sample` smallest u per (group, tree) form the
     # tree's sample (a partial top-k before the shuffle).
-    x = x.join(sizes.select("_g", F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_n")).alias("_p")), "_g")
+    x = x.join(sizes.select("_g", F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_n")).alias("_p"),
+                            F.ceil(F.col("_n") / F.lit(20_000)).cast("int").alias("_k")), "_g")
 
     def u(t):
         h = F.xxhash64(t, F.col(id_col), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
@@ -165,7 +174,6 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_tree
     from threadlens.operators.engagement import top_per_group
     cand = cand.withColumn("_h", F.xxhash64(F.col("_t"), F.col(id_col), F.lit(seed)))
     smp = top_per_group(cand, ["_g", "_t"], [F.col("_h")], sample, "_r").drop("_r", "_h")
-    x = x.drop("_p")
     limit = int(math.ceil(math.log2(sample)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,43 +186,37 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_tree
 
     gtype = x.schema["_g"].dataType.simpleString()
     forest = smp.groupBy("_g", "_t").applyInPandas(
-        grow, f"_g {gtype}, _t int, node int, f int, s double, l int, r int, size int").toPandas()
-    model = {}
-    for (gv, t), tp in forest.groupby(["_g", "_t"]):
-        tp = tp.sort_values("node")
-        model.setdefault(gv, []).append((tp["f"].to_numpy(), tp["s"].to_numpy(), tp["l"].to_numpy(),
-                                         tp["r"].to_numpy(), tp["size"].to_numpy()))
-    bmodel = spark.sparkContext.broadcast(model)
+        grow, f"_g {gtype}, _t int, node int, f int, s double, l int, r int, size int")
+    slices = x.select("_g", "_k").distinct().select("_g", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_s"))
+    forest = forest.join(slices, "_g")
+    x = x.withColumn("_s", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("_k")).cast("int"))
     cpsi = _c(sample)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(gcol: pd.Series, *cols: pd.Series) -> pd.Series:
-        m = bmodel.value
-        xs = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        out = np.zeros(len(xs))
-        for gv in pd.unique(gcol):
-            sel = (gcol == gv).to_numpy()
-            sub = xs[sel]
-            depth = np.zeros(len(sub))
-            for f, s, l, r, size in m.get(gv, []):
-                node = np.zeros(len(sub), dtype=int)
-                h = np.zeros(len(sub))
-                active = f[node] >= 0
-                while active.any():
-                    go_left = sub[np.arange(len(sub)), np.maximum(f[node], 0)] < s[node]
-                    nxt = np.where(go_left, l[node], r[node])
-                    node = np.where(active, nxt, node)
-                    h = h + active
-                    active = f[node] >= 0
-                depth += h + np.array([_c(v) for v in size[node]])
-            n_trees_g = max(len(m.get(gv, [])), 1)
-            out[sel] = np.power(2.0, -(depth / n_trees_g) / cpsi)
-        return pd.Series(out)
-
-    scored = x.withColumn("anomaly_score", score(F.col("_g"), *[F.col(c) for c in feats]))
+    def score(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        xs = rows[feats].to_numpy(dtype=float)
+        depth, at = np.zeros(len(xs)), np.arange(len(xs))
+        for _, tp in trees.groupby("_t"):
+            tp = tp.sort_values("node")
+            f, s, l, r = (tp[c].to_numpy() for c in ("f", "s", "l", "r"))
+            rest = np.array([_c(v) for v in tp["size"]])
+            node = np.zeros(len(xs), dtype=int)
+            while (f[node] >= 0).any():
+                inner = f[node] >= 0
+                go_left = xs[at, np.maximum(f[node], 0)] < s[node]
+                node = np.where(inner, np.where(go_left, l[node], r[node]), node)
+                depth += inner
+            depth += rest[node]
+        mean = depth / max(trees["_t"].nunique(), 1)
+        return pd.DataFrame({"_g": rows["_g"], id_col: rows[id_col], "anomaly_score": np.power(2.0, -mean / cpsi)})
+
+    idtype = x.schema[id_col].dataType.simpleString()
+    scored = written(x.groupBy("_g", "_s").cogroup(forest.groupBy("_g", "_s")).applyInPandas(
+        score, f"_g {gtype}, {id_col} {idtype}, anomaly_score double"), "forest-scores")
     cut = exact_quantiles(scored, ["_g"], "anomaly_score", [1.0 - contamination], ["_cut"])
     res = scored.join(cut.select("_g", "_cut"), "_g").withColumn(
         "is_anomaly", (F.col("anomaly_score") > F.col("_cut")).cast("int"))
+    unscored = small.select("_g", id_col, F.lit(None).cast("double").alias("anomaly_score"), F.lit(0).alias("is_anomaly"))
+    res = res.select(*unscored.columns).unionByName(unscored)
     cols = ([F.col("_g").alias(group)] if group else []) + [id_col, r6("anomaly_score").alias("anomaly_score"),
                                                              "is_anomaly"]
     return res.select(*cols)
@@ -239,9 +241,21 @@ def seasonal_residual_anomalies(series: DataFrame, day: str, col: str, k: float
 
 
 # ----------------------------------------------------------- K11, K13–K15
-def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair in one aggregation pass,
-    as long rows (a, b, corr)."""
+def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Each column replaced by its rank; equal values share their mean rank."""
+    from threadlens.operators.quantiles import ranked_values
+    out = df
+    for c in cols:
+        r = ranked_values(df, [], c).select(F.col("_v").alias(c), (F.col("_first") + (F.col("_m") - 1) / 2).alias("_r"))
+        out = out.join(r, c, "left").drop(c).withColumnRenamed("_r", c)
+    return out
+
+
+def correlation_long(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
+    """Pearson or Spearman (Pearson of the average ranks) correlation of every
+    column pair in one aggregation pass, as long rows (a, b, corr)."""
+    if method == "spearman":
+        df = average_ranks(df.select(*cols), cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     row = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs]).first()
     spark = df.sparkSession
@@ -293,7 +307,7 @@ def meta_clusters(features: DataFrame, id_col: str, cols: Sequence[str], k: int
 
 def knn_distance(df: DataFrame, id_col: str, arr: str, k: int = 5, block: int = 1024) -> DataFrame:
     """Euclidean distance of every vector to its k-th nearest other
-    vector (exact).
+    vector (exact; NULL where there are fewer than k others).
 
     Vectors are hashed into blocks of ~``block``; each block pair (i <= j) is
     one ``applyInPandas`` group that computes the block's distance matrix
@@ -301,7 +315,6 @@ def knn_distance(df: DataFrame, id_col: str, arr: str, k: int = 5, block: int =
     other block. A final group-by per row keeps the k smallest of those
     (≤ k × blocks candidates). No pair list is ever materialised; the work is
     the exact all-pairs product, spread over blocks² bounded tasks."""
-    spark = df.sparkSession
     n = df.count()
     nb = max(1, -(-n // block))
     x = df.select(id_col, F.col(arr).cast("array<double>").alias("_a"),
@@ -334,5 +347,4 @@ def knn_distance(df: DataFrame, id_col: str, arr: str, k: int = 5, block: int =
     cand = t.groupBy("_bi", "_bj").applyInPandas(tile, f"{id_col} {id_type}, d double").filter(
         F.col("d") < float("inf"))
     best = cand.groupBy(id_col).agg(F.sort_array(F.collect_list("d")).alias("_ds"))
-    del spark
-    return best.select(id_col, r6(F.element_at("_ds", k)).alias(f"knn{k}_distance"))
+    return best.select(id_col, r6(F.get("_ds", k - 1)).alias(f"knn{k}_distance"))

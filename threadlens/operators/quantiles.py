@@ -1,159 +1,81 @@
-"""Exact per-group quantiles with linear interpolation (``np.percentile``),
-computed without holding a whole group in one task.
-
-Spark's ``percentile`` keeps a map of every distinct value of a group in one
-aggregation buffer; for a thread that holds a third of all comments that is
-one task holding a third of the data. Here each group's value range is cut
-into ``buckets`` equal-width bins:
-
-1. count rows per (group, bin) — partial aggregation, ≤ groups × buckets rows;
-2. a running sum over the bins of each group (≤ ``buckets`` rows per window
-   partition) locates the bin holding each needed rank;
-3. the hit bins are cut again into ``buckets`` sub-bins over their own
-   min..max, located the same way;
-4. only rows of the hit sub-bins are ranked, per distinct value
-   (``groupBy(value).count`` first, so repeated values collapse map-side).
-
-A group of N rows leaves about N / buckets² values for the last ranking
-window. When the largest group (counted first) has at most ``small_group``
-rows, Spark's exact ``percentile`` aggregate is used instead — its per-group
-buffer is then bounded by that count. Every step is bounded per key, and the answer is a value of the
-data, so exact.
+"""Exact ranks and quantiles without holding a group in one task.
+
+Distinct values with their counts are range-partitioned by (group, value), so a
+group of any size or shape is spread by its rows, and written with their
+partition. Counts per (group, partition) — one row for each partition that a
+group reaches — give every partition its offset, and a running count inside the
+partition does the rest. Every value then knows the ranks it holds, in the
+column's own type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SMALL_GROUP = 200_000
+def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, where two NULLs are equal; ``b`` adds its other columns."""
+    b = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = reduce(lambda m, n: m & n, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return a.join(b, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """(keys..., _v, _m, _first): each distinct non-NULL value of ``col``, how often
+    it occurs and its first 0-based rank in its group."""
+    from threadlens.session import written
+    keys = list(keys)
+    x = df.select(*keys, F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
+    counts = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    x = written(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()), "ranked")
+    sums = x.groupBy(*keys, "_p").agg(F.sum("_m").alias("_s"))
+    base = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")
+    sums = sums.select(*keys, "_p", base.alias("_base"))
+    inside = F.sum("_m").over(Window.partitionBy("_p", *keys).orderBy("_v")) - F.col("_m")
+    x = x.withColumn("_inside", inside)
+    return null_safe_join(x, sums, keys + ["_p"]).select(
+        *keys, "_v", "_m", (F.col("_inside") + F.col("_base")).alias("_first"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, buckets: int = 1024,
-                    materialize: bool = True, small_group: int = SMALL_GROUP) -> DataFrame:
-    """One row per group: keys..., n, and one column per probability.
-    NULL values are ignored (groups with only NULLs are absent). The (keys,
-    value) projection is read three times; with ``materialize`` it is written
-    once to the shared checkpoint folder so an expensive upstream plan
-    (joins, text scoring) runs once."""
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """One row per group: keys..., n, and one column per probability, with linear
+    interpolation (``np.percentile``). NULL values are ignored (groups with only
+    NULLs are absent)."""
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    if not keys:
-        df = df.withColumn("_all", F.lit(0))
-        gk = ["_all"]
+    x = ranked_values(df.withColumn(col, F.col(col).cast("double")), keys, col)
+    sizes = x.groupBy(*keys).agg(F.sum("_m").alias("_n"))
+    if keys:
+        x = null_safe_join(x, sizes, keys)
     else:
-        gk = keys
-    x = df.select(*gk, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    from threadlens.session import cut_lineage
-    if materialize:
-        x = cut_lineage(x)
-    st = x.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                            F.max("_v").alias("_hi"))
-    if materialize:
-        st = cut_lineage(st)
-    biggest = st.agg(F.max("_n")).first()[0] or 0
-    if biggest <= small_group:
-        # Size-checked fast path: every group is small, so Spark's exact
-        # `percentile` (which buffers a group's values) is bounded.
-        q = x.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"),
-                               F.percentile("_v", [float(p) for p in probs]).alias("_q"))
-        out = q.select(*gk, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-        return out.drop("_all") if not keys else out
-
-    def bucket_of(v, lo, hi):
-        w = (hi - lo) / F.lit(float(buckets))
-        return F.when(hi == lo, F.lit(0)).otherwise(
-            F.least(F.floor((v - lo) / w), F.lit(buckets - 1))).cast("int")
-
-    # needed ranks: floor(p(n-1)) and the next one, per probability
-    tg = st.select(*gk, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_pos"))
-        for i, p in enumerate(probs)])).alias("_t")).select(*gk, "_n", "_t._i", "_t._pos")
-    tg = tg.withColumn("_r0", F.floor("_pos").cast("long")).withColumn(
-        "_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
-    ranks = tg.select(*gk, F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
-
-    # level 1: equal-width buckets over the group's range
-    xb = x.join(st.select(*gk, "_lo", "_hi"), gk).withColumn(
-        "_b", bucket_of(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    bins = xb.groupBy(*gk, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
-                                     F.max("_v").alias("_bmax"))
-    wb = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("_end", F.sum("_c").over(wb)).withColumn("_start", F.col("_end") - F.col("_c"))
-    hit1 = (ranks.join(bins, gk).filter((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
-            .select(*gk, "_r", "_b", "_bmin", "_bmax", (F.col("_r") - F.col("_start")).alias("_r1x")))
-    # level 2: the same inside each hit bucket, over its actual min..max
-    hb = hit1.select(*gk, "_b", "_bmin", "_bmax").distinct()
-    x2 = xb.select(*gk, "_b", "_v").join(hb, gk + ["_b"]).withColumn(
-        "_s", bucket_of(F.col("_v"), F.col("_bmin"), F.col("_bmax")))
-    sb = x2.groupBy(*gk, "_b", "_s").agg(F.count(F.lit(1)).alias("_c2"))
-    ws = Window.partitionBy(*gk, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    sb = sb.withColumn("_e2", F.sum("_c2").over(ws)).withColumn("_s2", F.col("_e2") - F.col("_c2"))
-    hit2 = (hit1.join(sb, gk + ["_b"]).filter((F.col("_r1x") >= F.col("_s2")) & (F.col("_r1x") < F.col("_e2")))
-            .select(*gk, "_r", "_b", "_s", (F.col("_r1x") - F.col("_s2")).alias("_r2x")))
-    # final: distinct values of the hit sub-buckets only (repeats collapse map-side)
-    vals = (x2.join(hit2.select(*gk, "_b", "_s").distinct(), gk + ["_b", "_s"], "left_semi")
-            .groupBy(*gk, "_b", "_s", "_v").agg(F.count(F.lit(1)).alias("_m")))
-    wv = Window.partitionBy(*gk, "_b", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("_ve", F.sum("_m").over(wv)).withColumn("_vs", F.col("_ve") - F.col("_m"))
-    at = (hit2.join(vals, gk + ["_b", "_s"])
-          .filter((F.col("_r2x") >= F.col("_vs")) & (F.col("_r2x") < F.col("_ve")))
-          .select(*gk, "_r", "_v"))
-    a0 = at.select(*gk, F.col("_r").alias("_r0"), F.col("_v").alias("_v0"))
-    a1 = at.select(*gk, F.col("_r").alias("_r1"), F.col("_v").alias("_v1"))
-    res = (tg.join(a0, gk + ["_r0"]).join(a1, gk + ["_r1"])
-           .withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_r0"))))
-    out = res.groupBy(*gk, "_n").pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
-    out = out.select(*gk, F.col("_n").alias("n"),
-                     *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
-    return out.drop("_all") if not keys else out
-
-
-def scalar_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                     with_count: bool = False):
-    """Whole-column exact quantiles read back as Python floats (one row);
-    with ``with_count`` also the number of non-NULL values."""
-    r = exact_quantiles(df, [], col, probs, materialize=False).first()
-    vals = [None] * len(probs) if r is None else [r[f"q{i}"] for i in range(len(probs))]
-    if with_count:
-        return vals, (0 if r is None else r["n"])
-    return vals
-
-
-def value_at_rank(df: DataFrame, col: str, rank: int, buckets: int = 1024, small: int = 100_000):
-    """The value with 0-based ``rank`` in ascending order of ``col`` (exact).
-
-    Counts per equal-width bucket (one aggregation, ≤ ``buckets`` rows to the
-    driver) locate the bucket holding the rank; the search narrows to that
-    bucket until it holds at most ``small`` rows, whose distinct values are
-    then counted and scanned in order."""
-    x = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    st = x.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = st["lo"], st["hi"], st["n"]
-    if not n or rank < 0 or rank >= n:
-        return None
-    while True:
-        if lo == hi:
-            return lo
-        if n <= small:
-            run = 0
-            for r in (x.groupBy("_v").agg(F.count(F.lit(1)).alias("_m")).orderBy("_v").collect()):
-                run += r["_m"]
-                if rank < run:
-                    return r["_v"]
-        w = (hi - lo) / buckets
-        b = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(w)), F.lit(buckets - 1)).cast("int")
-        rows = (x.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"),
-                                             F.max("_v").alias("_hi")).orderBy("_b").collect())
-        acc = 0
-        for r in rows:
-            if rank < acc + r["_c"]:
-                rank -= acc
-                x = x.filter(b == r["_b"])
-                lo, hi, n = r["_lo"], r["_hi"], r["_c"]
-                break
-            acc += r["_c"]
+        x = x.withColumn("_n", F.lit(sizes.first()["_n"]).cast("long"))
+
+    def at(rank: Column) -> Column:
+        held = (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_m"))
+        return F.max(F.when(held, F.col("_v")))
+
+    lo = lambda p: F.floor(F.lit(float(p)) * (F.col("_n") - 1)).cast("long")
+    found = x.groupBy(*keys).agg(
+        F.first("_n").alias("_n"),
+        *[at(lo(p)).alias(f"_a{i}") for i, p in enumerate(probs)],
+        *[at(F.least(lo(p) + 1, F.col("_n") - 1)).alias(f"_b{i}") for i, p in enumerate(probs)])
+    found = found.filter(F.col("_n").isNotNull())
+
+    def value(i: int, p: float) -> Column:
+        pos, a, b = F.lit(float(p)) * (F.col("_n") - 1), F.col(f"_a{i}"), F.col(f"_b{i}")
+        return F.when(a == b, a).otherwise((lo(p) + 1 - pos) * a + (pos - lo(p)) * b)
+
+    return found.select(*keys, F.col("_n").alias("n"), *[value(i, p).alias(nm) for i, (p, nm) in enumerate(zip(probs, names))])
+
+
+def value_at_rank(df: DataFrame, col: str, rank: int):
+    """The value with 0-based ``rank`` in ascending order of ``col`` (exact, in the
+    column's own type), or None."""
+    x = ranked_values(df, [], col)
+    row = x.filter((F.col("_first") <= rank) & (F.lit(rank) < F.col("_first") + F.col("_m"))).select("_v").first()
+    return row["_v"] if row is not None else None

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.numeric import r6
 from threadlens.functions.timebuckets import bucket, n_buckets, nth_label
+from threadlens.operators.quantiles import null_safe_join
 
 def epoch_col():
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -74,6 +75,13 @@ def slot_sentiment(df: DataFrame, ts: str, freq: str, score: str = "compound",
     return out.withColumn("avg_sentiment", r6(F.coalesce("avg_sentiment", F.lit(0.0))))
 
 
+def daily_shift(df: DataFrame, ts: str, score: str, name: str) -> DataFrame:
+    """E22 by day: the mean score of each day with rows, and its change from the
+    day before among them (one row a day goes through the window)."""
+    d = df.groupBy(F.window(ts, "1 day").start.alias("day")).agg(r6(F.avg(score)).alias(name))
+    return d.withColumn("shift", F.col(name) - F.lag(name).over(Window.orderBy("day")))
+
+
 def post_slot_sentiment(posts: DataFrame, comments: DataFrame, freq: str,
                         score: str = "compound") -> DataFrame:
     """C4 + D9 (post form): per post slot, post count and the mean score of all
@@ -102,18 +110,35 @@ def rolling(series: DataFrame, order: str, cols: Sequence[str], n: int = 7,
 
 
 def ema(series: DataFrame, order: str, col: str, span: int, by: Sequence[str] = (),
-        horizon: int = 100) -> DataFrame:
+        chunk: int = 512) -> DataFrame:
     """Exponential moving average with alpha = 2/(span+1) and adjusted
-    weights (pandas ``ewm(span).mean()``) over the last ``horizon`` rows:
-    Σ (1-α)^i x_{t-i} / Σ (1-α)^i. The bounded frame is folded oldest → newest
-    (acc·(1-α) + x), which is stable for any series length; weights older than
-    ``horizon`` rows are below (1-α)^horizon (3e-13 for span 7)."""
-    a = 2.0 / (span + 1)
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(horizon - 1), 0)
-    xs = F.collect_list(F.col(col).cast("double")).over(w)
-    num = F.aggregate(xs, F.lit(0.0), lambda acc, x: acc * F.lit(1 - a) + x)
-    den = F.aggregate(xs, F.lit(0.0), lambda acc, x: acc * F.lit(1 - a) + F.lit(1.0))
-    return series.withColumn(f"ema_{span}_{col}", r6(num / den))
+    weights (pandas ``ewm(span).mean()``): Σ (1-α)^i x_{t-i} / Σ (1-α)^i over the
+    whole history. NULL values carry no weight; before the first value the
+    result is NULL.
+
+    The recurrence acc·(1-α) + x is folded inside chunks of ``chunk`` values, so
+    a frame never holds more; each chunk then adds what the earlier chunks' end
+    states decay to. The weights' sum is geometric."""
+    q = 1 - 2.0 / (span + 1)
+    by = list(by)
+    upto = Window.partitionBy(*by).orderBy(order)
+    x = series.withColumn("_v", F.col(col).cast("double"))
+    x = x.withColumn("_i", F.count("_v").over(upto)).withColumn(
+        "_c", F.floor((F.greatest("_i", F.lit(1)) - 1) / F.lit(chunk)).cast("int"))
+    inside = Window.partitionBy(*by, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    fold = lambda xs, f: F.aggregate(xs, F.lit(0.0), f)
+    x = x.withColumn("_own", fold(F.collect_list("_v").over(inside), lambda acc, v: acc * F.lit(q) + v))
+    ends = x.groupBy(*by, "_c").agg(F.max_by("_own", "_i").alias("_end"))
+    # all chunks before a given one are full, so each is ``chunk`` steps older than the next
+    before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_c", fold(F.collect_list("_end").over(before),
+                                       lambda acc, e: acc * F.lit(q ** chunk) + e).alias("_past"))
+    x = null_safe_join(x, ends, by + ["_c"])
+    steps = F.col("_i") - F.col("_c") * F.lit(chunk)
+    num = F.col("_own") + F.col("_past") * F.pow(F.lit(q), steps)
+    den = (F.lit(1.0) - F.pow(F.lit(q), F.col("_i"))) / F.lit(1 - q)
+    out = F.when(F.col("_i") > 0, r6(num / den))
+    return x.select(*series.columns, out.alias(f"ema_{span}_{col}"))
 
 
 def diffs(series: DataFrame, order: str, col: str, by: Sequence[str] = (),
@@ -163,7 +188,10 @@ def auc_segments(marked: DataFrame, order: str, col: str, by: Sequence[str] = ()
     """Trapezoid area of x over days between consecutive extrema (both
     ends included), from the output of :func:`local_extrema`. Segment k runs
     from extremum k to extremum k+1; rows before the first or after the last
-    extremum belong to none. Returns (by..., seg, start, end, auc)."""
+    extremum belong to none. Returns (by..., seg, start, end, auc). Without
+    ``by`` the series is one key."""
+    if not by:
+        return auc_segments(marked.withColumn("_all", F.lit(0)), order, col, ["_all"]).drop("_all")
     w = Window.partitionBy(*by).orderBy(order)
     x = marked.withColumn("_ext", (F.col("is_peak") != 0).cast("int"))
     x = x.withColumn("_seg", F.sum("_ext").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -184,15 +212,26 @@ def auc_labels(series: DataFrame, segs: DataFrame, order: str, hi: float, lo: fl
                by: Sequence[str] = ()) -> DataFrame:
     """E13 + C10: each day gets auc_spike / auc_drop from the latest segment
     covering it (start <= day <= end) that passes the threshold, else 0.
-    The range join is bounded: days and segments of one key only."""
-    s = segs.select(*by, "seg", "start", "end", "auc")
-    j = series.select(*by, order).join(s, list(by), "left").filter(
-        (F.col(order) >= F.col("start")) & (F.col(order) <= F.col("end")))
-    lab = j.groupBy(*by, order).agg(
-        F.max_by(F.when(F.col("auc") > hi, F.col("auc")), F.when(F.col("auc") > hi, F.col("seg"))).alias("auc_spike"),
-        F.max_by(F.when(F.col("auc") < lo, F.col("auc")), F.when(F.col("auc") < lo, F.col("seg"))).alias("auc_drop"))
-    out = series.join(lab, list(by) + [order], "left")
-    return out.fillna(0.0, subset=["auc_spike", "auc_drop"])
+
+    Segments follow one another, so a day lies in the one that started last,
+    and a starting day in the one before as well. Each segment is joined to its
+    starting day and carried forward over the ordered series: linear in its
+    length."""
+    if not by:
+        return auc_labels(series.withColumn("_all", F.lit(0)), segs.withColumn("_all", F.lit(0)), order, hi, lo,
+                          ["_all"]).drop("_all")
+    by = list(by)
+    s = segs.withColumn("_prev", F.lag("auc").over(Window.partitionBy(*by).orderBy("seg")))
+    s = s.select(*by, F.col("start").alias(order), F.struct("start", "end", "auc", "_prev").alias("_s"))
+    x = series.join(s, by + [order], "left")
+    x = x.withColumn("_s", F.last("_s", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order)))
+
+    def label(passes):
+        own, before = F.col("_s.auc"), F.col("_s._prev")
+        inside = F.when((F.col(order) <= F.col("_s.end")) & passes(own), own)
+        return F.coalesce(inside, F.when((F.col(order) == F.col("_s.start")) & passes(before), before), F.lit(0.0))
+
+    return x.select(*series.columns, label(lambda a: a > hi).alias("auc_spike"), label(lambda a: a < lo).alias("auc_drop"))
 
 
 def zscore_flags(series: DataFrame, col: str, threshold: float = 2.0, by: Sequence[str] = ()) -> DataFrame:

@@ -25,6 +25,10 @@ class Params:
     # ranking
     listing_limit: int = 1000
     top_users: int = 100
+    # share of answered targets for the reciprocity tiers
+    high_reciprocity: float = 0.75
+    medium_reciprocity: float = 0.5
+    low_reciprocity: float = 0.25
     # network guard
     max_span_days: int = 30
 

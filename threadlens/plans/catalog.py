@@ -82,10 +82,6 @@ def sql(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
 
 
-def sql_x(*ctes: str, extra: str, body: str) -> str:
-    return "WITH " + ",\n".join([c.strip() for c in ctes] + [extra.strip()]) + "\n" + body
-
-
 # Fixture windows used by the registered queries.
 EV_START, EV_END = "2024-01-03", "2024-01-27"
 ORD_START, ORD_END = "1996-01-01", "1999-12-31"
@@ -96,10 +92,5 @@ EV_COMMUNITIES = ("click", "purchase", "view")
 def load_all() -> None:
     """Import every query module so their @register calls run."""
     import importlib
-    for m in ("q_graph", "q_ingest", "q_filters", "q_engagement", "q_timeseries",
-              "q_text", "q_ml", "q_reports", "q_streaming"):
-        try:
-            importlib.import_module(f"threadlens.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"threadlens.plans.{m}":
-                raise
+    for m in ("q_graph", "q_ingest", "q_engagement", "q_timeseries", "q_text", "q_ml", "q_reports", "q_streaming"):
+        importlib.import_module(f"threadlens.plans.{m}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.functions.numeric import r6
 from threadlens.functions.predicates import date_range, in_communities, optional_eq
 from threadlens.functions.timebuckets import bucket
 from threadlens.operators import engagement as E
@@ -144,19 +145,17 @@ SELECT j.post_id, CASE WHEN mx.s = 0 THEN NULL ELSE (floor((floor((j.score / mx.
        {_ONEHOT.replace('p.subreddit', 'j.subreddit')}
 FROM j, mx"""))
 def k1_percentile_features(spark, sf_dir):
-    return E.percentile_features(_ord(spark, sf_dir), ORD_START, ORD_END, ORD_COMMUNITIES)
+    f = E.percentile_features(_ord(spark, sf_dir), ORD_START, ORD_END, ORD_COMMUNITIES)
+    return f.select(*[r6(c).alias(c) if c in (*E.PCT_COLS, "score") else c for c in f.columns])
 
 
 # ------------------------------------------------------------- D1–D3, B13, F1
 _TOTALS_SQL = f"""
-, pt AS (SELECT author AS username, count(*) AS interaction_count, sum(score) AS total_score
-         FROM posts WHERE created_utc {EV_RANGE} AND subreddit IN {EV_IN} GROUP BY author),
-ct AS (SELECT c.author AS username, count(*) AS interaction_count, sum(c.score) AS total_score
-       FROM comments c JOIN posts p ON c.post_id = p.post_id
-       WHERE c.created_utc {EV_RANGE} AND p.subreddit IN {EV_IN} GROUP BY c.author),
-tot AS (SELECT username, CAST(sum(interaction_count) AS BIGINT) AS total_interactions,
-               sum(total_score) AS total_score
-        FROM (SELECT * FROM pt UNION ALL SELECT * FROM ct) GROUP BY username)"""
+, acts AS (SELECT author, score, created_utc, post_id FROM posts
+           UNION ALL SELECT author, score, created_utc, post_id FROM comments),
+tot AS (SELECT author AS username, count(*) AS total_interactions, sum(score) AS total_score FROM acts
+        WHERE created_utc {EV_RANGE} AND post_id IN (SELECT post_id FROM posts WHERE subreddit IN {EV_IN})
+        GROUP BY author)"""
 
 
 @register("d3_user_totals", sql(EV_CTES, body=_TOTALS_SQL + "\nSELECT * FROM tot"))

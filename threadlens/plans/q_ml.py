@@ -53,14 +53,15 @@ def k17_silhouette(spark, sf_dir):
 
 @register("k23_incremental_assignment")
 def k23_incremental_assignment(spark, sf_dir):
-    """Fit on the first half of the posts, assign the rest with the saved model."""
-    from threadlens.operators.ml import standardize
+    """Fit on the posts, save the pipeline with its scaler, and assign all posts
+    by the loaded model."""
+    from pyspark.ml import PipelineModel
+
+    from threadlens.session import scratch_path
     feats = percentile_features(forum_from_orders(spark, sf_dir), ORD_START, ORD_END, ORD_COMMUNITIES)
-    cols = [c for c in feats.columns if c != "post_id"]
-    old, new = feats.filter(F.col("post_id") % 2 == 0), feats.filter(F.col("post_id") % 2 == 1)
-    _res, model = M.cluster_posts(old, "post_id")
-    x = standardize(new.fillna(0.0, subset=cols), cols)
-    return model.transform(x).select("post_id", "cluster")
+    path = scratch_path(spark, "cluster-model")
+    M.cluster_posts(feats, "post_id")[1].save(path)
+    return M.assign_clusters(feats, PipelineModel.load(path))
 
 
 @register("k12_pca_embeddings")
@@ -75,7 +76,7 @@ def k8_reconstruction_error(spark, sf_dir):
     return M.reconstruction_error(_emb(spark, sf_dir), "features", 10).select("vec_id", "recon_error", "is_anomaly")
 
 
-def _emb_cols(spark, sf_dir, d=16):
+def _emb_cols(spark, sf_dir, d=64):
     e = read_table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(d)])
 
@@ -83,13 +84,13 @@ def _emb_cols(spark, sf_dir, d=16):
 @register("k6_isolation_forest")
 def k6_isolation_forest(spark, sf_dir):
     x = _emb_cols(spark, sf_dir)
-    return M.isolation_forest(x, "vec_id", [f"f{i}" for i in range(16)], n_trees=50, sample=128)
+    return M.isolation_forest(x, "vec_id", [f"f{i}" for i in range(64)], n_trees=50, sample=128)
 
 
 @register("k7_isolation_forest_per_group")
 def k7_isolation_forest_per_group(spark, sf_dir):
     x = _emb_cols(spark, sf_dir)
-    return M.isolation_forest(x, "vec_id", [f"f{i}" for i in range(16)], n_trees=30, sample=16, group="label")
+    return M.isolation_forest(x, "vec_id", [f"f{i}" for i in range(64)], n_trees=30, sample=16, group="label")
 
 
 @register("k9_seasonal_residuals")
@@ -106,6 +107,19 @@ def k11_correlation_matrix(spark, sf_dir):
     return M.correlation_long(ev_daily(spark, sf_dir), ["total_posts", "total_comments", "active_users"])
 
 
+_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+                   for c in ("total_posts", "total_comments", "active_users"))
+
+
+@register("k11_spearman_matrix", sql(EV_CTES, body=DAILY_SQL + f"""
+, rk AS (SELECT {_RANKS} FROM daily)
+SELECT 'total_posts' AS a, 'total_comments' AS b, {sql_r6('corr(total_posts, total_comments)')} AS corr FROM rk
+UNION ALL SELECT 'total_posts', 'active_users', {sql_r6('corr(total_posts, active_users)')} FROM rk
+UNION ALL SELECT 'total_comments', 'active_users', {sql_r6('corr(total_comments, active_users)')} FROM rk"""))
+def k11_spearman_matrix(spark, sf_dir):
+    return M.correlation_long(ev_daily(spark, sf_dir), ["total_posts", "total_comments", "active_users"], "spearman")
+
+
 @register("k13_feature_importance")
 def k13_feature_importance(spark, sf_dir):
     return M.feature_importance(_emb(spark, sf_dir), "features", "label", "rf", n_trees=30)
@@ -278,7 +292,12 @@ def d28_user_sentiment_distribution(spark, sf_dir):
     return a.join(q.select("author", r6("median_sentiment").alias("median_sentiment")), "author")
 
 
-@register("k10_knn_distance")
+@register("k10_knn_distance", f"""
+WITH d AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+                  lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))) AS d
+           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rn FROM d)
+SELECT vec_id, {sql_r6('d')} AS knn5_distance FROM r WHERE rn = 5""")
 def k10_knn_distance(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     return M.knn_distance(e, "vec_id", "embedding", k=5, block=256)

@@ -90,7 +90,16 @@ def l6_stream_alerts(spark, sf_dir):
     out = scratch_path(spark, "l6-out")
     S.stream_alerts(_stream(spark, _land(spark, sf_dir, ordered=True)), "ts", "event_type", "1 hour", out,
                     scratch_path(spark, "l6-ckpt"))
-    return _ntz(spark.read.parquet(out), ["window_start"])
+    return _ntz(spark.read.parquet(out).drop("batch_id"), ["window_start"])
+
+
+@register("l7_new_users_per_day", """
+SELECT date_trunc('day', first_seen) AS window_start, count(*) AS new_users
+FROM (SELECT user_id, min(ts) AS first_seen FROM events GROUP BY user_id) GROUP BY 1""")
+def l7_new_users_per_day(spark, sf_dir):
+    out = scratch_path(spark, "l7-out")
+    S.stream_first_seen(_stream(spark, _land(spark, sf_dir)), "ts", "user_id", out, scratch_path(spark, "l7-ckpt"))
+    return _ntz(S.new_users_per_window(spark.read.parquet(out)), ["window_start"])
 
 
 @register("l7_stream_first_seen", """
@@ -102,9 +111,9 @@ def l7_stream_first_seen(spark, sf_dir):
 
 
 @register("l8_stream_daily_refresh", """
-SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n, sum(value) AS total_value FROM events GROUP BY 1""")
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS n, round(sum(value), 4) AS total_value FROM events GROUP BY 1""")
 def l8_stream_daily_refresh(spark, sf_dir):
     table = scratch_path(spark, "l8-table")
     S.stream_daily_refresh(_stream(spark, _land(spark, sf_dir)), "ts", table, scratch_path(spark, "l8-ckpt"))
     t = spark.read.parquet(table)
-    return t.select(F.col("day").cast("timestamp_ntz").alias("day"), "n", "total_value")
+    return t.select(F.col("day").cast("timestamp_ntz").alias("day"), "n", F.round("total_value", 4).alias("total_value"))

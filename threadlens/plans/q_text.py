@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.numeric import r6, sql_r6
 from threadlens.functions.predicates import content, sentiment_sign
-from threadlens.functions.sentiment import sentiment_sql, with_compound
+from threadlens.functions.sentiment import raw_tokens_sql, sentiment_sql, with_compound
 from threadlens.operators import text as T
 from threadlens.operators import timeseries as TS
 from threadlens.plans.catalog import EV_CTES, TEXT_CTES, register, sql
 from threadlens.sources.roles import forum_with_text, read_table
 
 
+def _clean_sql(col):
+    """The clean tokens of a text column: links out, lower case, letter runs."""
+    return raw_tokens_sql(f"lower(regexp_replace(coalesce({col}, ''), 'https?://\\S+', ' ', 'g'))")
+
+
 def _sent_comments(spark, sf_dir):
     c = forum_with_text(spark, sf_dir).comments
     return with_compound(c, "body")
@@ -65,6 +70,59 @@ def d9_comment_slot_sentiment(spark, sf_dir):
     return TS.slot_sentiment(_sent_comments(spark, sf_dir), "created_utc", "1D")
 
 
+def _slot_sql(label: str, spine: str) -> str:
+    return sql(EV_CTES, TEXT_CTES, body=", " + _S_COMMENTS + f"""
+, g AS (SELECT {label} AS bucket, count(*) AS n, avg(s.compound) AS a
+        FROM comments c JOIN sent s ON s.comment_id = c.comment_id GROUP BY 1),
+r AS (SELECT min(bucket) AS lo, max(bucket) AS hi FROM g),
+sp AS ({spine})
+SELECT sp.bucket, CAST(coalesce(g.n, 0) AS BIGINT) AS n, {sql_r6('coalesce(g.a, 0.0)')} AS avg_sentiment
+FROM sp LEFT JOIN g ON g.bucket = sp.bucket""")
+
+
+@register("d9_weekly_comment_sentiment", _slot_sql(
+    "CAST(CAST(c.created_utc AS DATE) + CAST((7 - isodow(c.created_utc)) % 7 AS INTEGER) AS TIMESTAMP)",
+    "SELECT CAST(g AS TIMESTAMP) AS bucket FROM r, generate_series(lo, hi, INTERVAL 7 DAY) t(g)"))
+def d9_weekly_comment_sentiment(spark, sf_dir):
+    return TS.slot_sentiment(_sent_comments(spark, sf_dir), "created_utc", "W")
+
+
+@register("d9_monthly_comment_sentiment", _slot_sql(
+    "CAST(last_day(CAST(c.created_utc AS DATE)) AS TIMESTAMP)",
+    "SELECT CAST(last_day(CAST(lo AS DATE) + to_months(CAST(i AS INTEGER))) AS TIMESTAMP) AS bucket "
+    "FROM r, range(0, (year(hi) - year(lo)) * 12 + month(hi) - month(lo) + 1) t(i)"))
+def d9_monthly_comment_sentiment(spark, sf_dir):
+    return TS.slot_sentiment(_sent_comments(spark, sf_dir), "created_utc", "M")
+
+
+@register("e21_running_sentiment", sql(EV_CTES, TEXT_CTES, body=", " + _S_COMMENTS + f"""
+SELECT c.comment_id, c.post_id, count(*) OVER w AS run_n, {sql_r6('avg(s.compound) OVER w')} AS run_mean
+FROM comments c JOIN sent s ON s.comment_id = c.comment_id
+WINDOW w AS (PARTITION BY c.post_id ORDER BY c.created_utc, c.comment_id ROWS UNBOUNDED PRECEDING)"""))
+def e21_running_sentiment(spark, sf_dir):
+    c = _sent_comments(spark, sf_dir).select("comment_id", "post_id", "created_utc", "compound")
+    return TS.chunked_running(c, "post_id", "created_utc", "compound", "comment_id").select(
+        "comment_id", "post_id", "run_n", "run_mean")
+
+
+@register("e22_daily_sentiment_shift", sql(EV_CTES, TEXT_CTES, body=", " + _S_COMMENTS + f"""
+, d AS (SELECT date_trunc('day', c.created_utc) AS day, {sql_r6('avg(s.compound)')} AS avg_sentiment
+        FROM comments c JOIN sent s ON s.comment_id = c.comment_id GROUP BY 1)
+SELECT day, avg_sentiment, {sql_r6('avg_sentiment - lag(avg_sentiment) OVER (ORDER BY day)')} AS shift FROM d"""))
+def e22_daily_sentiment_shift(spark, sf_dir):
+    d = TS.daily_shift(_sent_comments(spark, sf_dir), "created_utc", "compound", "avg_sentiment")
+    return d.select("day", "avg_sentiment", r6("shift").alias("shift"))
+
+
+@register("d21_post_length", sql(EV_CTES, TEXT_CTES, body=f"""
+SELECT subreddit, {sql_r6('avg(length(title))')} AS avg_post_length, count(*) AS n_posts
+FROM posts_t GROUP BY subreddit"""))
+def d21_post_length(spark, sf_dir):
+    p = forum_with_text(spark, sf_dir).posts
+    return p.groupBy("subreddit").agg(r6(F.avg(F.length("title"))).alias("avg_post_length"),
+                                      F.count(F.lit(1)).alias("n_posts"))
+
+
 @register("d9_post_slot_sentiment", sql(EV_CTES, TEXT_CTES, body=", " + _S_COMMENTS + f"""
 , pb AS (SELECT post_id, date_trunc('day', created_utc) AS bucket FROM posts),
 pc AS (SELECT bucket, count(*) AS post_count FROM pb GROUP BY 1),
@@ -140,8 +198,7 @@ def i9_exact_repetition(spark, sf_dir):
 
 
 @register("i7_keyword_repetition", sql(EV_CTES, TEXT_CTES, body=f"""
-, t AS (SELECT author, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(body, ''),
-                 'https?://\\S+', ' ', 'g')), '[^a-z]+'), lambda x: x <> '')) AS tok FROM comments_t)
+, t AS (SELECT author, unnest({_clean_sql('body')}) AS tok FROM comments_t)
 SELECT author, count(*) AS n_tokens, count(DISTINCT tok) AS n_distinct,
        {sql_r6('1.0 - count(DISTINCT tok) / count(*)')} AS repetition
 FROM t GROUP BY author"""))
@@ -156,8 +213,7 @@ def _stop_words():
 def _top_tokens_sql():
     sw = ", ".join("'" + w + "'" for w in _stop_words())
     return sql("d0 AS (SELECT lang, text FROM documents)", body=f"""
-, t AS (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''),
-                 'https?://\\S+', ' ', 'g')), '[^a-z]+'), lambda x: x <> '' AND x NOT IN ({sw}))) AS token FROM d0),
+, t AS (SELECT lang, unnest(list_filter({_clean_sql('text')}, lambda x: x NOT IN ({sw}))) AS token FROM d0),
 c AS (SELECT lang, token, count(*) AS n FROM t GROUP BY 1, 2)
 SELECT lang, token, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS r FROM c)
 WHERE r <= 25""")
@@ -185,21 +241,15 @@ def i6_topic_share_by_day(spark, sf_dir):
 
 _I8_SQL = sql("d0 AS (SELECT doc_id, text FROM documents)", body=f"""
 , tk AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h,
-                list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''),
-                  'https?://\\S+', ' ', 'g')), '[^a-z]+'), lambda x: x <> '')) AS toks FROM d0),
+                list_distinct({_clean_sql('text')}) AS toks FROM d0),
 tk2 AS (SELECT * FROM tk WHERE len(toks) > 0),
 rep AS (SELECT h, min(doc_id) AS rep FROM tk2 GROUP BY h),
 copies AS (SELECT r.rep AS id_a, t.doc_id AS id_b, 1.0 AS jaccard, 'copy' AS kind
            FROM tk2 t JOIN rep r ON r.h = t.h WHERE t.doc_id <> r.rep),
 uniq AS (SELECT t.doc_id, t.toks FROM tk2 t JOIN rep r ON r.rep = t.doc_id),
 flat AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok FROM uniq),
-fr AS (SELECT tok, count(*) AS df FROM flat GROUP BY tok),
-rk AS (SELECT f.doc_id, f.n, f.tok, row_number() OVER (PARTITION BY f.doc_id ORDER BY fr.df, f.tok) - 1 AS pos
-       FROM flat f JOIN fr ON fr.tok = f.tok),
-pre AS (SELECT doc_id, tok FROM rk WHERE pos < n - ceil(n * 0.8 - 1e-9) + 1),
-cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM pre a JOIN pre b ON a.tok = b.tok AND a.doc_id < b.doc_id),
-pairs AS (SELECT c.a, c.b, len(list_intersect(ua.toks, ub.toks)) AS i, len(ua.toks) AS la, len(ub.toks) AS lb
-          FROM cand c JOIN uniq ua ON ua.doc_id = c.a JOIN uniq ub ON ub.doc_id = c.b)
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i, any_value(x.n) AS la, any_value(y.n) AS lb
+          FROM flat x JOIN flat y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY 1, 2)
 SELECT id_a, id_b, jaccard, kind FROM copies
 UNION ALL
 SELECT a, b, {sql_r6('i / (la + lb - i)')}, 'near' FROM pairs WHERE i / (la + lb - i) >= 0.8""")

@@ -44,7 +44,7 @@ def e3_e5_rolling(spark, sf_dir):
 , r AS (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY day) AS rn FROM series)
 SELECT a.subreddit, a.day, a.n,
        {sql_r6('sum(b.n * pow(0.75, a.rn - b.rn)) / sum(pow(0.75, a.rn - b.rn))')} AS ema_7_n
-FROM r a JOIN r b ON b.subreddit = a.subreddit AND b.rn BETWEEN a.rn - 99 AND a.rn
+FROM r a JOIN r b ON b.subreddit = a.subreddit AND b.rn <= a.rn
 GROUP BY a.subreddit, a.day, a.n"""))
 def e4_ema(spark, sf_dir):
     return TS.ema(ord_series(spark, sf_dir), "day", "n", 7, BY)

@@ -18,7 +18,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -51,12 +50,15 @@ def get_spark(master: str | None = None, app: str = "threadlens",
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for checkpoints and written tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a private scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, only a
+    local master (tests) gets a private folder; on a cluster that would be a
+    folder which other machines cannot see, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="threadlens-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -73,3 +75,12 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     shared_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str = "table"):
+    """``df`` written once as Parquet into the shared folder and read back. Unlike
+    a checkpoint it keeps columnar reads, column pruning and size statistics."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

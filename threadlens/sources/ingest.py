@@ -56,33 +56,50 @@ def id_kind(col: str) -> F.Column:
     return F.when(p == "t1_", "comment").when(p == "t3_", "post")
 
 
-def reply_tree(spark: SparkSession, msgs: DataFrame, view: str = "_reply_msgs") -> DataFrame:
+def reply_tree(spark: SparkSession, msgs: DataFrame) -> DataFrame:
     """Depth and root of every message of a flat reply forest
-    (msg_id, parent_msg_id) with a recursive CTE; the recursion is one join
-    per tree level."""
-    msgs.select("msg_id", "parent_msg_id").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE tree(msg_id, root_id, depth) AS (
-          SELECT msg_id, msg_id, 0 FROM {view} WHERE parent_msg_id IS NULL
-          UNION ALL
-          SELECT m.msg_id, t.root_id, t.depth + 1 FROM {view} m JOIN tree t ON m.parent_msg_id = t.msg_id)
-        SELECT msg_id, root_id, depth FROM tree""")
-
-
-def flatten_nested(comments: DataFrame, max_depth: int = 8) -> DataFrame:
-    """A6 (nested input): comments with ``replies`` arrays of the same shape →
-    flat rows with parent ids, by repeated ``explode_outer`` (one level per step)."""
-    level = comments.select(F.col("id"), F.lit(None).cast("string").alias("parent_id"),
-                            "author", "body", "created_utc", "score", "replies")
-    out = level.drop("replies")
-    for _ in range(max_depth):
-        nxt = level.select(F.col("id").alias("_p"), F.explode_outer("replies").alias("r")).filter(
-            F.col("r").isNotNull())
-        if not nxt.columns:
+    (msg_id, parent_msg_id), by pointer doubling: each round every open message
+    jumps to its ancestor's ancestor, so a chain of depth d takes log2(d) rounds.
+    Messages whose chain ends in a missing message or a cycle have no root and
+    are left out. Only messages that are still open are joined."""
+    from threadlens.session import written
+    at = msgs.select("msg_id", "parent_msg_id")
+    roots = at.filter("parent_msg_id IS NULL").select("msg_id", F.col("msg_id").alias("root_id"), F.lit(0).alias("depth"))
+    known = written(roots, "tree")
+    open_ = written(at.filter("parent_msg_id IS NOT NULL")
+                    .select("msg_id", F.col("parent_msg_id").alias("up"), F.lit(1).alias("steps")), "tree-open")
+    done, left = [known], open_.count()
+    while left:
+        # a message whose ancestor is known gets its root; the others take their ancestor's pointer
+        found = written(open_.join(known.select(F.col("msg_id").alias("up"), "root_id", "depth"), "up")
+                        .select("msg_id", "root_id", (F.col("depth") + F.col("steps")).alias("depth")), "tree")
+        rest = open_.join(found.select("msg_id"), "msg_id", "left_anti")
+        jump = rest.select(F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
+        known = found.unionByName(known)
+        open_ = written(rest.join(jump, "up", "left").select(
+            "msg_id", F.coalesce("up2", "up").alias("up"),
+            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "tree-open")
+        done.append(found)
+        left, before = open_.count(), left
+        if left == before:      # nothing but cycles and missing messages
             break
-        level = nxt.select(F.col("r.id").alias("id"), F.col("_p").alias("parent_id"), "r.author", "r.body",
-                           "r.created_utc", "r.score", F.lit(None).alias("replies"))
-        out = out.unionByName(level.drop("replies"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("msg_id", "root_id", "depth")
+
+
+def flatten_nested(comments: DataFrame) -> DataFrame:
+    """A6 (nested input): comments with ``replies`` arrays of the same shape →
+    flat rows with parent ids, one ``explode`` per level. The depth is that of
+    the schema: the innermost level has no ``replies`` (or NULL ones)."""
+    cols = ["id", "author", "body", "created_utc", "score"]
+    level = comments.withColumn("parent_id", F.lit(None).cast("string"))
+    out = level.select("id", "parent_id", *cols[1:])
+    while "replies" in level.columns and isinstance(level.schema["replies"].dataType, T.ArrayType) \
+            and isinstance(level.schema["replies"].dataType.elementType, T.StructType):
+        level = level.select(F.col("id").alias("parent_id"), F.explode("replies").alias("r")).select("parent_id", "r.*")
+        out = out.unionByName(level.select("id", F.col("parent_id").cast("string"), *cols[1:]))
     return out
 
 
@@ -113,14 +130,17 @@ def merge_listings(*listings: DataFrame, key: str = "post_id") -> DataFrame:
 
 def assign_ids(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """Consecutive ids 1..n in the total order of ``order`` (SERIAL-like,
-    stable across runs for the same data). Range-partitioned sort, then
-    ``zipWithIndex`` (one small job counts rows per partition) — no
-    single-partition window."""
-    spark = df.sparkSession
-    srt = df.orderBy(*order)
-    schema = T.StructType([T.StructField(name, T.LongType(), False)] + srt.schema.fields)
-    rdd = srt.rdd.zipWithIndex().map(lambda p: (p[1] + 1, *p[0]))
-    return spark.createDataFrame(rdd, schema)
+    stable across runs for the same data). The rows are sorted by range partition
+    and written with their place; the partitions' sizes (one row each) then give
+    every partition its offset."""
+    from threadlens.session import written
+    place = F.monotonically_increasing_id()
+    x = written(df.orderBy(*order).withColumn("_p", F.shiftright(place, 33))
+                .withColumn("_i", place.bitwiseAND(F.lit((1 << 33) - 1))), "ids")
+    sizes = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")
+    x = x.join(sizes.select("_p", base.alias("_base")), "_p")
+    return x.select((F.col("_base") + F.col("_i") + 1).alias(name), *df.columns)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -147,4 +167,4 @@ def flag_event_days(days: DataFrame, events: DataFrame, day_col: str = "day") ->
 
 __all__ = ["POSTS_SCHEMA", "COMMENTS_SCHEMA", "INTERACTIONS_SCHEMA", "map_posts", "normalize_id", "id_kind",
            "reply_tree", "flatten_nested", "keep_first_arrival", "insert_if_absent", "merge_listings",
-           "assign_ids", "write_csv", "read_csv", "external_events", "flag_event_days", "Window"]
+           "assign_ids", "write_csv", "read_csv", "external_events", "flag_event_days"]

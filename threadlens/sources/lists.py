@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data")
 TIERS = ("manual", "high_reciprocity", "medium_reciprocity", "low_reciprocity")
 
 
+def _read(spark: SparkSession, path: str) -> dict:
+    """A JSON list file: from the package folder or another local path by the driver
+    (executors cannot see it), from any other store through Spark."""
+    if "://" in path:
+        rows = spark.read.text(path, wholetext=True).collect()   # one small file
+        return json.loads(rows[0][0]) if rows else {}
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def community_list(spark: SparkSession, path: str | None = None) -> DataFrame:
     """A2: ``{"subreddits": [...]}`` → one row per community. A missing key
-    gives no rows; a missing or unreadable file gives no rows as well."""
-    path = path or os.path.join(DATA_DIR, "target_subreddits.json")
-    schema = "subreddits array<string>"
-    if not os.path.exists(path) and "://" not in path:
-        return spark.createDataFrame([], "community string")
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return df.select(F.explode_outer("subreddits").alias("community")).filter(F.col("community").isNotNull())
+    or file gives no rows."""
+    names = _read(spark, path or os.path.join(DATA_DIR, "target_subreddits.json")).get("subreddits") or []
+    return spark.createDataFrame([(str(n),) for n in names if n is not None], "community string")
 
 
 def flagged_users(spark: SparkSession, path: str | None = None) -> DataFrame:
     """A3: the four tier lists → (username, tier)."""
-    path = path or os.path.join(DATA_DIR, "flagged_users.json")
-    schema = ", ".join(f"{t} array<string>" for t in TIERS)
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tier"), F.col(t).alias("names")) for t in TIERS])).alias("s"))
-    return stacked.select(F.explode("s.names").alias("username"), F.col("s.tier").alias("tier"))
+    tiers = _read(spark, path or os.path.join(DATA_DIR, "flagged_users.json"))
+    return spark.createDataFrame([(str(n), t) for t in TIERS for n in tiers.get(t) or []], "username string, tier string")

@@ -9,8 +9,6 @@ Event time must be TIMESTAMP for watermarks, so ``ts`` is cast on read.
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +51,20 @@ def _overwrite_sink(out: str):
     return sink
 
 
-def _append_sink(out: str):
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append").parquet(out)
+def _batch_sink(out: str):
+    """One folder for each micro-batch, named by its id: a batch that is replayed
+    after a failure replaces its own rows instead of adding them again."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={epoch}")
     return sink
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; any other trouble with the store is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def to_ntz(df: DataFrame, cols) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
@@ -76,10 +82,7 @@ def stream_insert_if_absent(stream: DataFrame, target_path: str, key: list[str],
     spark = stream.sparkSession
 
     def sink(batch: DataFrame, _epoch: int) -> None:
-        try:
-            target = spark.read.parquet(target_path)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            target = batch.limit(0)
+        target = spark.read.parquet(target_path) if path_exists(spark, target_path) else batch.limit(0)
         new = insert_if_absent(target, batch, key, order or [ts])
         new.write.mode("append").parquet(target_path)
 
@@ -108,9 +111,9 @@ def stream_sessions(stream: DataFrame, ts: str, by: str, gap: str, out: str, che
 
 
 def stream_static_join(stream: DataFrame, static: DataFrame, key: str, out: str, checkpoint: str):
-    """stream–static join (comments to their posts), appended per batch."""
+    """stream–static join (comments to their posts), one folder per batch."""
     j = stream.join(static, key, "inner")
-    return run_available(j.writeStream.foreachBatch(_append_sink(out)), checkpoint)
+    return run_available(j.writeStream.foreachBatch(_batch_sink(out)), checkpoint)
 
 
 def stream_first_seen(stream: DataFrame, ts: str, user: str, out: str, checkpoint: str,
@@ -123,20 +126,27 @@ def stream_first_seen(stream: DataFrame, ts: str, user: str, out: str, checkpoin
                          checkpoint)
 
 
+def new_users_per_window(first_seen: DataFrame, size: str = "1 day") -> DataFrame:
+    """Number of users first seen in each window."""
+    w = F.window("first_seen", size)
+    return first_seen.groupBy(w.start.alias("window_start")).agg(F.count(F.lit(1)).alias("new_users"))
+
+
 def stream_daily_refresh(stream: DataFrame, ts: str, table: str, checkpoint: str):
     """Incremental daily feature refresh — each batch recomputes the
-    counts of the days it touches from the whole landed history of those days
-    and overwrites only those day partitions (dynamic partition overwrite)."""
+    counts of the days it touches from the landed history of those days (the
+    history is partitioned by batch and day, so no other day is read) and
+    overwrites only those day partitions. A replayed batch replaces its own
+    part of the history."""
     spark = stream.sparkSession
+    history = table + "_events"
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
+    def sink(batch: DataFrame, epoch: int) -> None:
+        (batch.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day")
+         .parquet(f"{history}/batch_id={epoch}"))
         days = batch.select(F.to_date(ts).alias("day")).distinct()
-        hist_path = table + "_events"
-        batch.write.mode("append").parquet(hist_path)
-        hist = spark.read.parquet(hist_path)
-        touched = hist.join(days, F.to_date(hist[ts]) == days["day"], "left_semi")
-        feats = touched.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"),
-                                                                 F.sum("value").alias("total_value"))
+        touched = spark.read.parquet(history).join(days, "day", "left_semi")
+        feats = touched.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value"))
         (feats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("day").parquet(table))
 
@@ -188,10 +198,8 @@ def stream_alerts(stream: DataFrame, ts: str, by: str, size: str, out: str, chec
            "cnt long, mean double, m2 double"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        try:
-            st = spark.read.parquet(f"{state_path}/epoch={epoch - 1}")
-        except Exception:  # noqa: BLE001 - no state yet
-            st = spark.createDataFrame([], STATE_SCHEMA)
+        # every batch leaves a state, so only the first one may find none
+        st = spark.read.parquet(f"{state_path}/epoch={epoch - 1}") if epoch else spark.createDataFrame([], STATE_SCHEMA)
         x = (batch.select("key", F.lit("window").alias("kind"), "window_start", "n", F.lit(0).cast("long")
                           .alias("cnt"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
              .unionByName(st.select("key", F.lit("state").alias("kind"),
@@ -200,13 +208,9 @@ def stream_alerts(stream: DataFrame, ts: str, by: str, size: str, out: str, chec
         res = x.groupBy("key").applyInPandas(_alerts_for_key(k, min_history), cols).persist()
         (res.filter(F.col("kind") == "window")
          .select("key", "window_start", "n", F.col("wmean").alias("mean"), F.col("wstd").alias("std"), "alert")
-         .write.mode("append").parquet(out))
+         .write.mode("overwrite").parquet(f"{out}/batch_id={epoch}"))
         res.filter(F.col("kind") == "state").select("key", "cnt", "mean", "m2").write.mode("overwrite").parquet(
             f"{state_path}/epoch={epoch}")
         res.unpersist()
 
     return run_available(counts.writeStream.outputMode("append").foreachBatch(sink), checkpoint)
-
-
-def path_in(base: str, *parts: str) -> str:
-    return os.path.join(base, *parts)
