@@ -89,26 +89,29 @@ def thresholds(sizes: DataFrame) -> DataFrame:
                         (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
+def _measured(docs: DataFrame, carry: bool) -> DataFrame:
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)] if carry else []
+    m = docs.select(*own, "doc_id", F.col("source").cast("string").alias("source"),
+                    F.size(words(F.col("text"))).cast("long").alias("size"),
+                    _hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    return m.withColumn("key", _key(F.col("source")))
+
+
 def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target,
     taken (words) and copies (0, 1 or 2). With ``carry`` the column ``__threadlens_row``
-    holds the whole row.
+    holds the whole row, which is then read a second time rather than stored.
 
     A null or empty text has size 0 and takes no words. A null source is a source of
     its own, the last. Rows with a null id are dealt by their text; rows that agree in
     id and text share a hash and are taken together. An empty table gives no rows.
     Further columns are ignored.
     """
-    text = F.col("text")
-    sizes = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)] if carry else []),
-                        "doc_id", F.col("source").cast("string").alias("source"),
-                        F.size(words(text)).cast("long").alias("size"),
-                        _hash(F.col("doc_id"), text).alias("hash"))
-    sizes = materialise(sizes.withColumn("key", _key(F.col("source"))), "mix-sizes")
+    sizes = materialise(_measured(docs, False), "mix-sizes")
+    taken = (_measured(docs, True) if carry else sizes).join(thresholds(sizes), "key")
     copies = F.col("passes") + (F.col("hash") < F.col("threshold")).cast("int")
-    return (sizes.join(thresholds(sizes), "key")
-            .select(*([ROW] if carry else []), "doc_id", "size", "source_size", "target",
-                    (F.col("size") * copies).alias("taken"), copies.alias("copies")))
+    return taken.select(*([ROW] if carry else []), "doc_id", "size", "source_size", "target",
+                        (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

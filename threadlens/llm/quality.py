@@ -171,9 +171,9 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
     rows. Rows are judged one by one, so repeated rows and null ids change nothing.
     """
     rules = votes()
-    seen = materialise(measure(docs, carry).select("*", *[v.cast("tinyint").alias(f"vote_{k}")
-                                                          for k, v in rules.items()]), "quality")
     names = [f"vote_{k}" for k in rules]
+    voted = lambda m: m.select("*", *[v.cast("tinyint").alias(f"vote_{k}") for k, v in rules.items()])
+    seen = materialise(voted(measure(docs)), "quality")
     rows = seen.groupBy(*names).count().collect()
     share, table = estimate(sorted((tuple(r)[:-1], r["count"]) for r in rows)) if rows else (PRIOR_GOOD, [])
     z = F.lit(math.log(share) - math.log(1 - share))
@@ -181,7 +181,8 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
         z = z + F.element_at(F.array(*[F.lit(_odds(p, k)) for k in range(3)]), F.col(name).cast("int") + 1)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     good = 1 / (1 + F.exp(-z))
-    return seen.select(*([ROW] if carry else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    # With whole rows the counts are made again, which is cheaper than storing the texts.
+    return (voted(measure(docs, carry=True)) if carry else seen).select(*([ROW] if carry else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", failed.alias("base_failed"),
                        (~failed & (good >= KEEP_FROM)).alias("kept"), good.alias("p_good"), *names)
 
