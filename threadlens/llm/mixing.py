@@ -19,6 +19,9 @@ TOTAL_SHARE = 1.5
 MAX_PASSES = 2
 BITS = 12          # of a histogram: 4,096 buckets a source
 LEVELS = 4         # 48 bits of hash
+# Tables of one row a source are broadcast up to so many sources (a few MB); with more,
+# no source can hold much and the rows are shuffled by source.
+BROADCAST_SOURCES = 1 << 16
 
 
 def _hash(doc_id: Column, text: Column) -> Column:
@@ -32,6 +35,10 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
+def _by_source(rows: DataFrame, state: DataFrame, sources: int) -> DataFrame:
+    return rows.join(F.broadcast(state) if sources <= BROADCAST_SOURCES else state, "key")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(key, source_size, target) from (key, source, size): weights 3, 1, 2 by code point
     order of the names, null last; a target stops at twice the source's size and what
@@ -56,21 +63,21 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("key", "source_size", target.alias("target"), "stops")
 
 
-def thresholds(sizes: DataFrame) -> DataFrame:
-    """(key, source_size, target, passes, threshold): a document is taken ``passes``
+def thresholds(sizes: DataFrame) -> tuple[DataFrame, int]:
+    """(key, source_size, target, passes, threshold) and the number of sources: a document is taken ``passes``
     times, and once more if its hash is below ``threshold``."""
     s = F.col("source_size")
     passes = F.when(F.col("stops"), F.lit(MAX_PASSES)).otherwise(F.floor(F.col("target") / s)).cast("int")
     state = targets(sizes).withColumn("passes", F.coalesce(passes, F.lit(0)))
-    state = state.select("key", "source_size", "target", "passes",
+    state = materialise(state.select("key", "source_size", "target", "passes",
                          (F.col("target") - F.col("passes") * s).alias("rest"),
-                         F.lit(0).cast("long").alias("prefix"))
+                         F.lit(0).cast("long").alias("prefix")), "mix-targets")
+    sources = state.count()
     carried = ["source_size", "target", "passes", "rest"]
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        # Only the documents of each source's boundary bucket go on to this level. Each
-        # step reads the one before it once, so the plan grows by one join a level.
-        inside = (sizes.select("key", "size", "hash").join(state.select("key", *carried, "prefix"), "key")
+        # Only the documents of each source's boundary bucket go on to this level.
+        inside = (_by_source(sizes.select("key", "size", "hash"), state.select("key", *carried, "prefix"), sources)
                   .where(F.shiftright("hash", shift + BITS) == F.col("prefix")))
         hist = (inside.groupBy("key", F.shiftright("hash", shift).alias("bucket"))
                 .agg(F.sum("size").alias("own"), *[F.first(c).alias(c) for c in carried]))
@@ -78,15 +85,16 @@ def thresholds(sizes: DataFrame) -> DataFrame:
         bucket = F.struct("bucket", F.col("before"), F.col("own"))
         # The first bucket that the rest doesn't cover; the last one if it covers all.
         edge = F.coalesce(F.min(F.when(F.col("before") + F.col("own") > F.col("rest"), bucket)), F.max(bucket))
-        state = (hist.withColumn("before", before).groupBy("key")
-                 .agg(*[F.first(c).alias(c) for c in carried], edge.alias("edge"))
-                 .select("key", "source_size", "target", "passes",
-                         (F.col("rest") - F.col("edge.before")).alias("rest"),
-                         F.col("edge.bucket").alias("prefix"), F.col("edge.own").alias("own")))
+        state = materialise(
+            hist.withColumn("before", before).groupBy("key")
+            .agg(*[F.first(c).alias(c) for c in carried], edge.alias("edge"))
+            .select("key", "source_size", "target", "passes",
+                    (F.col("rest") - F.col("edge.before")).alias("rest"),
+                    F.col("edge.bucket").alias("prefix"), F.col("edge.own").alias("own")), f"mix-edge-{level}")
     # The last bucket is one value of the hash: in, if that comes nearer to the target.
     nearer = F.col("own") - F.col("rest") < F.col("rest")
     return state.select("key", "source_size", "target", "passes",
-                        (F.col("prefix") + nearer.cast("long")).alias("threshold"))
+                        (F.col("prefix") + nearer.cast("long")).alias("threshold")), sources
 
 
 def _measured(docs: DataFrame, carry: bool) -> DataFrame:
@@ -108,7 +116,7 @@ def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
     Further columns are ignored.
     """
     sizes = materialise(_measured(docs, False), "mix-sizes")
-    taken = (_measured(docs, True) if carry else sizes).join(thresholds(sizes), "key")
+    taken = _by_source(_measured(docs, True) if carry else sizes, *thresholds(sizes))
     copies = F.col("passes") + (F.col("hash") < F.col("threshold")).cast("int")
     return taken.select(*([ROW] if carry else []), "doc_id", "size", "source_size", "target",
                         (F.col("size") * copies).alias("taken"), copies.alias("copies"))

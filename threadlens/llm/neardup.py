@@ -5,9 +5,9 @@ bits of every minimum are packed into a signature of 60 bytes. Documents that sh
 are candidates, the equal bits of their signatures estimate their similarity (corrected
 for chance agreement), and what the estimate leaves is confirmed on full shingle sets.
 
-No group is spread into all its pairs. Equal sets are one node. Each node is first tried
-with the first node of its bands, and the links make components; only then are nodes of one
-band but different components compared, by signature inside the join, so rows come
+No group is spread into all its pairs. Equal sets are one node. In a few rounds each node is
+tried with one other of its bands, and the links make components; only then are nodes of
+one band but different components compared, by signature inside the join, so rows come
 out for those alone that may yet connect two components.
 """
 
@@ -32,6 +32,11 @@ LOW_BITS = 2
 # A pair goes on if its estimate is at least this. At a similarity of 0.75 the estimate's
 # standard deviation is 0.034, so one in 300,000 such pairs would fall below.
 MIN_ESTIMATE = 0.60
+# Before what is left is confirmed, a longer signature of the nodes in question narrows it:
+# its standard deviation is 0.0115, so the limit is as safe as the one above.
+FINE_HASHES, MIN_FINE = 2048, 0.697
+STAND_INS = 4              # members that stand for a band in a round
+ROUNDS = 3                 # of one try a node, before what is left is compared in full
 _STEP = 1024               # shingles of one document hashed at once
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -43,8 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _seeds = np.random.default_rng(20240229)
-_MULTIPLY = (_seeds.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _seeds.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+_MULTIPLY = (_seeds.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_ADD = _seeds.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint64).astype(np.uint32)
 _PLACE = _mix(np.arange(1, 2 * SHINGLE + BANDS + ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -75,12 +80,13 @@ def shingle_sets(texts: list) -> list[np.ndarray]:
     return out
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The least of each of HASHES 32-bit hashes over a set."""
+def minima(s: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The least of each of so many 32-bit hashes over a set."""
     low = (s >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), _STEP):
-        np.minimum(least, (low[at:at + _STEP, None] * _MULTIPLY + _ADD).min(0), out=least)
+    least = np.full(hashes, 0xFFFFFFFF, np.uint32)
+    step = max(1, _STEP * HASHES // hashes)
+    for at in range(0, len(low), step):
+        np.minimum(least, (low[at:at + step, None] * _MULTIPLY[:hashes] + _ADD[:hashes]).min(0), out=least)
     return least
 
 
@@ -88,8 +94,8 @@ def signature(least: np.ndarray) -> np.ndarray:
     """Low bits of the minima, 32 minima to a 64-bit number."""
     bits = _mix(least.astype(np.uint64)) & np.uint64((1 << LOW_BITS) - 1)
     per = 64 // LOW_BITS
-    padded = np.zeros(-(-HASHES // per) * per, np.uint64)
-    padded[:HASHES] = bits
+    padded = np.zeros(-(-len(least) // per) * per, np.uint64)
+    padded[:len(least)] = bits
     return (padded.reshape(-1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(LOW_BITS))).sum(1, dtype=np.uint64)
 
 
@@ -128,20 +134,30 @@ def sign(docs: DataFrame) -> DataFrame:
         of_batch, "doc_id long, n_shingles long, digest binary, signature array<long>, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, set): the shingle hashes."""
+def _of_sets(docs: DataFrame, name: str, longs) -> DataFrame:
+    """(doc_id, name): an array of 64-bit numbers made of each text's shingle set."""
     prepare_workers(docs.sparkSession)
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+            made = [longs(s).view(np.int64) for s in shingle_sets(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", name])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        of_batch, "doc_id long, set array<long>")
+        of_batch, f"doc_id long, `{name}` array<long>")
+
+
+def full_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, set): the shingle hashes."""
+    return _of_sets(docs, "set", lambda s: s)
+
 
+def fine_signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, fine): signatures of FINE_HASHES minima."""
+    return _of_sets(docs, "fine", lambda s: signature(minima(s, FINE_HASHES)))
 
-def estimate(a: Column, b: Column) -> Column:
+
+def estimate(a: Column, b: Column, hashes: int = HASHES) -> Column:
     """Similarity from two signatures: the share of equal low bits, less what chance gives."""
     odd = F.lit(0x5555555555555555)
 
@@ -151,7 +167,7 @@ def estimate(a: Column, b: Column) -> Column:
 
     unequal = F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda s, x: s + x)
     chance = 1 / (1 << LOW_BITS)
-    return (1 - unequal / HASHES - chance) / (1 - chance)
+    return (1 - unequal / hashes - chance) / (1 - chance)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,6 +210,26 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b").distinct()
 
 
+def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, node, component) of the bands that reach into more than one component."""
+    rows = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = (rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("band"))
+    return rows.join(mixed, "band", "left_semi").select("band", "node", "component")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """The classes with the confirmed ones of the pairs (a, b), and whether there were any."""
+    pairs = materialise(pairs.distinct(), f"pairs-{name}")
+    if pairs.isEmpty():
+        return classes, False
+    found = materialise(confirm(pairs, texts), f"links-{name}")
+    if found.isEmpty():
+        return classes, False
+    known = classes.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
+    return materialise(components(found.unionAll(known)), f"classes-{name}"), True
+
+
 def link(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -209,43 +245,44 @@ def link(docs: DataFrame) -> DataFrame:
     nodes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"),
                                                    F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(banded.join(shared.select("band", "pivot"), "band"), "members")
-    signatures = nodes.select("node", "signature")
-
-    def signed_as(name: str) -> DataFrame:
-        return signatures.select(F.col("node").alias(name), F.col("signature").alias(f"s{name}"))
-
-    # First each node with the first node of its bands: no more pairs than band rows.
-    tried = (members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-             .join(signed_as("a"), "a").join(signed_as("b"), "b").where(estimate(F.col("sa"), F.col("sb")) >= MIN_ESTIMATE))
-    nodes_texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = materialise(confirm(materialise(tried.select("a", "b"), "candidates"), nodes_texts), "confirmed")
-    classes = materialise(components(links), "classes")
-
-    # Then what lies in one band but in two components: the best of each node and
-    # component, and once those links are in, all that is still apart.
-    for best_only in (True, False):
-        rows = (members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        mixed = (rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo < hi").select("band"))
-        rows = materialise(rows.join(mixed, "band", "left_semi").join(signatures, "node")
-                           .select("band", "node", "component", "signature"), "apart")
-        a = rows.select("band", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "signature")])
-        b = rows.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "signature")])
-        similar = estimate(F.col("signature_a"), F.col("signature_b"))
-        apart = a.join(b, (a["band"] == b["band"]) & (F.col("component_a") < F.col("component_b"))
-                       & (similar >= MIN_ESTIMATE))
-        if best_only:
-            apart = apart.groupBy("component_a", "node_b").agg(F.max_by("node_a", F.struct(similar, "node_a")).alias("node_a"))
-        pairs = materialise(apart.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-                            .distinct(), "candidates")
-        if pairs.isEmpty():
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = materialise(banded.join(shared, "band"), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    classes = materialise(members.select("node", F.col("node").alias("component")).limit(0), "classes")
+
+    # Rounds of one try a node, so pairs stay as many as nodes: in each band a few members,
+    # others each round, stand for the band, and a node is tried with the most similar one,
+    # by signature, that lies in another component.
+    for turn in range(ROUNDS):
+        apart = _apart(members, classes).join(nodes.select("node", "signature"), "node")
+        who = F.struct("node", "component", "signature")
+        some = apart.groupBy("band").agg(F.array(*[
+            F.min_by(who, F.xxhash64("node", F.lit(turn * STAND_INS + i))) for i in range(STAND_INS)]).alias("some"))
+        tries = F.transform(F.filter("some", lambda p: p["component"] != F.col("component")),
+                            lambda p: F.struct(estimate(F.col("signature"), p["signature"]).alias("e"), p["node"].alias("other")))
+        best = (apart.join(some, "band").select("node", F.array_max(tries).alias("t")).where(F.col("t.e") >= MIN_ESTIMATE)
+                .groupBy("node").agg(F.max("t").alias("t")))
+        classes, more = _linked(best.select(F.least("node", "t.other").alias("a"), F.greatest("node", "t.other").alias("b")),
+                                texts, classes, f"round-{turn}")
+        if not more:
             break
-        found = confirm(pairs, nodes_texts)
-        links = materialise(found.unionAll(classes.select(F.col("component").alias("a"), F.col("node").alias("b"))
-                                           .where("a <> b")), "confirmed")
-        classes = materialise(components(links), "classes")
+
+    # Then all that still shares a band and is similar by both signatures, but lies in two
+    # components; each pair once, in the first band that both have.
+    apart = materialise(_apart(members, classes), "apart")
+    asked = apart.select(F.col("node").alias("doc_id")).distinct()
+    fine = fine_signatures(texts.join(asked, "doc_id", "left_semi")).distinct()
+    rows = materialise(nodes.select("node", "signature", "bands").join(fine.withColumnRenamed("doc_id", "node"), "node"), "fine")
+    rows = apart.join(rows, "node")
+    names = ("node", "component", "signature", "bands", "fine")
+    a = rows.select("band", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rows.select("band", *[F.col(c).alias(f"{c}_b") for c in names])
+    first = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
+    similar = (estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE) & (first == a["band"]) & (
+        estimate(F.col("fine_a"), F.col("fine_b"), FINE_HASHES) >= MIN_FINE)
+    left = a.join(b, (a["band"] == b["band"]) & (F.col("component_a") < F.col("component_b")) & similar)
+    classes, _ = _linked(left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")),
+                         texts, classes, "rest")
 
     named = nodes.select("digest", "node").join(classes, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
