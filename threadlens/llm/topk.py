@@ -85,7 +85,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for d in [_distance(_segment(F.col("query"), t), _segment(F.col("code"), t))]])
         apart = _distance(F.col("query"), F.col("code"))
         same = (F.col("at") == F.col("s")) & (probes["value"] == entries["value"])
-        hits = (probes.join(entries, same & (apart <= F.col("bound")) & once)
+        # Probes look small to the planner before they are exploded: never broadcast them.
+        hits = (probes.join(entries.hint("merge"), same & (apart <= F.col("bound")) & once)
                 .select("query_id", "query", apart.alias("distance"),
                         F.filter("ids", lambda x: x != F.col("query_id")).alias("ids")))
         found.append(materialise(hits, f"topk-{radius}"))
