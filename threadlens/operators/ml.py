@@ -150,7 +150,8 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_tree
     score and is_anomaly 0. Scoring meets each group's trees with slices of at
     most ~20,000 of its rows; nothing goes through the driver."""
     from threadlens.operators.quantiles import exact_quantiles
-    from threadlens.session import written
+    from threadlens.session import ship_package, written
+    ship_package(df.sparkSession)
     feats = list(features)
     g = F.col(group) if group else F.lit(0)
     x = df.select(g.alias("_g"), id_col, *feats)
