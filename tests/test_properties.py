@@ -108,6 +108,16 @@ def test_louvain_recovers_two_cliques(spark):
     assert abs(q - 0.4523809523809) < 1e-9
 
 
+def test_louvain_goes_on_for_rises_that_are_small_in_a_heavy_graph(spark):
+    """A path of light edges gains one node a round, each time about 1e-5 of the total
+    weight; the other group settles at once and keeps its communities meanwhile."""
+    from threadlens.operators.louvain import louvain
+    rows = [(1, "h0", "h1", 1e5), *[(1, f"p{i}", f"p{i + 1}", 1.0) for i in range(3)], (2, "h0", "h1", 1.0)]
+    e = spark.createDataFrame(rows, "g int, user1 string, user2 string, weight double").coalesce(1)
+    got = {(r.g, r.node): r.community for r in louvain(e, group="g").collect()}
+    assert got == {**{(1, f"p{i}"): 0 for i in range(4)}, (1, "h0"): 1, (1, "h1"): 1, (2, "h0"): 0, (2, "h1"): 0}
+
+
 # ------------------------------------------------------------------ extrema
 def _find_peaks(x):
     """Reference rule: plateau-aware local maxima (middle index, floor)."""
