@@ -118,6 +118,29 @@ def test_louvain_goes_on_for_rises_that_are_small_in_a_heavy_graph(spark):
     assert got == {**{(1, f"p{i}"): 0 for i in range(4)}, (1, "h0"): 1, (1, "h1"): 1, (2, "h0"): 0, (2, "h1"): 0}
 
 
+# --------------------------------------------------------------------- votes
+def test_five_detectors_vote_on_one_table(spark):
+    from threadlens.operators.ml import detector_flags, ensemble_vote
+    rnd = random.Random(5)
+    days = [(dt.datetime(2020, 1, 1) + dt.timedelta(days=i), *[float(rnd.randrange(5, 9)) for _ in range(3)])
+            for i in range(300)]
+    days[100] = (days[100][0], 90.0, 5.0, 70.0)
+    f = spark.createDataFrame(days, "day timestamp_ntz, a double, b double, c double").coalesce(1)
+    flags = detector_flags(f.withColumn("n", F.expr("a + b + c")), "day", "n", ["a", "b", "c"])
+    seen = [{r.day for r in t.where(F.col(c) == 1).select("day").collect()} for t, c in flags]
+    assert len(seen) == 5 and all(seen) and sum(days[100][0] in s for s in seen) >= 4
+    got = {r.day: r.votes for r in ensemble_vote(flags, ["day"]).collect()}
+    assert got == {d: sum(d in s for s in seen) for d in set().union(*seen)}
+    assert set(got) > seen[0]    # days that only the others see
+
+
+def test_votes_are_summed_over_any_flag_tables(spark):
+    from threadlens.operators.ml import ensemble_vote
+    tables = [spark.createDataFrame(r, "k int, f int") for r in ([(1, 1), (2, 0)], [(1, 1), (3, None)], [(3, 1), (2, 0)])]
+    votes = lambda m: {r.k: r.votes for r in ensemble_vote([(t, "f") for t in tables], ["k"], m).collect()}
+    assert votes(1) == {1: 2, 3: 1} and votes(2) == {1: 2}
+
+
 # ------------------------------------------------------------------ extrema
 def _find_peaks(x):
     """Reference rule: plateau-aware local maxima (middle index, floor)."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -241,6 +242,39 @@ def seasonal_residual_anomalies(series: DataFrame, day: str, col: str, k: float
             .withColumn("is_anomaly", (F.abs(F.col("residual")) > F.lit(k * sd)).cast("int")))
 
 
+# ------------------------------------------------------------------ K16
+def ensemble_vote(flags: Sequence[tuple[DataFrame, str]], key: Sequence[str], min_votes: int = 1) -> DataFrame:
+    """(key, votes) of the keys with at least ``min_votes``, where votes is the sum
+    of the 0/1 flags of any number of (table, flag column). A key that a table doesn't
+    have, or has with a NULL flag, gets no vote from it."""
+    key = list(key)
+    each = [t.select(*key, F.coalesce(F.col(c).cast("int"), F.lit(0)).alias("_f")) for t, c in flags]
+    votes = reduce(DataFrame.unionByName, each).groupBy(*key).agg(F.sum("_f").cast("int").alias("votes"))
+    return votes.filter(F.col("votes") >= min_votes)
+
+
+def detector_flags(features: DataFrame, day: str, total: str, cols: Sequence[str], dims: int = 2,
+                   seed: int = 42) -> list[tuple[DataFrame, str]]:
+    """The flags of E14, K6, K8, K9 and K10 on one feature table with a row per ``day``:
+    z-score and seasonal residual of ``total``; isolation forest, reconstruction error by
+    ``dims`` components and 5-nearest-neighbour distance (above its 95 % quantile) of ``cols``."""
+    from threadlens.operators.quantiles import exact_quantiles
+    from threadlens.operators.timeseries import zscore_flags
+    from threadlens.session import written
+    features = written(features, "vote-features")    # five detectors read it
+    arr = features.withColumn("_x", F.array(*[F.col(c).cast("double") for c in cols]))
+    knn = written(knn_distance(arr, day, "_x", k=5), "vote-knn")
+    cut = exact_quantiles(knn, [], "knn5_distance", [0.95], ["cut"]).first()
+    cut = F.lit(cut["cut"] if cut else None).cast("double")
+    return [
+        (zscore_flags(features, total, 2.0), "is_anomaly"),
+        (isolation_forest(features, day, cols, n_trees=50, sample=128, seed=seed), "is_anomaly"),
+        (reconstruction_error(vectors(arr, "_x"), "features", dims), "is_anomaly"),
+        (seasonal_residual_anomalies(features, day, total, 2.0), "is_anomaly"),
+        (knn.withColumn("is_anomaly", (F.col("knn5_distance") > cut).cast("int")), "is_anomaly"),
+    ]
+
+
 # ----------------------------------------------------------- K11, K13–K15
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Each column replaced by its rank; equal values share their mean rank."""

@@ -156,6 +156,18 @@ def k16_ensemble_vote(spark, sf_dir):
     return v.filter(F.col("votes") >= 1).select("subreddit", "day", "votes")
 
 
+@register("k16_five_detector_vote")
+def k16_five_detector_vote(spark, sf_dir):
+    """E14, K6, K8, K9 and K10 vote on the days of one table: the comments of each
+    community and of all."""
+    per = [f"n{i}" for i in range(len(ORD_COMMUNITIES))]
+    s = ord_series(spark, sf_dir).groupBy("day").agg(
+        F.sum("n").alias("n"),
+        *[F.sum(F.when(F.col("subreddit") == c, F.col("n")).otherwise(0)).cast("double").alias(a)
+          for a, c in zip(per, ORD_COMMUNITIES)])
+    return M.ensemble_vote(M.detector_flags(s, "day", "n", per), ["day"])
+
+
 _DOC_SENT = sentiment_sql("SELECT doc_id, text FROM documents", "doc_id", "text")
 
 
