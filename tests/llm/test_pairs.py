@@ -119,6 +119,15 @@ def test_top_k_small_and_empty(spark):
     assert topk.search(none, none).count() == 0 and topk.search(df, none).count() == 0
 
 
+def test_top_k_of_an_id_with_several_vectors(spark):
+    flipped = lambda *bits: [-1.0 if i in bits else 1.0 for i in range(64)]
+    rows = [(1, flipped()), *[(1, flipped(i)) for i in range(5)], (2, flipped(*range(6))), (3, flipped(*range(7)))]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    query = spark.createDataFrame([(1, flipped())], df.schema)
+    got = [(r["rank"], r["id"], r["distance"]) for r in topk.search(df, query, k=2).orderBy("rank").collect()]
+    assert got == [(1, 2, 6), (2, 3, 7)]
+
+
 RECORDS = [
     ({"prompt": "p", "response": "r"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
     ({"completion": "r", "prompt": "p", "other": [1]}, "prompt_completion", [("user", "p"), ("assistant", "r")]),

@@ -62,13 +62,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     by_code = W.partitionBy("code").orderBy("id")
     index = materialise(coded(rows).withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= k + 1)
                         .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "topk-index")
-    # An upper bound of each query's k-th distance: distinct codes hold distinct ids.
+    # An upper bound of each query's k-th distance: distinct codes hold distinct rows, and as
+    # many places further on as there are other codes that may hold none but the query's id.
     few = [r["code"] for r in index.select("code").orderBy(F.xxhash64("code"), "code").limit(BOUND_CODES).collect()]
     some = F.expr("array(" + ",".join(f"{c}L" if c > -(1 << 63) else "(-9223372036854775807L - 1L)" for c in few) + ")") \
         if few else F.expr("cast(array() as array<bigint>)")
     near = F.array_sort(F.transform(F.filter(some, lambda c: c != F.col("code")), lambda c: _distance(c, F.col("code"))))
-    pending = materialise(coded(queries).select(F.col("id").alias("query_id"), F.col("code").alias("query"),
-                                                F.coalesce(F.get(near, k - 1), F.lit(BITS)).alias("bound")), "topk-queries")
+    own = coded(rows).groupBy("id").agg(F.count("*").cast("int").alias("own"), F.min("code").alias("first"))
+    more = F.when((F.col("own") == 1) & (F.col("first") == F.col("code")), 0).otherwise(F.coalesce("own", F.lit(0)))
+    pending = materialise(coded(queries).join(own, "id", "left").select(
+        F.col("id").alias("query_id"), F.col("code").alias("query"),
+        F.coalesce(F.get(near, more + (k - 1)), F.lit(BITS)).alias("bound")), "topk-queries")
     segments = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("s")
     entries = index.select("code", "ids", segments).withColumn("value", _segment(F.col("code"), F.col("s")))
     found, radius = [], 0
