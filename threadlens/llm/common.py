@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.session import scratch_path
+from threadlens.session import scratch_path, ship_package
 
 # A word is a run of anything but the six ASCII white-space characters.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -34,27 +30,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
 def prepare_workers(spark: SparkSession) -> None:
     """Before Python code runs on the executors: lower the Arrow batch size so that a batch
     of whole texts stays small, and ship this package, which they may not have installed."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        own = os.path.dirname(os.path.abspath(__file__))
-        top = os.path.dirname(own)
-        path = os.path.join(tempfile.mkdtemp(prefix="threadlens-"), "threadlens.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder in (top, own):
-                for name in sorted(os.listdir(folder)):
-                    if name.endswith(".py"):
-                        z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
-        sc.addPyFile(path)   # the driver hands it to every executor
+    ship_package(spark)
 
 
 def let(value: Column, body) -> Column:
