@@ -60,3 +60,21 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     taken = {k.lower() for k in new}
     kept = [df[f"`{c}`"] for c in df.columns if c.lower() not in taken]
     return df.select(*kept, *[v.alias(k) for k, v in new.items()])
+
+
+# Keys that hold more than this share of all rows number fewer than HEAVY.
+HEAVY = 1024
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join on ``key`` (not null) of ``big``, a written table of ``total`` rows, with ``small``, which
+    has each key once and in ``count`` how many rows of ``big`` hold it.
+
+    Keys with more than a 1,024th of the rows, at most 1,023 keys whatever the table, are broadcast, so
+    their rows stay where they are; all others are shuffled, and none of them is a large part.
+    """
+    rest = [c for c in small.columns if c != "count"]
+    heavy = small.where(F.col("count") * HEAVY > total).select(*rest)
+    light = small.where(F.col("count") * HEAVY <= total).select(*rest)
+    return big.join(F.broadcast(heavy), key).unionByName(
+        big.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
