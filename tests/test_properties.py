@@ -534,3 +534,31 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
         S._batch_sink(out)(b, epoch)
     assert spark.read.parquet(out).count() == 2
     assert S.path_exists(spark, out) and not S.path_exists(spark, out + "-none")
+
+
+def test_knn_index_leaves_most_pairs_out(spark):
+    """Clustered points: equal to brute force with a fraction of its distances."""
+    from threadlens.operators.knn import nearest
+    rnd = np.random.default_rng(11)
+    pts = np.concatenate([rnd.normal(size=(150, 3)) + c for c in rnd.uniform(-100, 100, (20, 3))])
+    pts = np.concatenate([pts, np.repeat(pts[:1], 40, axis=0), [[500.0, 0.0, 0.0]]])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id int, v array<double>")
+    got = {r.id: r for r in nearest(df, "id", "v", k=4, block=64, pivots=40).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :4]
+    assert all(np.allclose(got[i].distances, want[i]) for i in range(len(pts)))
+    assert sum(r.compared for r in got.values()) < len(pts) ** 2 / 4
+
+
+def test_knn_of_unusable_vectors(spark):
+    from threadlens.operators.knn import knn_distance
+    inf = float("inf")
+    rows = [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (2, [3.0, 4.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]),
+            (6, [inf, 1.0]), (7, []), (8, [1.0]), (None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = sorted(((r[0], r[1]) for r in knn_distance(df, "id", "v", k=2).collect()), key=str)
+    assert got == sorted([(1, 5.0), (2, round(18 ** 0.5, 6)), (2, round(18 ** 0.5, 6)), (None, round(18 ** 0.5, 6))]
+                         + [(i, None) for i in (3, 4, 5, 6, 7, 8)], key=str)
+    assert [r[1] for r in knn_distance(df.where("id = 3"), "id", "v").collect()] == [None]
+    assert knn_distance(df.where("id = 99"), "id", "v").collect() == []

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.functions.numeric import r6
+from threadlens.operators.knn import knn_distance
 
 
 # ------------------------------------------------------------------ K2
@@ -338,48 +339,3 @@ def meta_clusters(features: DataFrame, id_col: str, cols: Sequence[str], k: int
     x = VectorAssembler(inputCols=list(cols), outputCol="f").transform(standardize(features, cols))
     m = BisectingKMeans(k=k, seed=seed, featuresCol="f", predictionCol="meta_cluster").fit(x)
     return m.transform(x).select(id_col, "meta_cluster")
-
-
-def knn_distance(df: DataFrame, id_col: str, arr: str, k: int = 5, block: int = 1024) -> DataFrame:
-    """Euclidean distance of every vector to its k-th nearest other
-    vector (exact; NULL where there are fewer than k others).
-
-    Vectors are hashed into blocks of ~``block``; each block pair (i <= j) is
-    one ``applyInPandas`` group that computes the block's distance matrix
-    with numpy and keeps, for every row, only its k smallest distances to the
-    other block. A final group-by per row keeps the k smallest of those
-    (≤ k × blocks candidates). No pair list is ever materialised; the work is
-    the exact all-pairs product, spread over blocks² bounded tasks."""
-    n = df.count()
-    nb = max(1, -(-n // block))
-    x = df.select(id_col, F.col(arr).cast("array<double>").alias("_a"),
-                  F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("_b"))
-    t = x.select(id_col, "_a", "_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_o"))
-    t = t.select(id_col, "_a", "_b", F.least("_b", "_o").alias("_bi"), F.greatest("_b", "_o").alias("_bj"))
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-        outs = []
-        sides = [(bi, bj)] if bi == bj else [(bi, bj), (bj, bi)]
-        for a, b in sides:
-            L, R = pdf[pdf["_b"] == a], pdf[pdf["_b"] == b]
-            if len(L) == 0 or len(R) == 0:
-                continue
-            la, ra = np.vstack(L["_a"].to_numpy()), np.vstack(R["_a"].to_numpy())
-            d2 = (la * la).sum(1)[:, None] + (ra * ra).sum(1)[None, :] - 2.0 * la @ ra.T
-            d = np.sqrt(np.maximum(d2, 0.0))
-            if a == b:
-                np.fill_diagonal(d, np.inf)
-            kk = min(k, d.shape[1])
-            part = np.partition(d, kk - 1, axis=1)[:, :kk]
-            ids = np.repeat(L[id_col].to_numpy(), kk)
-            outs.append(pd.DataFrame({id_col: ids, "d": part.reshape(-1)}))
-        if not outs:
-            return pd.DataFrame({id_col: pd.Series([], dtype=object), "d": pd.Series([], dtype=float)})
-        return pd.concat(outs)
-
-    cand = t.groupBy("_bi", "_bj").applyInPandas(tile, f"{id_col} {id_type}, d double").filter(
-        F.col("d") < float("inf"))
-    best = cand.groupBy(id_col).agg(F.sort_array(F.collect_list("d")).alias("_ds"))
-    return best.select(id_col, r6(F.get("_ds", k - 1)).alias(f"knn{k}_distance"))

@@ -313,3 +313,24 @@ SELECT vec_id, {sql_r6('d')} AS knn5_distance FROM r WHERE rn = 5""")
 def k10_knn_distance(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     return M.knn_distance(e, "vec_id", "embedding", k=5, block=256)
+
+
+@register("k10_author_outliers", sql(ORD_CTES, body=f"""
+, f AS (SELECT author, [CAST(count(*) AS DOUBLE), ln(1 + avg(score)), ln(1 + max(score))] AS v FROM posts GROUP BY author),
+d AS (SELECT a.author, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: pow(p[1] - p[2], 2)))) AS d
+      FROM f a JOIN f b ON a.author <> b.author),
+r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY d) AS rn FROM d),
+k AS (SELECT author, d FROM r WHERE rn = 5)
+SELECT author, {sql_r6('d')} AS knn5_distance,
+       CAST(d > (SELECT quantile_cont(d, 0.95) FROM k) AS INTEGER) AS is_anomaly FROM k"""))
+def k10_author_outliers(spark, sf_dir):
+    """k-NN outliers among authors by few features, where the metric index leaves most pairs out."""
+    from threadlens.operators.knn import nearest
+    from threadlens.operators.quantiles import exact_quantiles
+    from threadlens.session import written
+    p = forum_from_orders(spark, sf_dir).posts
+    f = p.groupBy("author").agg(F.array(
+        F.count(F.lit(1)).cast("double"), F.log(1 + F.avg("score")), F.log(1 + F.max("score"))).alias("v"))
+    d = written(nearest(f, "author", "v", k=5, block=64, pivots=64).select("author", F.get("distances", 4).alias("d")), "author-knn")
+    cut = exact_quantiles(d, [], "d", [0.95], ["cut"]).select("cut").first()["cut"]
+    return d.select("author", r6("d").alias("knn5_distance"), (F.col("d") > F.lit(cut)).cast("int").alias("is_anomaly"))

@@ -12,16 +12,28 @@ from threadlens.sources.roles import forum_from_events, read_table, thread_key
 from threadlens.streaming import jobs as S
 
 SCHEMA = "event_id long, ts string, user_id long, event_type string, value double, k long"
-FILES = 6
+ARRIVALS = 3                # times at which ordered events land, a restart of the stream each
+ROWS_PER_FILE = 250_000
+COUNTS = "window_start timestamp, event_type string, n long"
+FIRST_SEEN = "user_id long, first_seen timestamp"
 
 
-def _land(spark, sf_dir, with_dups=False, ordered=False):
-    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value",
-                                                   thread_key().alias("k"))
+def _events(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value",
+                                                      thread_key().alias("k"))
+
+
+def _files(rows: int) -> int:
+    return max(6, -(-rows // ROWS_PER_FILE))
+
+
+def _land(spark, sf_dir, with_dups=False):
+    """The events as JSON files in no order."""
+    e = _events(spark, sf_dir)
     if with_dups:  # the same records collected twice (identical rows)
         e = e.unionByName(e.filter(F.col("event_type") == "click"))
     path = scratch_path(spark, "landing")
-    S.land_json(e, path, FILES, "ts" if ordered else None)
+    S.land_json(e, path, _files(e.count()))
     return path
 
 
@@ -29,6 +41,19 @@ def _stream(spark, landing, max_files=2):
     return S.read_landing(spark, landing, SCHEMA, "ts", max_files=max_files)
 
 
+def _in_arrivals(spark, sf_dir, run):
+    """Lands the events in spans of time, one after the other, and calls ``run(stream)`` after each:
+    the query is started anew and goes on from its checkpoint."""
+    e = _events(spark, sf_dir)
+    first, last, rows = e.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    land = scratch_path(spark, "landing")
+    for i in range(ARRIVALS):
+        lo, hi = (first + (last - first) * j / ARRIVALS for j in (i, i + 1))
+        part = e.filter((F.col("ts") >= F.lit(lo)) & ((F.col("ts") < F.lit(hi)) if i < ARRIVALS - 1 else F.lit(True)))
+        S.land_json(part, f"{land}/{i}", _files(rows // ARRIVALS))
+        run(_stream(spark, f"{land}/*", None))
+
+
 def _ntz(df, cols):
     return S.to_ntz(df, cols)
 
@@ -46,20 +71,19 @@ def l1_stream_insert_if_absent(spark, sf_dir):
 @register("l2_stream_tumbling_counts", """
 SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def l2_stream_tumbling_counts(spark, sf_dir):
-    out = scratch_path(spark, "l2-out")
-    S.stream_window_counts(_stream(spark, _land(spark, sf_dir)), "ts", "event_type", "5 minutes", None, out,
-                           scratch_path(spark, "l2-ckpt"))
-    return _ntz(spark.read.parquet(out), ["window_start"])
+    out, ckpt = scratch_path(spark, "l2-out"), scratch_path(spark, "l2-ckpt")
+    _in_arrivals(spark, sf_dir, lambda s: S.stream_window_counts(s, "ts", "event_type", "5 minutes", None, out, ckpt))
+    return _ntz(S.read_latest(spark, out, ["window_start", "event_type"], COUNTS), ["window_start"])
 
 
 @register("l3_stream_sliding_counts", """
 SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (k * 15) MINUTE AS window_start, event_type, count(*) AS n
 FROM events, range(0, 4) t(k) GROUP BY 1, 2""")
 def l3_stream_sliding_counts(spark, sf_dir):
-    out = scratch_path(spark, "l3-out")
-    S.stream_window_counts(_stream(spark, _land(spark, sf_dir)), "ts", "event_type", "1 hour", "15 minutes",
-                           out, scratch_path(spark, "l3-ckpt"))
-    return _ntz(spark.read.parquet(out), ["window_start"])
+    out, ckpt = scratch_path(spark, "l3-out"), scratch_path(spark, "l3-ckpt")
+    _in_arrivals(spark, sf_dir,
+                 lambda s: S.stream_window_counts(s, "ts", "event_type", "1 hour", "15 minutes", out, ckpt))
+    return _ntz(S.read_latest(spark, out, ["window_start", "event_type"], COUNTS), ["window_start"])
 
 
 @register("l4_stream_sessions", """
@@ -68,11 +92,11 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY user_id, sid""")
 def l4_stream_sessions(spark, sf_dir):
-    out = scratch_path(spark, "l4-out")
-    # one micro-batch: sessions of out-of-order files are merged inside it
-    S.stream_sessions(_stream(spark, _land(spark, sf_dir), None), "ts", "user_id", "30 minutes", out,
-                      scratch_path(spark, "l4-ckpt"))
-    return _ntz(spark.read.parquet(out), ["session_start", "session_end"])
+    """Closed sessions from the sink, those still open from the state."""
+    out, ckpt = scratch_path(spark, "l4-out"), scratch_path(spark, "l4-ckpt")
+    _in_arrivals(spark, sf_dir, lambda s: S.stream_sessions(s, "ts", "user_id", "30 minutes", out, ckpt))
+    closed = spark.read.parquet(out).drop("batch_id")
+    return _ntz(closed.unionByName(S.open_sessions(spark, ckpt, "user_id")), ["session_start", "session_end"])
 
 
 @register("l5_stream_static_join", sql(EV_CTES, body="""
@@ -85,12 +109,18 @@ def l5_stream_static_join(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", F.col("k").alias("post_id"), "subreddit")
 
 
-@register("l6_stream_alerts")
+@register("l6_stream_alerts", """
+WITH c AS (SELECT event_type AS key, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2),
+closed AS (SELECT * FROM c WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+h AS (SELECT *, count(*) OVER w AS known, coalesce(avg(n) OVER w, 0) AS mean, coalesce(stddev_samp(n) OVER w, 0) AS std
+      FROM closed WINDOW w AS (PARTITION BY key ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT key, window_start, n, round(mean, 4) AS mean, round(std, 4) AS std,
+       CAST(known >= 6 AND n > mean + 2 * std + 1e-9 AS INTEGER) AS alert FROM h""")
 def l6_stream_alerts(spark, sf_dir):
-    out = scratch_path(spark, "l6-out")
-    S.stream_alerts(_stream(spark, _land(spark, sf_dir, ordered=True)), "ts", "event_type", "1 hour", out,
-                    scratch_path(spark, "l6-ckpt"))
-    return _ntz(spark.read.parquet(out).drop("batch_id"), ["window_start"])
+    out, ckpt = scratch_path(spark, "l6-out"), scratch_path(spark, "l6-ckpt")
+    _in_arrivals(spark, sf_dir, lambda s: S.stream_alerts(s, "ts", "event_type", "1 hour", out, ckpt))
+    told = _ntz(spark.read.parquet(out).drop("batch_id"), ["window_start"])
+    return told.withColumn("mean", F.round("mean", 4)).withColumn("std", F.round("std", 4))
 
 
 @register("l7_new_users_per_day", """
@@ -99,7 +129,7 @@ FROM (SELECT user_id, min(ts) AS first_seen FROM events GROUP BY user_id) GROUP
 def l7_new_users_per_day(spark, sf_dir):
     out = scratch_path(spark, "l7-out")
     S.stream_first_seen(_stream(spark, _land(spark, sf_dir)), "ts", "user_id", out, scratch_path(spark, "l7-ckpt"))
-    return _ntz(S.new_users_per_window(spark.read.parquet(out)), ["window_start"])
+    return _ntz(S.new_users_per_window(S.read_latest(spark, out, ["user_id"], FIRST_SEEN)), ["window_start"])
 
 
 @register("l7_stream_first_seen", """
@@ -107,7 +137,7 @@ SELECT user_id, min(ts) AS first_seen FROM events GROUP BY user_id""")
 def l7_stream_first_seen(spark, sf_dir):
     out = scratch_path(spark, "l7-out")
     S.stream_first_seen(_stream(spark, _land(spark, sf_dir)), "ts", "user_id", out, scratch_path(spark, "l7-ckpt"))
-    return _ntz(spark.read.parquet(out), ["first_seen"])
+    return _ntz(S.read_latest(spark, out, ["user_id"], FIRST_SEEN), ["first_seen"])
 
 
 @register("l8_stream_daily_refresh", """

@@ -9,10 +9,14 @@ Event time must be TIMESTAMP for watermarks, so ``ts`` is cast on read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from threadlens.session import ship_package
 from threadlens.sources.ingest import insert_if_absent
 
 
@@ -45,12 +49,6 @@ def run_available(stream_writer, checkpoint: str):
     return q
 
 
-def _overwrite_sink(out: str):
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-    return sink
-
-
 def _batch_sink(out: str):
     """One folder for each micro-batch, named by its id: a batch that is replayed
     after a failure replaces its own rows instead of adding them again."""
@@ -89,25 +87,55 @@ def stream_insert_if_absent(stream: DataFrame, target_path: str, key: list[str],
     return run_available(stream.writeStream.foreachBatch(sink), checkpoint)
 
 
+# ------------------------------------------------------------- upsert tables
+def read_latest(spark: SparkSession, out: str, keys: list[str], schema: str) -> DataFrame:
+    """The table that ``_batch_sink`` made of an update-mode stream: of each key, the row of the
+    latest micro-batch. A replayed batch has replaced its own folder, so upserts are idempotent;
+    a stream that has written nothing yet is an empty table of ``schema``."""
+    if not path_exists(spark, out):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch_id long").parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v"))
+    return newest.select(*keys, *[F.col("_v")[c].alias(c) for c in rest])
+
+
+def compact_latest(spark: SparkSession, out: str, keys: list[str], schema: str, into: str) -> None:
+    """The latest rows of ``out`` as one batch of a new table folder ``into``, which later
+    batches of the same stream go on from."""
+    last = spark.read.schema(f"{schema}, batch_id long").parquet(out).agg(F.max("batch_id")).first()[0]
+    read_latest(spark, out, keys, schema).write.mode("overwrite").parquet(f"{into}/batch_id={last}")
+
+
 # ------------------------------------------------------------- L2 / L3 / L4
 def stream_window_counts(stream: DataFrame, ts: str, by: str, size: str, slide: str | None,
                          out: str, checkpoint: str, watermark: str = "10 minutes"):
-    """L2 (tumbling) / L3 (sliding): counts per (window, key) in complete mode,
-    each batch rewriting the result folder."""
+    """L2 (tumbling) / L3 (sliding): counts per (window, key) in update mode. A micro-batch
+    writes the windows it changed (read them with ``read_latest``), and the watermark takes
+    windows that can't change any more out of the state; rows later than that are dropped."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     agg = (stream.withWatermark(ts, watermark).groupBy(w.alias("w"), by)
            .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n"))
-    return run_available(agg.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(out)), checkpoint)
+    return run_available(agg.writeStream.outputMode("update").foreachBatch(_batch_sink(out)), checkpoint)
 
 
 def stream_sessions(stream: DataFrame, ts: str, by: str, gap: str, out: str, checkpoint: str,
                     watermark: str = "1 hour"):
-    """L4: activity sessions per key (``session_window``); complete mode so
-    sessions still open at the end of the input are emitted too."""
+    """L4: activity sessions per key (``session_window``), merged over micro-batches in the
+    state. Append mode: a session is written once, when the watermark has passed its gap, and
+    leaves the state; ``open_sessions`` tells those that may still grow."""
     agg = (stream.withWatermark(ts, watermark).groupBy(by, F.session_window(ts, gap).alias("s"))
            .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("session_start"), F.max(ts).alias("session_end"))
            .select(by, "session_start", "session_end", "n"))
-    return run_available(agg.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(out)), checkpoint)
+    return run_available(agg.writeStream.outputMode("append").foreachBatch(_batch_sink(out)), checkpoint)
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, by: str) -> DataFrame:
+    """(by, session_start, session_end, n) of the sessions still in the state that
+    ``stream_sessions`` left in its checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint)     # the aggregates are kept by their names
+    return state.select(*[F.col(f"value.`{c}`").alias(name) for c, name in (
+        (by, by), ("min", "session_start"), ("max", "session_end"), ("count", "n"))])
 
 
 def stream_static_join(stream: DataFrame, static: DataFrame, key: str, out: str, checkpoint: str):
@@ -116,14 +144,13 @@ def stream_static_join(stream: DataFrame, static: DataFrame, key: str, out: str,
     return run_available(j.writeStream.foreachBatch(_batch_sink(out)), checkpoint)
 
 
-def stream_first_seen(stream: DataFrame, ts: str, user: str, out: str, checkpoint: str,
-                      watermark: str = "1 day"):
-    """A user counts as new in the window of their first event. The
-    first event per user is kept in state by ``groupBy(user).min(ts)``; the
-    result is rewritten per batch in complete mode."""
-    first = stream.withWatermark(ts, watermark).groupBy(user).agg(F.min(ts).alias("first_seen"))
-    return run_available(first.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(out)),
-                         checkpoint)
+def stream_first_seen(stream: DataFrame, ts: str, user: str, out: str, checkpoint: str):
+    """A user counts as new in the window of their first event. The first event per user is
+    kept in state by ``groupBy(user).min(ts)`` (one row a user ever seen, which the definition
+    needs); in update mode a micro-batch writes only users that are new or came earlier than
+    known, to be read with ``read_latest``."""
+    first = stream.groupBy(user).agg(F.min(ts).alias("first_seen"))
+    return run_available(first.writeStream.outputMode("update").foreachBatch(_batch_sink(out)), checkpoint)
 
 
 def new_users_per_window(first_seen: DataFrame, size: str = "1 day") -> DataFrame:
@@ -155,62 +182,71 @@ def stream_daily_refresh(stream: DataFrame, ts: str, table: str, checkpoint: str
 
 # ---------------------------------------------------------------- L6 alerts
 ALERT_SCHEMA = "key string, window_start timestamp, n long, mean double, std double, alert int"
-STATE_SCHEMA = "key string, cnt long, mean double, m2 double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Baseline(StatefulProcessor):
+    """Per key the count, mean and M2 (Welford) of its closed windows' counts, as keyed state.
 
+    A key without a window for ``idle_ms`` starts anew; a timer then removes its state.
+    """
 
-def _alerts_for_key(k: float, min_history: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        st = pdf[pdf["kind"] == "state"]
-        cnt, mean, m2 = (int(st["cnt"].iloc[0]), float(st["mean"].iloc[0]), float(st["m2"].iloc[0])) \
-            if len(st) else (0, 0.0, 0.0)
-        rows = []
-        win = pdf[pdf["kind"] == "window"].sort_values("window_start")
-        for ws, n in zip(win["window_start"], win["n"]):
+    def __init__(self, k: float, min_history: int, size_ms: int, idle_ms: int):
+        self.k, self.min_history, self.size_ms, self.idle_ms = k, min_history, size_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("baseline", "cnt long, mean double, m2 double, last_end long, expires long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        cnt, mean, m2, last, expires = self.known.get() if self.known.exists() else (0, 0.0, 0.0, None, None)
+        windows = pd.concat(list(rows)).sort_values("window_start")   # the key's windows closed by this batch
+        told = []
+        for start, n in zip(windows["window_start"], windows["n"].tolist()):
+            at = start.value // 1_000_000
+            if last is not None and at - last >= self.idle_ms:
+                cnt, mean, m2 = 0, 0.0, 0.0
             std = (m2 / (cnt - 1)) ** 0.5 if cnt > 1 else 0.0
-            rows.append(("window", ws, int(n), mean, std, int(cnt >= min_history and n > mean + k * std),
-                         0, 0.0, 0.0))
-            cnt += 1                      # Welford update
-            d = n - mean
-            mean += d / cnt
-            m2 += d * (n - mean)
-        rows.append(("state", None, 0, 0.0, 0.0, 0, cnt, mean, m2))
-        out = pd.DataFrame(rows, columns=["kind", "window_start", "n", "wmean", "wstd", "alert",
-                                          "cnt", "mean", "m2"])
-        out.insert(0, "key", pdf["key"].iloc[0])
-        return out
-    return fn
+            told.append((key[0], start, n, mean, std, int(cnt >= self.min_history and n > mean + self.k * std + 1e-9)))
+            cnt += 1
+            apart = n - mean
+            mean += apart / cnt
+            m2 += apart * (n - mean)
+            last = at + self.size_ms
+        if expires is not None:
+            self.handle.deleteTimer(expires)
+        # A window that starts before the idle time is over is closed one window later at the latest.
+        expires = last + self.idle_ms + self.size_ms
+        self.handle.registerTimer(expires)
+        self.known.update((cnt, mean, m2, last, expires))
+        yield pd.DataFrame(told, columns=["key", "window_start", "n", "mean", "std", "alert"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_alerts(stream: DataFrame, ts: str, by: str, size: str, out: str, checkpoint: str,
-                  k: float = 2.0, min_history: int = 6, watermark: str = "10 minutes"):
-    """Per key running baseline (count, mean, M2 — Welford) of closed
-    window counts; a window alerts when its count exceeds mean + k·std of the
-    key's earlier windows. Closed windows come from an append-mode windowed
-    count; the baseline is one row per key in a state table next to the
-    output, read and replaced in every micro-batch (grouped per key with
-    ``applyInPandas``, a few rows per key)."""
+                  k: float = 2.0, min_history: int = 6, watermark: str = "10 minutes", idle: str = "30 days"):
+    """A window alerts when its count exceeds mean + k·std of the key's earlier windows
+    (at least ``min_history``, none further apart than ``idle``). Windows are counted natively and
+    closed by the watermark; only one row per (key, window) reaches the keyed state, which
+    ``transformWithStateInPandas`` updates in place and a timer removes."""
     spark = stream.sparkSession
+    ms = lambda text: pd.Timedelta(text).value // 1_000_000
     counts = (stream.withWatermark(ts, watermark).groupBy(F.window(ts, size).alias("w"), by)
               .agg(F.count(F.lit(1)).alias("n"))
               .select(F.col(by).cast("string").alias("key"), F.col("w.start").alias("window_start"), "n"))
-    state_path = out + "_state"
-    cols = "key string, kind string, window_start timestamp, n long, wmean double, wstd double, alert int, " \
-           "cnt long, mean double, m2 double"
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        # every batch leaves a state, so only the first one may find none
-        st = spark.read.parquet(f"{state_path}/epoch={epoch - 1}") if epoch else spark.createDataFrame([], STATE_SCHEMA)
-        x = (batch.select("key", F.lit("window").alias("kind"), "window_start", "n", F.lit(0).cast("long")
-                          .alias("cnt"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-             .unionByName(st.select("key", F.lit("state").alias("kind"),
-                                    F.lit(None).cast("timestamp").alias("window_start"),
-                                    F.lit(0).cast("long").alias("n"), "cnt", "mean", "m2")))
-        res = x.groupBy("key").applyInPandas(_alerts_for_key(k, min_history), cols).persist()
-        (res.filter(F.col("kind") == "window")
-         .select("key", "window_start", "n", F.col("wmean").alias("mean"), F.col("wstd").alias("std"), "alert")
-         .write.mode("overwrite").parquet(f"{out}/batch_id={epoch}"))
-        res.filter(F.col("kind") == "state").select("key", "cnt", "mean", "m2").write.mode("overwrite").parquet(
-            f"{state_path}/epoch={epoch}")
-        res.unpersist()
-
-    return run_available(counts.writeStream.outputMode("append").foreachBatch(sink), checkpoint)
+    told = counts.groupBy("key").transformWithStateInPandas(
+        Baseline(k, min_history, ms(size), ms(idle)), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="EventTime")
+    ship_package(spark)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)     # keyed state and timers need it; a query keeps its own for ever
+    try:
+        return run_available(told.writeStream.outputMode("append").foreachBatch(_batch_sink(out)), checkpoint)
+    finally:
+        spark.conf.set(provider, before)
