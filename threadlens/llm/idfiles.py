@@ -95,7 +95,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block
                 names=["shard", "block", "start", "n_ids", "doc_ids", "doc_lengths", "data"])
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4 + 1)
                 held += [ids, end]

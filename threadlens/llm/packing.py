@@ -109,7 +109,7 @@ def pack_ids(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int
         part, sequences = TaskContext.get().partitionId(), 0
         for b in batches:
             full = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 ids += end
                 full += windows.place((doc_id, 0, len(ids) // 4, ids))
             if full:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The byte-level pattern never joins a space to a non-space character before it, so a
 # text may be cut before such a space and its parts encoded on their own. The class
@@ -13,6 +16,9 @@ import numpy as np
 _SURE = re.compile(r"[!-~\w]")
 _CUT = re.compile(r"(?<=[!-~\w])(?= )")
 
+# Marks that may follow a word of letters.
+_MARKS = ".,;:!?"
+
 # Words of each of two generations of the cache; one word takes about 200 bytes.
 CACHE_WORDS = 400_000
 CACHE_CHARS = 8_000_000
@@ -34,7 +40,8 @@ class Encoder:
         self.words: dict[str, bytes] = {}                        # ids of " " + word
         self.older: dict[str, bytes] = {}
         self.chars = 0
-        self.sure: set[str] = set()
+        self.marks: dict[str, bytes] = {}                        # ids of runs of marks
+        self.sure: dict[str, bool] = {"": False}
 
     @property
     def id_bits(self) -> int:
@@ -45,13 +52,32 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """Encode words joined by spaces: each begins at a token that begins with a space,
-        as a word has no other one."""
+        """Put words into the cache. The pattern parts letters from the marks that follow them,
+        so a word of letters is encoded once, whatever marks it is met with."""
         new = words - self.words.keys()
         kept = new & self.older.keys()
         self.words.update(zip(kept, map(self.older.__getitem__, kept)))
-        runs, size = [[]], 0
+        bare, marked = set(), []
         for w in new - kept:
+            head = w.rstrip(_MARKS)
+            if len(head) == len(w) or not head.isalpha():
+                bare.add(w)
+            else:
+                marked.append((w, head))
+                if head not in self.words:
+                    bare.add(head)
+        self._encode_words(bare)
+        for w, head in marked:
+            tail = w[len(head):]
+            if tail not in self.marks:
+                self.marks[tail] = self._plain(tail)
+            self.words[w] = self.words[head] + self.marks[tail]
+
+    def _encode_words(self, words: set[str]) -> None:
+        """Encode words joined by spaces: each begins at a token that begins with a space,
+        as a word has no other one."""
+        runs, size = [[]], 0
+        for w in words:
             if size >= _JOIN_CHARS:
                 runs.append([])
                 size = 0
@@ -69,36 +95,59 @@ class Encoder:
             self.words.update(zip(run, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
             self.chars += sum(map(len, run))
 
-    def _is_sure(self, ends: set[str]) -> bool:
-        for c in ends - self.sure:
-            if not _SURE.match(c):
-                return False
-            self.sure.add(c)
-        return True
-
-    def encode(self, texts) -> list[bytes]:
-        """Ids of each text; a null text is empty."""
+    def _is_sure(self, end: str) -> bool:
+        if end not in self.sure:
+            self.sure[end] = bool(_SURE.match(end))
+        return self.sure[end]
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text with spaces after white space and the like: only the sure ones are cut,
+        and what can't be parted at every space is encoded as it stands."""
+        cut, rest = _CUT.split(text), []
+        while cut and (not cut[-1].startswith(" ") or " " not in cut[-1][1:]) and len(cut) > 1:
+            rest.append(cut.pop()[1:])
+        self._learn(set(rest))
+        return self._plain("".join(cut)) + b"".join(self.words[w] for w in reversed(rest))
+
+    def encode(self, texts: pa.Array | list) -> list[bytes]:
+        """Ids of each text; a null text is empty. Words are told apart and their ids put in
+        line by Arrow, so Python only sees the distinct words of all texts given."""
         if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.older, self.words, self.chars = self.words, {}, 0   # words in use move on
-        parted, wanted = [], set()
-        for t in texts:
-            parts = (t or "").split(" ")
-            if self._is_sure({p[-1:] for p in parts[:-1]}):
-                first, *rest = parts
-            else:
-                # Spaces after white space and the like: only the sure ones are cut, and
-                # what can't be parted at every space is encoded as it stands.
-                first, rest = "", []
-                cut = _CUT.split(t)
-                while cut and (not cut[-1].startswith(" ") or " " not in cut[-1][1:]) and len(cut) > 1:
-                    rest.append(cut.pop()[1:])
-                rest.reverse()
-                first = "".join(cut)
-            parted.append((first, rest))
-            wanted.update(rest)
-        self._learn(wanted)
-        ids = self.words.__getitem__
-        return [(self._plain(first) if first else b"") + b"".join(map(ids, rest)) for first, rest in parted]
+            self.marks.clear()
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        n = len(column)
+        if n == 0:
+            return []
+        parts = pc.split_pattern(column, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.values.dictionary_encode()
+        place, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts = bounds[:-1]                                         # the words without a space before them
+        ends = pc.utf8_slice_codeunits(coded.dictionary, -1).dictionary_encode()
+        unsure = ~np.array([self._is_sure(e) for e in ends.dictionary.to_pylist()], bool)[ends.indices.to_numpy()][place]
+        unsure[bounds[1:] - 1] = False                               # nothing is cut after a text's last word
+        odd = np.logical_or.reduceat(unsure, firsts)
+        rest = np.repeat(~odd, np.diff(bounds))
+        rest[firsts] = False
+        wanted = np.zeros(len(words), bool)
+        wanted[place[rest]] = True
+        self._learn(set(compress(words, wanted.tolist())))
+        ids = map(self.words.get, words)                             # null where none is wanted
+        begin = np.flatnonzero(~odd)
+        begun = [words[i] for i in place[firsts[begin]].tolist()]
+        done = self.tokenizer.encode_batch_fast(begun, add_special_tokens=False)
+        whole: list[bytes] = [b""] * n
+        for i, e in zip(begin.tolist(), done):
+            whole[i] = np.array(e.ids, "<u4").tobytes()
+        for i in np.flatnonzero(odd).tolist():
+            whole[i] = self._cut(column[i].as_py())
+        place[~rest] = len(words) + n                                # nothing
+        place[firsts] = len(words) + np.arange(n)
+        line = pa.array([*ids, *whole, b""], pa.large_binary()).take(pa.array(place))
+        at = np.frombuffer(line.buffers()[1], np.int64)[line.offset:line.offset + len(line) + 1][bounds].tolist()
+        data = memoryview(line.buffers()[2] or b"")
+        return [bytes(data[lo:hi]) for lo, hi in zip(at, at[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
