@@ -27,17 +27,17 @@ from .common import materialise, prepare_workers
 from .neardup import components
 
 COSINE = 0.9
-TABLES, BLOCKS = 14, 2
-WIDTH = 2.0            # of a lattice step, in standard deviations of a projected unit vector
+TABLES, BLOCKS = 18, 2
+WIDTH = 1.8            # of a lattice step, in standard deviations of a projected unit vector
 PROBES = 8             # cells besides the home
 _NEAR = 8              # neighbours of a lattice point that probes are made of
-# A pair at 0.9 meets in a table with a chance of 0.38 (measured), so none of 14 tables joins
-# it with 0.1 %; at 0.95 the chances are 0.72 and 2e-8. Vectors at right angles meet with 1.5e-4.
+# A pair at 0.9 meets in a table with a chance of 0.31 (measured), so none of 18 tables joins
+# it with 0.13 %; at 0.95 the chances are 0.62 and 2e-8. Vectors at right angles meet with 3e-5.
 SIGN_BITS = 64
 MOST_UNEQUAL = 24      # a pair at 0.9 differs in 9.2 signs, with a standard deviation of 2.8
 STAND_INS = 4
 ROUNDS = 3
-BLOCK = 1024           # nodes of a cell or a component compared with so many others in one task
+BLOCK = 256            # nodes of a cell or a component compared with so many others in one task
 _SEED = 20240707
 
 
@@ -183,10 +183,10 @@ def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 def classes_of(signed: DataFrame) -> DataFrame:
     """(node, component) of the nodes that are linked with others."""
-    cells = signed.select("node", "sketch", F.explode("homes").alias("cell"), F.lit(True).alias("home")).unionAll(
-        signed.select("node", "sketch", F.explode("probes").alias("cell"), F.lit(False).alias("home")))
+    cells = signed.select("node", F.explode("homes").alias("cell"), F.lit(True).alias("home")).unionAll(
+        signed.select("node", F.explode("probes").alias("cell"), F.lit(False).alias("home")))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("home")).where("n > 1 and home").select("cell")
-    members = materialise(cells.join(shared, "cell", "left_semi"), "lattice-members")
+    members = materialise(cells.join(shared, "cell", "left_semi").join(signed.select("node", "sketch"), "node"), "lattice-members")
     units = signed.select("node", "unit")
     classes = materialise(members.select("node", F.col("node").alias("component")).limit(0), "lattice-classes")
 
