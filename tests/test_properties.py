@@ -562,3 +562,81 @@ def test_knn_of_unusable_vectors(spark):
                          + [(i, None) for i in (3, 4, 5, 6, 7, 8)], key=str)
     assert [r[1] for r in knn_distance(df.where("id = 3"), "id", "v").collect()] == [None]
     assert knn_distance(df.where("id = 99"), "id", "v").collect() == []
+
+
+def _undirected(pairs):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return near
+
+
+def _is_connected(nodes, near):
+    nodes, seen = set(nodes), set()
+    todo = [next(iter(nodes))]
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += (near.get(x, set()) & nodes) - seen
+    return seen == nodes
+
+
+def _modularity(edges, community):
+    m2, k, inner = 0.0, {}, 0.0
+    for a, b, w in edges:
+        m2 += 2 * w
+        k[a], k[b] = k.get(a, 0) + w, k.get(b, 0) + w
+        inner += 2 * w * (community[a] == community[b])
+    tot = {}
+    for x, s in k.items():
+        tot[community[x]] = tot.get(community[x], 0) + s
+    return inner / m2 - sum((t / m2) ** 2 for t in tot.values())
+
+
+def test_refined_communities_are_connected_and_no_worse(spark):
+    from threadlens.operators.louvain import louvain
+    rnd = random.Random(21)
+    edges, name = {}, lambda g, i: f"{g}-{i:02d}"
+    for g in range(3):                      # clusters chained by single edges, and a hub
+        for i in range(6):
+            for j in rnd.sample(range(i), min(i, 2)):
+                edges[name(g, j), name(g, i)] = rnd.choice([1, 2, 5])
+        edges[name(g, 0), name((g + 1) % 3, 5)] = 1
+        edges["hub", name(g, 3)] = 1
+    rows = [(a, b, float(w)) for (a, b), w in edges.items()]
+    df = spark.createDataFrame(rows, "user1 string, user2 string, weight double")
+    plain = {r.node: r.community for r in louvain(df).collect()}
+    fine = {r.node: r.community for r in louvain(df, refine=True).collect()}
+    near = _undirected(edges)
+    for c in set(fine.values()):
+        assert _is_connected([n for n in fine if fine[n] == c], near)
+    assert set(plain) == set(fine) == set(near)
+    assert _modularity(rows, fine) >= _modularity(rows, plain) - 1e-9
+    sizes = {c: sum(v == c for v in fine.values()) for c in fine.values()}
+    assert sorted(sizes) == list(range(len(sizes))) and [sizes[c] for c in sorted(sizes)] == sorted(sizes.values(), reverse=True)
+
+
+def test_disconnected_communities_are_cut(spark):
+    from threadlens.operators.louvain import G, _connected
+    adj = spark.createDataFrame([(0, a, b, 1.0) for x, y in (("a", "b"), ("c", "d"), ("b", "e")) for a, b in ((x, y), (y, x))],
+                                f"{G} int, i string, j string, a double")
+    comm = spark.createDataFrame([(0, n, "x") for n in "abcd"] + [(0, "e", "y")], f"{G} int, i string, c string")
+    parts = {}
+    for r in _connected(adj, comm).collect():
+        parts.setdefault(r.c, set()).add(r.i)
+    assert sorted(map(sorted, parts.values())) == [["a", "b"], ["c", "d"], ["e"]]
+
+
+def test_sub_communities_stay_in_their_cluster(spark):
+    from threadlens.operators.louvain import sub_communities
+    clique = lambda names: [(a, b, 1.0) for i, a in enumerate(names) for b in names[:i]]
+    rows = clique("abcd") + clique("efgh") + [("a", "e", 1.0)] + clique("mnop") + [("m", "x", 1.0), ("a", "m", 1.0)]
+    member = [(n, 0) for n in "abcdefgh"] + [(n, 1) for n in "mnop"] + [("x", 2)]
+    got = sub_communities(spark.createDataFrame(rows, "user1 string, user2 string, weight double"),
+                          spark.createDataFrame(member, "node string, community int"))
+    parts = {}
+    for r in got.collect():
+        parts.setdefault((r.cluster, r.community), set()).add(r.node)
+    assert {k: "".join(sorted(v)) for k, v in parts.items()} == {(0, 0): "abcd", (0, 1): "efgh", (1, 0): "mnop", (2, 0): "x"}

@@ -147,14 +147,16 @@ _LOUVAIN_MEMO: dict = {}
 
 
 def _louvain_parts(spark, sf_dir):
-    """Edges and Louvain membership; the membership (a checkpointed table) is
-    shared by the J7–J10 queries of one session instead of being recomputed."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Edges and Louvain membership (written tables), shared by the J7–J10 and J23 queries of one
+    session as long as the edges are the same: they are made anew and compared by their count and
+    the sum of their hashes."""
+    from threadlens.session import written
+    e = written(_clean_pairs(spark, sf_dir).withColumnRenamed("shared_interactions", "weight"), "pairs")
+    state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("user1", "user2", "weight").cast("decimal(38,0)"))).first())
+    key = (spark.sparkContext.applicationId, state)
     if key not in _LOUVAIN_MEMO:
-        from threadlens.session import written
-        e = written(_clean_pairs(spark, sf_dir).withColumnRenamed("shared_interactions", "weight"), "pairs")
-        _LOUVAIN_MEMO[key] = e, written(L.louvain(e, "user1", "user2", "weight"), "communities")
-    return _LOUVAIN_MEMO[key]
+        _LOUVAIN_MEMO[key] = written(L.louvain(e, "user1", "user2", "weight"), "communities")
+    return e, _LOUVAIN_MEMO[key]
 
 
 @register("j7_louvain_communities")
@@ -174,6 +176,15 @@ def j9_community_summary(spark, sf_dir):
     return m.groupBy("community").agg(F.count(F.lit(1)).alias("n_users"))
 
 
+@register("j23_sub_communities")
+def j23_sub_communities(spark, sf_dir):
+    """The refined communities inside each cluster of users with one dominant community."""
+    from threadlens.session import written
+    e = written(_clean_pairs(spark, sf_dir).withColumnRenamed("shared_interactions", "weight"), "pairs")
+    m = dominant_community(spark, sf_dir).select(F.col("username").alias("node"), F.col("cluster").alias("community"))
+    return L.sub_communities(e, written(m, "clusters"))
+
+
 @register("j10_louvain_modularity")
 def j10_louvain_modularity(spark, sf_dir):
     e, m = _louvain_parts(spark, sf_dir)
