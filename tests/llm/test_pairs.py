@@ -43,6 +43,17 @@ def family(rng, n, base, edit):
     return out
 
 
+def test_ids_with_several_texts_lose_none(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, b + " x"), (5, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in neardup.link(df).select("doc_id", "component_id", "kept").collect())
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 7, True), (7, 5, False)])
+    assert sorted(tuple(r) for r in neardup.one_of_each(df).collect()) == sorted([(1, a), (5, b), (7, c)])
+
+
 def test_links_match_brute_force(spark):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(4000)}"

@@ -37,6 +37,8 @@ MIN_ESTIMATE = 0.60
 FINE_HASHES, MIN_FINE = 2048, 0.697
 STAND_INS = 4              # members that stand for a band in a round
 ROUNDS = 3                 # of one try a node, before what is left is compared in full
+BLOCK = 256                # nodes of a band that others are compared with in one task
+KEY = "__threadlens_key"
 _STEP = 1024               # shingles of one document hashed at once
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -105,19 +107,28 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return _mix(rows.sum(1, dtype=np.uint64) + _PLACE[2 * SHINGLE:2 * SHINGLE + BANDS])
 
 
+def text_key() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature, bands) of each whole text; the last three are
+    """(doc_id, key, n_shingles, digest, signature, bands) of each whole text; the last three are
     null for an empty set. Equal sets have equal digests (128 bits)."""
     prepare_workers(docs.sparkSession)
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, digests, signatures, bands = [], [], [], []
-            for s in shingle_sets(b.column(1).to_pylist()):
+            for s in shingle_sets(b.column(2).to_pylist()):
                 sizes.append(len(s))
                 if len(s):
                     least = minima(s)
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digests.append(_digest(s))
                     signatures.append(signature(least).view(np.int64))
                     bands.append(band_keys(least).view(np.int64))
                 else:
@@ -126,35 +137,36 @@ def sign(docs: DataFrame) -> DataFrame:
                     bands.append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(signatures, longs), pa.array(bands, longs)],
-                names=["doc_id", "n_shingles", "digest", "signature", "bands"])
+                names=["doc_id", "key", "n_shingles", "digest", "signature", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        of_batch, "doc_id long, n_shingles long, digest binary, signature array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(
+        of_batch, "doc_id long, key long, n_shingles long, digest binary, signature array<long>, bands array<long>")
 
 
-def _of_sets(docs: DataFrame, name: str, longs) -> DataFrame:
-    """(doc_id, name): an array of 64-bit numbers made of each text's shingle set."""
-    prepare_workers(docs.sparkSession)
+def _of_sets(texts: DataFrame, name: str, longs) -> DataFrame:
+    """(node, name): an array of 64-bit numbers made of each text's shingle set, which its digest names."""
+    prepare_workers(texts.sparkSession)
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [longs(s).view(np.int64) for s in shingle_sets(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", name])
+            sets = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(s) for s in sets], pa.binary()),
+                 pa.array([longs(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        of_batch, f"doc_id long, `{name}` array<long>")
+    return texts.select("text").mapInArrow(of_batch, f"node binary, `{name}` array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, set): the shingle hashes."""
-    return _of_sets(docs, "set", lambda s: s)
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(node, set): the shingle hashes."""
+    return _of_sets(texts, "set", lambda s: s)
 
 
-def fine_signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fine): signatures of FINE_HASHES minima."""
-    return _of_sets(docs, "fine", lambda s: signature(minima(s, FINE_HASHES)))
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """(node, fine): signatures of FINE_HASHES minima."""
+    return _of_sets(texts, "fine", lambda s: signature(minima(s, FINE_HASHES)))
 
 
 def estimate(a: Column, b: Column, hashes: int = HASHES) -> Column:
@@ -198,16 +210,34 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts (one a node, or repeated rows) that the nodes of the pairs (a, b) stand for."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "key"), "node")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").join(
+        wanted.select("doc_id", "key"), ["doc_id", "key"], "left_semi")
+
+
+def _with_both(pairs: DataFrame, of_node: DataFrame, name: str) -> DataFrame:
+    """The pairs with the column ``name`` of a and of b. Bare pairs move first; rows that carry it are dealt by b,
+    and adaptive execution splits what one node would make large."""
+    return (pairs.join(of_node.select(F.col("node").alias("a"), F.col(name).alias("of_a")), "a")
+            .join(of_node.select(F.col("node").alias("b"), F.col(name).alias("of_b")), "b"))
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct pairs (a, b), a materialised table, whose full sets have 100 * intersection >= 75 * union. Sets are made
-    anew from the texts of the documents in question only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "sets")
-    # Rows with sets are dealt by b, which is many; the first join moves bare pairs.
-    joined = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-              .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b").distinct()
+    anew from the texts of the nodes in question only."""
+    sets = materialise(full_sets(_texts_of(pairs, nodes, docs)), "sets")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return _with_both(pairs, sets, "set").where(
+        both * 100 >= (F.size("of_a") + F.size("of_b") - both) * PERCENT).select("a", "b").distinct()
+
+
+def finer(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are similar by the longer signature as well."""
+    fine = materialise(fine_signatures(_texts_of(pairs, nodes, docs)).distinct(), "fine")
+    return _with_both(pairs, fine, "fine").where(
+        estimate(F.col("of_a"), F.col("of_b"), FINE_HASHES) >= MIN_FINE).select("a", "b")
 
 
 def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -218,36 +248,32 @@ def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(mixed, "band", "left_semi").select("band", "node", "component")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, name: str) -> tuple[DataFrame, bool]:
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, name: str,
+            fine: bool = False) -> tuple[DataFrame, bool]:
     """The classes with the confirmed ones of the pairs (a, b), and whether there were any."""
     pairs = materialise(pairs.distinct(), f"pairs-{name}")
     if pairs.isEmpty():
         return classes, False
-    found = materialise(confirm(pairs, texts), f"links-{name}")
+    if fine:
+        pairs = materialise(finer(pairs, nodes, docs), f"fine-pairs-{name}")
+    found = materialise(confirm(pairs, nodes, docs), f"links-{name}")
     if found.isEmpty():
         return classes, False
     known = classes.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
     return materialise(components(found.unionAll(known)), f"classes-{name}"), True
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    component_id is the smallest doc_id reachable over links, kept whether that is the
-    document's own. Texts that are null or without words have no shingles and are linked
-    with nothing. Rows with a null doc_id get a null component, are linked with nothing and
-    kept. Repeated rows share their set and so their component. An empty table gives no
-    rows; further columns are ignored.
-    """
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n_shingles, digest, component) per row; component is null for rows without an id
+    or words, else the smallest node (set digest) connected with the row's."""
     signed = materialise(sign(docs), "signatures")
-    some = signed.where("doc_id is not null and digest is not null")
-    # A node is a set, named by its smallest document.
-    nodes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"),
-                                                   F.first("bands").alias("bands")), "nodes")
+    # A node is a set, named by its digest; its smallest document gives its text.
+    nodes = materialise(signed.where("doc_id is not null and digest is not null").groupBy(F.col("digest").alias("node")).agg(
+        F.min(F.struct("doc_id", "key")).alias("text"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        .select("node", "text.doc_id", "text.key", "signature", "bands"), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = materialise(banded.join(shared, "band"), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = materialise(members.select("node", F.col("node").alias("component")).limit(0), "classes")
 
     # Rounds of one try a node, so pairs stay as many as nodes: in each band a few members,
@@ -263,41 +289,61 @@ def link(docs: DataFrame) -> DataFrame:
         best = (apart.join(some, "band").select("node", F.array_max(tries).alias("t")).where(F.col("t.e") >= MIN_ESTIMATE)
                 .groupBy("node").agg(F.max("t").alias("t")))
         classes, more = _linked(best.select(F.least("node", "t.other").alias("a"), F.greatest("node", "t.other").alias("b")),
-                                texts, classes, f"round-{turn}")
+                                nodes, docs, classes, f"round-{turn}")
         if not more:
             break
 
     # Then all that still shares a band and is similar by both signatures, but lies in two
-    # components; each pair once, in the first band that both have.
+    # components. At most one of a pair is in the band's largest component, so the others are
+    # compared with all, in blocks, by the short signature; the longer one is made for pairs found.
     apart = materialise(_apart(members, classes), "apart")
-    asked = apart.select(F.col("node").alias("doc_id")).distinct()
-    fine = fine_signatures(texts.join(asked, "doc_id", "left_semi")).distinct()
-    rows = materialise(nodes.select("node", "signature", "bands").join(fine.withColumnRenamed("doc_id", "node"), "node"), "fine")
-    rows = apart.join(rows, "node")
-    names = ("node", "component", "signature", "bands", "fine")
-    a = rows.select("band", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = rows.select("band", *[F.col(c).alias(f"{c}_b") for c in names])
-    first = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
-    similar = (estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE) & (first == a["band"]) & (
-        estimate(F.col("fine_a"), F.col("fine_b"), FINE_HASHES) >= MIN_FINE)
-    left = a.join(b, (a["band"] == b["band"]) & (F.col("component_a") < F.col("component_b")) & similar)
+    largest = (apart.groupBy("band", "component").agg(F.count("*").alias("n"))
+               .groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"))
+               .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    dealt = apart.join(largest, "band").join(nodes.select("node", "signature"), "node")
+    names = ("node", "component", "signature")
+    every = dealt.select("band", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
+                         *[F.col(c).alias(f"{c}_a") for c in names], (F.col("component") == F.col("largest")).alias("main"))
+    others = dealt.where("component <> largest").select(
+        "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in names])
+    meet = F.expr("component_a <> component_b and (main or node_a < node_b)") & (
+        estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE)
+    left = every.join(others, ["band", "block"]).where(meet)
     classes, _ = _linked(left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")),
-                         texts, classes, "rest")
+                         nodes, docs, classes, "rest", fine=True)
+
+    named = nodes.select("node").join(classes, "node", "left").select(
+        F.col("node").alias("digest"), F.coalesce("component", "node").alias("component"))
+    rows = signed.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return rows.join(named, "digest", "left")
+
 
-    named = nodes.select("digest", "node").join(classes, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def link(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    component_id is the smallest doc_id reachable over links, kept whether that is the
+    document's own. Texts that are null or without words have no shingles and are linked
+    with nothing. Rows with a null doc_id get a null component, are linked with nothing and
+    kept. Repeated rows share their set and so their component; rows that share an id but not
+    the set each have their own text's component. An empty table gives no rows; further columns
+    are ignored.
+    """
+    rows = materialise(_rows(docs), "rows")
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.join(least, "component", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, with its own columns; of rows that share the id of a
-    kept document, one. Rows without an id or without words all stay."""
-    linked = link(docs)
-    dropped = linked.where(~F.col("kept")).select("doc_id").distinct()
-    repeated = linked.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionAll(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each component, with its own columns: the one with the smallest id, of its texts
+    one, of repeated rows one. Rows without an id or without words all stay."""
+    rows = materialise(_rows(docs).where("component is not null"), "rows")
+    chosen = rows.groupBy("component").agg(F.min(F.struct("doc_id", "digest", "key")).alias("own")).select("own.doc_id", "own.key")
+    known = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    dropped = known.join(chosen, ["doc_id", "key"], "left_anti").select("doc_id", F.col("key").alias(KEY))
+    repeated = known.join(chosen, ["doc_id", "key"], "left_semi").where("n > 1").select("doc_id", F.col("key").alias(KEY))
+    kept = docs.withColumn(KEY, text_key()).join(dropped, ["doc_id", KEY], "left_anti")
+    once = kept.join(repeated, ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY])
+    return kept.join(repeated, ["doc_id", KEY], "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
