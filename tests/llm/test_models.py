@@ -131,3 +131,24 @@ def test_hmm_odd_rows(spark):
     unseen = hmm.score(docs, *trained).collect()
     assert len(unseen) == len(got) and {(r["n_known"], r["train_tokens"]) for r in unseen} == {(0, 0)}
     assert hmm.score(empty_documents(spark), *trained).count() == 0
+
+
+def test_statistics_of_cut_texts_are_those_of_the_whole(monkeypatch):
+    m = hmm.Model.first(5, states=3)
+    m.move = np.random.default_rng(1).random((3, 3))
+    m.move = m.move / m.move.sum(1, keepdims=True)
+    rng = np.random.default_rng(2)
+    counts = np.array([30, 2, 11, 1, 10])
+    symbols = rng.integers(0, 5, counts.sum())
+    whole, cut = np.zeros((9, 3)), np.zeros((9, 3))
+    hmm.statistics(m, symbols, counts, whole)
+    monkeypatch.setattr(hmm, "SEGMENT", 10)
+    hmm.statistics(m, symbols, counts, cut)
+    assert cut == pytest.approx(whole) and cut[1:4].sum() == pytest.approx(counts.sum() - 5)
+
+
+def test_a_language_of_copies_is_learned(spark):
+    rows = [("el gato se sienta en la casa y mira por la ventana", "es")] * 3000
+    rows += [(f"the cat number {i} sits in the house and looks out of the window", "en") for i in range(400)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), train_rows=50)
+    assert model.predict([rows[0][0], rows[-1][0]])[0] == ["es", "en"]

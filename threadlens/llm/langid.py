@@ -14,7 +14,7 @@ from .common import ROW, prepare_workers
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 MAX_LANGS = 4096          # more distinct labels than this aren't languages
-SMOOTHING = 0.5
+SMOOTHING = 0.01
 # The model is fit on about so many labelled rows a language, chosen by a hash of the text.
 TRAIN_ROWS = 5000
 UNKNOWN = "und"
@@ -101,8 +101,8 @@ class Model:
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on (text, lang). Labels that are null and texts that are null are left out.
 
-    Priors count all labelled rows; n-grams come from about ``train_rows`` rows a language
-    (all, if it has fewer), whole texts. Tasks count by language and bucket, Spark sums,
+    Priors count all labelled rows; n-grams come from about ``train_rows`` distinct texts a language
+    (all, if it has fewer, and one at least), whole texts, however often each is repeated. Tasks count by language and bucket, Spark sums,
     and the sums (languages x BUCKETS at most) make the matrix. The number of buckets halves
     while languages x buckets exceeds 16 M, so the matrix stays under 64 MB.
     """
@@ -118,11 +118,14 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     while buckets * len(langs) > 1 << 24 and buckets > 1 << 10:
         buckets //= 2
     place = {x: i for i, x in enumerate(langs)}
-    # Languages with more rows than that are thinned by a hash of the text.
-    thin = F.lit(1.0)
-    for x in (x for x in langs if sizes[x] > train_rows):
-        thin = F.when(F.col("lang") == x, train_rows / sizes[x]).otherwise(thin)
-    part = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    # Distinct texts of a language are thinned by their hash; the one with the smallest always stays.
+    h = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 62))
+    texts = rows.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    limit = F.lit(-1).cast("long")
+    for r in texts.collect():
+        own = max(r["least"], int(min(1.0, train_rows / r["n"]) * (1 << 62)))
+        limit = F.when(F.col("lang") == r["lang"], own).otherwise(limit)
+    chosen = rows.withColumn("h", h).where(F.col("h") <= limit).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
@@ -134,7 +137,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
             at = got.nonzero()[0]
             yield pd.DataFrame({"lang": place[lang], "bucket": at, "n": got[at]})
 
-    sums = (rows.where(part < thin).mapInPandas(tally, "lang int, bucket int, n long")
+    sums = (chosen.select("lang", "text").mapInPandas(tally, "lang int, bucket int, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     counts = np.zeros((len(langs), buckets))
     counts[sums["lang"].to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)] = sums["n"]
