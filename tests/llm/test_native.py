@@ -150,3 +150,9 @@ def test_place(spark):
     hot = spark.range(5000).select(F.lit(1).alias("k"), "id")
     assert sharding.place(hot, ["k"], names, 101).select("slot").distinct().count() == 1
     assert sharding.place(hot, ["k"], names, 101, split=64).select("shard").distinct().count() == 5
+
+
+def test_empty_texts_are_taken_no_more_than_twice(spark):
+    rows = [(i, "" if i % 3 else "some words of a text", "abc"[i % 2]) for i in range(200)] + [(900, "w " * 4000, "c")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["copies"] for r in got} <= {0, 1, 2} and any(r["copies"] == 2 for r in got)

@@ -93,8 +93,10 @@ def thresholds(sizes: DataFrame) -> tuple[DataFrame, int]:
                     F.col("edge.bucket").alias("prefix"), F.col("edge.own").alias("own")), f"mix-edge-{level}")
     # The last bucket is one value of the hash: in, if that comes nearer to the target.
     nearer = F.col("own") - F.col("rest") < F.col("rest")
-    return state.select("key", "source_size", "target", "passes",
-                        (F.col("prefix") + nearer.cast("long")).alias("threshold")), sources
+    # A source whose whole passes meet its target takes nothing more, not even empty texts.
+    more = F.col("target") > F.col("passes") * F.col("source_size")
+    threshold = F.when(more, F.col("prefix") + nearer.cast("long")).otherwise(0)
+    return state.select("key", "source_size", "target", "passes", threshold.alias("threshold")), sources
 
 
 def _measured(docs: DataFrame, carry: bool) -> DataFrame:
