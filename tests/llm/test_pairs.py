@@ -235,3 +235,27 @@ def test_pipeline_of_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             before, docs = docs, spark.createDataFrame(stage(spark, docs, "").toArrow())
         assert "sequence_id" in docs.columns
+
+
+def test_layouts_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi", "s", "p", "r")],
+                               "conv_id long, turn long, role string, text string, system string, prompt string, response string")
+    assert [tuple(r) for r in chat.table_turns(df, "conv_id", "turn").collect()] == [(1, 0, "user", "hi")]
+    assert [tuple(r) for r in chat.table_turns(df, "conv_id").collect()] == [(1, 0, "user", "p"), (1, 1, "assistant", "r")]
+
+
+def test_null_items_and_parts(spark):
+    part = lambda t: {"type": "text", "text": t}
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, None, {"role": "assistant", "content": None}]},
+        {"messages": [{"role": "user", "content": [part("x"), part("y"), {"type": "image"}]}]},
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": [part("z")]}]},
+        {"messages": [{"role": "user", "content": {"deep": 1}}]},
+        {"prompt": ["no"], "response": "text"},
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)]
+    got = chat.json_turns(spark.createDataFrame(rows, "id long, raw string"), "id", "raw").collect()
+    told = {i: [(r["role"], r["text"]) for r in sorted((r for r in got if r["conv_id"] == i), key=lambda r: r["turn"] or 0)]
+            for i in range(5)}
+    assert told == {0: [("user", "a"), ("assistant", "")], 1: [("user", "xy")], 2: [("user", "q"), ("assistant", "z")],
+                    3: [(None, None)], 4: [(None, None)]}

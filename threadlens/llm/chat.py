@@ -31,13 +31,14 @@ class Mapping:
     role: str = "role"
     text: str = "content"
     roles: dict[str, str] = field(default_factory=dict, hash=False, compare=False)
+    either: tuple[str, ...] = ()    # further places of the text, of which a turn uses one
 
     @property
     def paths(self) -> tuple[str, ...]:
         if self.items is None:
             return tuple(f for _, f in self.fields)
         lead = f"{self.items}[]." if self.items else ""
-        return (lead + self.role, lead + self.text)
+        return (lead + self.role, lead + self.text, *(lead + e for e in self.either))
 
 
 _NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -49,6 +50,8 @@ MAPPINGS = (
     Mapping("instruction_input", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("system_instruction", (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
     Mapping("messages", items="messages"),
+    Mapping("messages_parts", items="messages", text="content[].text"),
+    Mapping("messages_mixed", items="messages", either=("content[].text",)),
     Mapping("conversations", items="conversations", role="from", text="value", roles=_NAMES),
     Mapping("turn_rows", items="", role="role", text="text"),
 )
@@ -89,10 +92,16 @@ def schema_paths(kind: T.DataType, lead: str = "") -> Iterator[str]:
 
 def table_turns(df: DataFrame, id_column: str, order_column: str | None = None) -> DataFrame:
     """(conv_id, turn, role, text) from a table with typed columns, whose schema's
-    fingerprint selects the mapping. Rows by turn need ``order_column``. A schema that no
-    mapping declares raises ValueError. Null texts are empty turns, except that a null
-    field of a one-field-a-turn layout is no turn."""
-    mapping = BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
+    fingerprint selects the mapping. Rows by turn are read if ``order_column`` is given, and
+    only then. Where further columns have names that other mappings know, the fingerprint is no
+    mapping's own: then it is the mapping with most paths that the schema holds, of equal ones
+    the first declared. A schema that holds none raises ValueError. Null texts are empty turns,
+    except that a null field of a one-field-a-turn layout is no turn."""
+    paths = set(schema_paths(df.schema))
+    able = [m for m in MAPPINGS if (m.items == "") == (order_column is not None) and set(m.paths) <= paths and "[" not in m.text]
+    mapping = BY_FINGERPRINT.get(fingerprint(paths))
+    if mapping not in able:
+        mapping = max(able, key=lambda m: len(m.paths), default=None)
     if mapping is None:
         raise ValueError(f"no mapping for the layout of {df.schema.simpleString()[:200]}")
     conv = F.col(f"`{id_column}`").cast("long").alias("conv_id")
@@ -120,18 +129,32 @@ def table_turns(df: DataFrame, id_column: str, order_column: str | None = None)
 def json_turns(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """(conv_id, layout, turn, role, text) from JSON records of mixed layouts, each told by
     its own fingerprint. A record that is null, no JSON, or of no declared layout gives one
-    row with layout, turn, role and text null."""
+    row with layout, turn, role and text null; so does one with nested values where a text or role
+    is declared. Null items are no turns, null texts empty ones; of content in parts the texts
+    are joined and other parts left out."""
     prepare_workers(df.sparkSession)
 
+    def plain(value, parts: bool) -> str:
+        if parts and isinstance(value, list):
+            return "".join(plain(p.get("text"), False) for p in value if isinstance(p, dict))
+        if isinstance(value, (dict, list)):
+            raise ValueError("nested where a text is declared")
+        return "" if value is None else str(value)
+
     def turns_of(record, mapping: Mapping) -> Iterator[tuple[str, str]]:
         if mapping.items is None:
             for role, name in mapping.fields:
                 if record[name] is not None:
-                    yield role, record[name]
-        else:
-            for item in record[mapping.items] if mapping.items else [record]:
-                role = item.get(mapping.role)
-                yield mapping.roles.get(role, role) or "", item.get(mapping.text) or ""
+                    yield role, plain(record[name], False)
+            return
+        parts = "[]" in mapping.text or bool(mapping.either)
+        for item in record[mapping.items] if mapping.items else [record]:
+            if item is None:
+                continue
+            if not isinstance(item, dict):
+                raise ValueError("a turn without fields")
+            role = plain(item.get(mapping.role), False)
+            yield mapping.roles.get(role, role), plain(item.get(mapping.text.partition("[")[0]), parts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,10 +165,14 @@ def json_turns(df: DataFrame, id_column: str, json_column: str) -> DataFrame:
                 except ValueError:
                     record = None
                 mapping = BY_FINGERPRINT.get(fingerprint(value_paths(record))) if isinstance(record, dict) else None
+                try:
+                    turns = [] if mapping is None else list(turns_of(record, mapping))
+                except ValueError:
+                    mapping = None
                 if mapping is None:
                     rows.append((conv, None, None, None, None))
                 else:
-                    rows += [(conv, mapping.name, i, str(r), str(t)) for i, (r, t) in enumerate(turns_of(record, mapping))]
+                    rows += [(conv, mapping.name, i, r, t) for i, (r, t) in enumerate(turns)]
             names = ["conv_id", "layout", "turn", "role", "text"]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
