@@ -83,12 +83,18 @@ def pca_model(df: DataFrame, vec: str, k: int):
 def reconstruction_error(df: DataFrame, vec: str, k: int, pct: float = 0.95) -> DataFrame:
     """K8: distance of each centred vector to its projection on the first k
     principal components; rows above the ``pct`` quantile are anomalies. The
-    residual is a numpy product per Arrow batch (components broadcast, d × k)."""
+    residual is a numpy product per Arrow batch (components broadcast, d × k).
+    Rows whose vector is NULL or holds NaN or infinity have no error and are no anomalies."""
     from threadlens.operators.quantiles import exact_quantiles
     from threadlens.session import cut_lineage
-    model = pca_model(df, vec, k)
+    every = df.withColumn("_a", F.when(F.col(vec).isNotNull(), vector_to_array(F.col(vec))))
+    fine = F.coalesce(F.forall("_a", lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    arr, rest = every.filter(fine), every.filter(~fine).drop("_a").select(
+        "*", F.lit(None).cast("double").alias("recon_error"), F.lit(0).alias("is_anomaly"))
+    if arr.isEmpty():
+        return rest
+    model = pca_model(arr, vec, k)
     comps = model.pc.toArray()
-    arr = df.withColumn("_a", vector_to_array(F.col(vec)))
     d = comps.shape[0]
     mean = np.array(arr.agg(F.array(*[F.avg(F.col("_a")[i]) for i in range(d)])).first()[0], dtype=float)
     bc = df.sparkSession.sparkContext.broadcast((comps, mean))
@@ -102,7 +108,7 @@ def reconstruction_error(df: DataFrame, vec: str, k: int, pct: float = 0.95) ->
 
     out = cut_lineage(arr.withColumn("recon_error", resid(F.col("_a"))).drop("_a"))
     cut = exact_quantiles(out, [], "recon_error", [pct], ["cut"]).first()["cut"]
-    return out.withColumn("is_anomaly", (F.col("recon_error") > F.lit(cut)).cast("int"))
+    return out.withColumn("is_anomaly", (F.col("recon_error") > F.lit(cut)).cast("int")).unionByName(rest)
 
 
 # --------------------------------------------------------- K6 / K7 forest
@@ -155,7 +161,9 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_tree
     from threadlens.session import ship_package, written
     ship_package(df.sparkSession)
     feats = list(features)
-    g = F.col(group) if group else F.lit(0)
+    # Groups by a text that is never NULL, so that rows without a group are one group.
+    g = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")) if group else F.lit("")
+    named = df.select(g.alias("_g"), F.col(group).alias("_name")).distinct() if group else None
     x = df.select(g.alias("_g"), id_col, *feats)
     sizes = x.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     small = x.join(sizes.filter(F.col("_n") < 2 * sample).select("_g"), "_g", "left_semi")
@@ -220,8 +228,10 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_tree
         "is_anomaly", (F.col("anomaly_score") > F.col("_cut")).cast("int"))
     unscored = small.select("_g", id_col, F.lit(None).cast("double").alias("anomaly_score"), F.lit(0).alias("is_anomaly"))
     res = res.select(*unscored.columns).unionByName(unscored)
-    cols = ([F.col("_g").alias(group)] if group else []) + [id_col, r6("anomaly_score").alias("anomaly_score"),
-                                                             "is_anomaly"]
+    if group:
+        res = res.join(named, "_g")
+    cols = ([F.col("_name").alias(group)] if group else []) + [id_col, r6("anomaly_score").alias("anomaly_score"),
+                                                                "is_anomaly"]
     return res.select(*cols)
 
 
@@ -329,7 +339,9 @@ def recursive_elimination(df: DataFrame, vec: str, label: str, keep: int = 20, s
 
 
 def vectors(df: DataFrame, arr: str, out: str = "features") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.col(arr).cast("array<double>")))
+    """A vector column from an array; a NULL array stays NULL, NULL elements are NaN."""
+    full = F.transform(F.col(arr).cast("array<double>"), lambda x: F.coalesce(x, F.lit(float("nan"))))
+    return df.withColumn(out, F.when(F.col(arr).isNotNull(), array_to_vector(full)))
 
 
 def meta_clusters(features: DataFrame, id_col: str, cols: Sequence[str], k: int = 2, seed: int = 42) -> DataFrame:

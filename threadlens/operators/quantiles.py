@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on equal keys, where two NULLs are equal; ``b`` adds its other columns."""
+def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) on equal keys, where two NULLs are equal; ``b`` adds its other columns."""
     b = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
     on = reduce(lambda m, n: m & n, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return a.join(b, on).drop(*[f"_r_{k}" for k in keys])
+    return a.join(b, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:

@@ -59,7 +59,7 @@ def keyed_zero_filled_counts(df: DataFrame, key: str, ts: str, freq: str, name:
     counts = b.groupBy(key, "bi").agg(F.count(F.lit(1)).alias(name))
     rng = counts.groupBy(key).agg(F.min("bi").alias("lo"), F.max("bi").alias("hi"))
     sp = rng.select(key, F.explode(F.sequence("lo", "hi")).alias("bi"))
-    out = sp.join(counts, [key, "bi"], "left").fillna(0, subset=[name])
+    out = null_safe_join(sp, counts, [key, "bi"], "left").fillna(0, subset=[name])
     return out.select(key, F.timestamp_add("SECOND", F.col("bi") * F.lit(w), epoch_col()).alias("bucket"), name)
 
 
@@ -178,7 +178,7 @@ def local_extrema(series: DataFrame, order: str, col: str, by: Sequence[str] = (
                         .otherwise(0))
             .withColumn("_mid", F.floor((F.col("_s") + F.col("_e")) / 2)))
     marks = runs.filter(F.col("_kind") != 0).select(*by, F.col("_mid").alias("_i"), "_kind")
-    out = x.join(marks, list(by) + ["_i"], "left")
+    out = null_safe_join(x, marks, list(by) + ["_i"], "left")
     out = out.withColumn("is_peak", F.coalesce("_kind", F.lit(0)).cast("int"))
     out = out.withColumn("is_trough", (F.col("is_peak") == -1).cast("int"))
     return out.drop("_chg", "_run", "_kind")
@@ -204,7 +204,7 @@ def auc_segments(marked: DataFrame, order: str, col: str, by: Sequence[str] = ()
                 F.max(F.col("_nt")).alias("_end_next")))
     # segment end = the next extremum = first row of the next segment
     nxt = seg.select(*by, (F.col("_seg") - 1).alias("_seg"), F.col("start").alias("end"))
-    out = seg.join(n_ext, list(by)).filter(F.col("_seg") < F.col("_n")).join(nxt, list(by) + ["_seg"])
+    out = null_safe_join(null_safe_join(seg, n_ext, list(by)).filter(F.col("_seg") < F.col("_n")), nxt, list(by) + ["_seg"])
     return out.select(*by, F.col("_seg").alias("seg"), "start", "end", r6("auc").alias("auc"))
 
 
@@ -223,7 +223,7 @@ def auc_labels(series: DataFrame, segs: DataFrame, order: str, hi: float, lo: fl
     by = list(by)
     s = segs.withColumn("_prev", F.lag("auc").over(Window.partitionBy(*by).orderBy("seg")))
     s = s.select(*by, F.col("start").alias(order), F.struct("start", "end", "auc", "_prev").alias("_s"))
-    x = series.join(s, by + [order], "left")
+    x = null_safe_join(series, s, by + [order], "left")
     x = x.withColumn("_s", F.last("_s", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order)))
 
     def label(passes):
@@ -238,7 +238,7 @@ def zscore_flags(series: DataFrame, col: str, threshold: float = 2.0, by: Sequen
     """|x − mean| / std_samp > threshold over the whole series of a key."""
     st = series.groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s")) if by else None
     if by:
-        x = series.join(st, list(by))
+        x = null_safe_join(series, st, list(by))
     else:
         r = series.agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s")).first()
         x = series.withColumn("_m", F.lit(r["_m"])).withColumn("_s", F.lit(r["_s"]))
@@ -280,8 +280,8 @@ def chunked_running(df: DataFrame, key: str, ts: str, value: str, tiebreak: str,
     off = tot.select(key, "_c", F.coalesce(F.sum("_cn").over(wo), F.lit(0)).alias("_on"),
                      F.coalesce(F.sum("_cs").over(wo), F.lit(0.0)).alias("_os"))
     wi = Window.partitionBy(key, "_c").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    x = (x.withColumn("_in", F.count(F.lit(1)).over(wi)).withColumn("_is", F.sum(value).over(wi))
-         .join(off, [key, "_c"]))
+    x = x.withColumn("_in", F.count(F.lit(1)).over(wi)).withColumn("_is", F.sum(value).over(wi))
+    x = null_safe_join(x, off, [key, "_c"])
     return (x.withColumn("run_n", F.col("_in") + F.col("_on"))
             .withColumn("run_sum", F.col("_is") + F.col("_os"))
             .withColumn("run_mean", r6(F.col("run_sum") / F.col("run_n")))
@@ -384,5 +384,5 @@ def extrema_with_distance(marked: DataFrame, order: str, col: str, by: Sequence[
             lambda p: greedy(p.drop(columns=["_one"])), "_i long, kept int")
     else:
         kept = grouped.applyInPandas(greedy, schema)
-    out = marked.join(kept, by + ["_i"], "left")
+    out = null_safe_join(marked, kept, by + ["_i"], "left")
     return out.withColumn("is_peak_distance", F.coalesce("kept", F.lit(0)).cast("int")).drop("kept")
