@@ -397,3 +397,25 @@ def g4_set_overlap(spark, sf_dir):
                  .cast("bigint").alias("n_both"),
                  F.count(F.lit(1)).alias("n_either")).withColumn(
         "jaccard", F.col("n_both") / F.col("n_either"))
+
+
+# ------------------------------------------------- D16, D18, D30 from stored sketches
+@register("d30_approx_users", sql(EV_CTES, body="""
+, a AS (SELECT subreddit, author, created_utc FROM posts
+        UNION ALL SELECT p.subreddit, c.author, c.created_utc FROM comments c JOIN posts p ON c.post_id = p.post_id),
+x AS (SELECT 'W' AS period, subreddit, author,
+             CAST(CAST(created_utc AS DATE) + CAST((7 - isodow(created_utc)) % 7 AS INTEGER) AS TIMESTAMP) AS bucket FROM a
+      UNION ALL SELECT 'D', subreddit, author, time_bucket(INTERVAL '1 day', created_utc) FROM a)
+SELECT period, bucket, subreddit, CAST(grouping(subreddit) AS INTEGER) AS all_communities, count(*) AS n,
+       count(DISTINCT author) AS approx_users
+FROM x GROUP BY GROUPING SETS ((period, bucket, subreddit), (period, bucket))"""))
+def d30_approx_users(spark, sf_dir):
+    """Days and weeks from the same stored daily sketches (few users each, so the sketches count exactly)."""
+    from threadlens.operators.sketches import daily_sketches, rolled_up
+    from threadlens.session import written
+    f = _ev(spark, sf_dir)
+    c = f.comments.join(f.posts.select("post_id", "subreddit"), "post_id")
+    acts = f.posts.select("subreddit", "author", "created_utc").unionByName(c.select("subreddit", "author", "created_utc"))
+    stored = written(daily_sketches(acts, "created_utc", "subreddit", "author"), "daily-sketches")
+    return rolled_up(stored, "D", "subreddit").withColumn("period", F.lit("D")).unionByName(
+        rolled_up(stored, "W", "subreddit").withColumn("period", F.lit("W")))

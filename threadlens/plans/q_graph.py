@@ -488,3 +488,17 @@ def j19_meta_clusters(spark, sf_dir):
                                      F.count(F.lit(1)).cast("double").alias("n_comments"),
                                      F.avg("score").alias("avg_score"))
     return meta_clusters(feats, "cluster", ["size", "n_comments", "avg_score"], k=2)
+
+
+@register("j12_closeness_all", sql(EV_CTES, body=_PAIRS_BODY + f"""
+, adj AS (SELECT user1 AS i, user2 AS j FROM pairs UNION SELECT user2, user1 FROM pairs),
+walk AS (SELECT DISTINCT i AS a, i AS b, 0 AS d FROM adj
+         UNION SELECT w.a, e.j, w.d + 1 FROM walk w JOIN adj e ON e.i = w.b WHERE w.d < 8),
+near AS (SELECT a, b, min(d) AS d FROM walk GROUP BY a, b),
+c AS (SELECT a AS username, count(*) - 1 AS reached, sum(d) AS hops FROM near GROUP BY a)
+SELECT username, reached,
+       {sql_r6('(CAST(reached AS DOUBLE) / hops) * (CAST(reached AS DOUBLE) / (SELECT count(*) - 1 FROM c))')} AS closeness
+FROM c""").replace("WITH ", "WITH RECURSIVE ", 1))
+def j12_closeness_all(spark, sf_dir):
+    from threadlens.operators.sketches import closeness_all
+    return closeness_all(_clean_pairs(spark, sf_dir))

@@ -206,6 +206,47 @@ def k19_feedback_merge(spark, sf_dir):
     return x.select("doc_id", "flagged", "feedback", F.coalesce("feedback", "flagged").alias("corrected"))
 
 
+_FEEDBACK = """
+flags AS (SELECT event_id, user_id, ts, CAST(value > 100 AS INTEGER) AS flagged FROM events WHERE event_type = 'click'),
+fb AS (SELECT user_id, ts, arg_max(CAST(value > 50 AS INTEGER), event_id) AS feedback FROM events
+       WHERE event_type = 'purchase' GROUP BY user_id, ts)"""
+
+
+def _feedback(spark, sf_dir):
+    """Flags on users (clicks) and later feedback on them (purchases), both with their times."""
+    e = read_table(spark, sf_dir, "events")
+    flags = e.filter("event_type = 'click'").select("event_id", "user_id", "ts", (F.col("value") > 100).cast("int").alias("flagged"))
+    fb = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", (F.col("value") > 50).cast("int").alias("feedback"))
+    return flags, fb
+
+
+@register("k19_feedback_as_of", f"""
+WITH {_FEEDBACK}
+SELECT f.event_id, f.user_id, f.ts, f.flagged, b.feedback, coalesce(b.feedback, f.flagged) AS corrected
+FROM flags f ASOF LEFT JOIN fb b ON f.user_id = b.user_id AND f.ts >= b.ts""")
+def k19_feedback_as_of(spark, sf_dir):
+    """Every flag with the latest feedback known at its time."""
+    from threadlens.operators.asof import latest_before
+    flags, fb = _feedback(spark, sf_dir)
+    x = latest_before(flags, fb, "user_id", "ts", ["feedback"], "event_id")
+    return x.withColumn("corrected", F.coalesce("feedback", "flagged"))
+
+
+@register("k19_retraining_set", f"""
+WITH {_FEEDBACK},
+l AS (SELECT user_id, arg_max(feedback, ts) AS label, max(ts) AS labelled_at FROM fb GROUP BY user_id)
+SELECT f.user_id, l.label, l.labelled_at, count(*) AS n_flags, CAST(sum(f.flagged) AS BIGINT) AS n_flagged,
+       CAST(sum(CASE WHEN f.flagged <> l.label THEN 1 ELSE 0 END) AS BIGINT) AS n_wrong
+FROM flags f JOIN l ON f.user_id = l.user_id GROUP BY 1, 2, 3""")
+def k19_retraining_set(spark, sf_dir):
+    """Users with feedback: their latest label and how the flags on them agree with it."""
+    flags, fb = _feedback(spark, sf_dir)
+    last = fb.groupBy("user_id").agg(F.max_by("feedback", F.struct("ts", "event_id")).alias("label"), F.max("ts").alias("labelled_at"))
+    return flags.join(last, "user_id").groupBy("user_id", "label", "labelled_at").agg(
+        F.count(F.lit(1)).alias("n_flags"), F.sum("flagged").alias("n_flagged"),
+        F.sum((F.col("flagged") != F.col("label")).cast("int")).alias("n_wrong"))
+
+
 @register("k20_daily_feature_table", sql(EV_CTES, body=DAILY_SQL + f"""
 , f AS (SELECT *,
         CASE WHEN count(total_posts) OVER w = 7 THEN {sql_r6('avg(total_posts) OVER w')} END AS ma_7_total_posts,

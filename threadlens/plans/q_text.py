@@ -206,6 +206,19 @@ def i7_keyword_repetition(spark, sf_dir):
     return T.keyword_repetition(forum_with_text(spark, sf_dir).comments, "body", "author")
 
 
+@register("i7_repeated_ngrams", sql(EV_CTES, TEXT_CTES, body=f"""
+, t AS (SELECT author, {_clean_sql('body')} AS toks FROM comments_t),
+g AS (SELECT author, n, unnest(list_transform(range(1, len(toks) - n + 2), lambda i: array_to_string(toks[i:i + n - 1], ' '))) AS gram
+      FROM t, range(1, 4) r(n)),
+c AS (SELECT author, n, gram, count(*) AS c FROM g GROUP BY 1, 2, 3)
+SELECT author, CAST(n AS INTEGER) AS n, CAST(sum(c) AS BIGINT) AS n_grams, count(*) AS n_distinct,
+       arg_min(gram, (-c, gram)) AS top_gram, max(c) AS top_count,
+       {sql_r6('coalesce(sum(c) FILTER (c > 1), 0) / sum(c)')} AS repeated_share
+FROM c GROUP BY author, n"""))
+def i7_repeated_ngrams(spark, sf_dir):
+    return T.repeated_ngrams(forum_with_text(spark, sf_dir).comments, "body", "author", 3)
+
+
 def _stop_words():
     return list(T.STOP_WORDS)
 
