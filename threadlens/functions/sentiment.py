@@ -16,9 +16,10 @@ the row's own tokens, so scoring is a narrow, per-row projection.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.numeric import r6
@@ -134,11 +135,67 @@ def compound(text: Column | str, lexicon: Mapping[str, float] | None = None) ->
     return F.transform(both, lambda b: _score(b["raw"], b["toks"], t, lexicon or LEXICON))[0]
 
 
-def sentiment_sql(src: str, id_col: str, text_col: str) -> str:
+def with_compound_table(df: DataFrame, key: str, text: str, lexicon: DataFrame, out: str = "compound") -> DataFrame:
+    """As :func:`with_compound` with a lexicon table (word, val) of any size: one row a lower-case word; words
+    that are NULL or repeated with other values count by their mean. ``key`` names the rows of ``df`` and
+    must be unique; rows with a NULL key get NULL.
+
+    Token positions become rows with what stands before them and meet the lexicon by word. Words that
+    make up more than a 1,024th of all tokens, fewer than 1,024 words, are broadcast; all others are
+    shuffled, so no word makes a task large.
+    """
+    from threadlens.session import written
+    x = df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where("_id is not null")
+    x = x.withColumn("_raw", raw_tokens("_t")).withColumn("_toks", F.transform("_raw", lambda w: F.lower(w)))
+    loud = lambda w: (w == F.upper(w)) & (w != F.lower(w))
+    x = x.withColumn("_mixed", F.exists("_raw", loud) & F.exists("_raw", lambda w: ~loud(w)))
+    x = x.withColumn("_but", F.array_position("_toks", "but") - 1)
+    each = x.select("_id", "_toks", "_raw", "_mixed", "_but", F.posexplode("_toks").alias("i", "word"))
+    boost = _map(BOOSTERS)
+    before = [F.get("_toks", F.col("i") - d) for d in (1, 2, 3)]
+    negated = F.lit(False)
+    for b in before:
+        negated = negated | F.coalesce(b.isin(*NEGATIONS), F.lit(False))
+    lift = F.lit(0.0)
+    for b, damp in zip(before, BOOST_DAMPING):
+        lift = lift + F.coalesce(F.try_element_at(boost, b), F.lit(0.0)) * F.lit(damp)
+    caps = F.when(loud(F.get("_raw", "i")) & F.col("_mixed"), F.lit(CAPS_INCR)).otherwise(F.lit(0.0))
+    at = F.when(F.col("_but") < 0, F.lit(1.0)).when(F.col("i") < F.col("_but"), F.lit(BUT_BEFORE)).when(
+        F.col("i") > F.col("_but"), F.lit(BUT_AFTER)).otherwise(F.lit(1.0))
+    tokens_ = written(each.select("_id", "word", (lift + caps).alias("_add"),
+                                  (F.when(negated, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0)) * at).alias("_by")), "tokens")
+    lex = lexicon.where("word is not null").groupBy("word").agg(F.avg("val").alias("_v"))
+    counts = tokens_.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") * 1024 > tokens_.count()).select("word")
+    hot = written(hot, "hot-words")
+    found = tokens_.join(F.broadcast(hot), "word").join(F.broadcast(lex.join(hot, "word", "left_semi")), "word").unionByName(
+        tokens_.join(F.broadcast(hot), "word", "left_anti").join(lex, "word"))
+    sign = F.when(F.col("_v") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    sums = found.groupBy("_id").agg(F.sum((F.col("_v") + sign * F.col("_add")) * F.col("_by")).alias("_s"))
+    bangs = F.least(F.length(text) - F.length(F.regexp_replace(text, "!", "")), F.lit(EXCLAIM_MAX))
+    emph = F.coalesce(bangs, F.lit(0)).cast("double") * F.lit(EXCLAIM_STEP)
+    s = F.when(F.col("_s") > 0, F.col("_s") + emph).when(F.col("_s") < 0, F.col("_s") - emph).otherwise(F.lit(0.0))
+    joined = df.join(sums.withColumnRenamed("_id", key), key, "left").withColumn("_s", s)
+    known = F.when(F.col(key).isNotNull(), r6(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(ALPHA))))
+    return joined.withColumn(out, known).drop("_s")
+
+
+def with_scorer(df: DataFrame, text: str, scorer: Callable[[list[str]], list[float]], out: str = "compound") -> DataFrame:
+    """A user's own scorer instead of a lexicon (M1): it gets the texts of an Arrow batch (NULL as empty) and
+    returns a number for each. It must be picklable and is not called for empty batches."""
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(texts.fillna("").tolist()) if len(texts) else [], dtype="float64")
+
+    return df.withColumn(out, score(F.col(text)))
+
+
+def sentiment_sql(src: str, id_col: str, text_col: str, lexicon_sql: str | None = None) -> str:
     """The same rules as DuckDB SQL over ``src`` (rows of id, text): tokens as
     rows with their position, neighbours by ``lag``. Returns CTE text defining
     ``sent(<id_col>, compound)``; ids without lexicon words get 0."""
-    lex = ", ".join(f"('{k}', {float(v)})" for k, v in LEXICON.items())
+    lex = lexicon_sql or "SELECT * FROM (VALUES {}) t(word, val)".format(
+        ", ".join(f"('{k}', {float(v)})" for k, v in LEXICON.items()))
     boo = ", ".join(f"('{k}', {float(v)})" for k, v in BOOSTERS.items())
     neg = ", ".join(f"'{w}'" for w in NEGATIONS)
     d1, d2, d3 = BOOST_DAMPING
@@ -148,7 +205,7 @@ s_tl AS (SELECT sid, stext, {raw_tokens_sql('stext')} AS toks FROM s_src),
 s_raw AS (SELECT sid, unnest(toks) AS w, generate_subscripts(toks, 1) - 1 AS pos FROM s_tl),
 s_tok AS (SELECT sid, lower(w) AS tok, pos, w = upper(w) AND w <> lower(w) AS loud FROM s_raw),
 s_caps AS (SELECT sid, bool_or(loud) AND bool_or(NOT loud) AS some_loud FROM s_tok GROUP BY sid),
-s_lex AS (SELECT * FROM (VALUES {lex}) t(word, val)),
+s_lex AS ({lex}),
 s_boo AS (SELECT * FROM (VALUES {boo}) t(word, val)),
 s_but AS (SELECT sid, min(pos) AS bpos FROM s_tok WHERE tok = 'but' GROUP BY sid),
 s_ctx AS (SELECT sid, pos, tok, loud, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions.numeric import r6, sql_r6
 from threadlens.functions.predicates import content, sentiment_sign
-from threadlens.functions.sentiment import raw_tokens_sql, sentiment_sql, with_compound
+from threadlens.functions.sentiment import raw_tokens, raw_tokens_sql, sentiment_sql, with_compound, with_compound_table
 from threadlens.operators import text as T
 from threadlens.operators import timeseries as TS
 from threadlens.plans.catalog import EV_CTES, TEXT_CTES, register, sql
@@ -41,6 +41,25 @@ def i1_document_sentiment(spark, sf_dir):
     return with_compound(d, "text").select("doc_id", "compound")
 
 
+_OWN_LEXICON = f"""SELECT word, ((length(word) * 7 + ascii(word)) % 9 - 4) / 2.0 AS val
+    FROM (SELECT word, count(DISTINCT doc_id) AS n
+          FROM (SELECT doc_id, unnest(list_transform({raw_tokens_sql("coalesce(text, '')")}, lambda w: lower(w))) AS word FROM documents)
+          GROUP BY word HAVING n > 1) WHERE (length(word) * 7 + ascii(word)) % 9 <> 4"""
+
+
+@register("i1_table_sentiment", sql(
+    "d0 AS (SELECT doc_id, text FROM documents)",
+    body=", " + sentiment_sql("SELECT doc_id, text FROM d0", "doc_id", "text", _OWN_LEXICON) + """
+SELECT doc_id, compound FROM sent"""))
+def i1_table_sentiment(spark, sf_dir):
+    """Sentiment by a lexicon table: all words of two documents or more, with a value by their form."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = d.select("doc_id", F.explode(F.transform(raw_tokens("text"), lambda w: F.lower(w))).alias("word"))
+    n = w.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lexicon = n.select("word", (((F.length("word") * 7 + F.ascii("word")) % 9 - 4) / F.lit(2.0)).alias("val")).where("val <> 0")
+    return with_compound_table(d, "doc_id", "text", lexicon).select("doc_id", "compound")
+
+
 @register("i2_sentiment_classes", sql(EV_CTES, TEXT_CTES, body=", " + _S_COMMENTS + """
 SELECT CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END
          AS sentiment_class, count(*) AS n
