@@ -13,7 +13,8 @@ FAST = ["j1_user_pairs", "j2_user_pairs_clean", "a1_posts_scan", "c1_comments_jo
         "d17_daily_engagement", "a7_new_listing", "a8_top_listing", "e10_local_extrema",
         "e12_auc_segments", "e21_running_mean", "e24_max_actions_60s", "e26_sessions",
         "i1_document_sentiment", "d7_monthly_zero_filled", "d7_weekly_zero_filled", "f3_top_posts",
-        "j14_reciprocity", "j6_flagged_network_nodes", "e4_ema", "d22_gini_entropy"]
+        "j14_reciprocity", "j6_flagged_network_nodes", "e4_ema", "d22_gini_entropy", "k19_feedback_as_of",
+        "k19_retraining_set", "d30_approx_users", "k10_knn_distance", "l2_stream_tumbling_counts"]
 
 
 @pytest.fixture(scope="module")
