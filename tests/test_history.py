@@ -78,3 +78,16 @@ def test_repeated_ngrams(spark):
         again = sum(v for v in c.values() if v > 1)
         assert got["u", n] == (sum(c.values()), len(c), top, c[top], round(again / sum(c.values()), 6))
     assert got["v", 1][:2] == (1, 1) and ("v", 2) not in got and (None, 2) in got
+
+
+def test_clusters_are_born_merge_split_and_die(spark):
+    from threadlens.operators.graph import cluster_events
+    week = lambda i: START + dt.timedelta(days=7 * i)
+    groups = [(0, "a", "pqr"), (0, "b", "xyz"), (0, "c", "k"), (1, "ab", "pqrxyz"), (1, "new", "mn"),
+              (2, "left", "pqr"), (2, "right", "xyz"), (2, "new", "mno")]
+    rows = [(week(w), c, who) for w, c, people in groups for who in people] + [(week(1), "new", None), (week(1), "new", "m")]
+    got = {((r.window - START).days // 7, r.cluster): (r.n, r.came, r.went)
+           for r in cluster_events(spark.createDataFrame(rows, "window timestamp_ntz, cluster string, author string"), "window", 7, 0.5).collect()}
+    assert got == {(0, "a"): (3, None, "goes on"), (0, "b"): (3, None, "goes on"), (0, "c"): (1, None, "death"),
+                   (1, "ab"): (6, "merge", "split"), (1, "new"): (2, "birth", "goes on"),
+                   (2, "left"): (3, "goes on", None), (2, "right"): (3, "goes on", None), (2, "new"): (3, "goes on", None)}

@@ -470,3 +470,31 @@ def merge_redundant_clusters(members: DataFrame, window: str, step_days: int, th
     cc = connected_components(e)
     out = allnodes.join(cc, "node", "left").withColumn("merged", F.coalesce("component", "node"))
     return out.select(window, "cluster", "merged")
+
+
+def cluster_events(members: DataFrame, window: str, step_days: int, share: float) -> DataFrame:
+    """J16 over time: what became of each cluster of (window, cluster, author) from one window to the next.
+
+    Clusters of consecutive windows are the same line if they share at least ``share`` of the smaller
+    one's members. Returns (window, cluster, n, n_before, n_after, came, went): how many lines lead to it
+    and on from it; came is 'birth', 'merge' or 'goes on' (NULL in the first window), went 'death', 'split' or
+    'goes on' (NULL in the last). NULL authors are no members; a gap of a window ends all lines."""
+    m = members.select(window, "cluster", "author").where("author is not null").distinct()
+    back = F.col(window) - F.make_dt_interval(days=F.lit(step_days))
+    size = m.groupBy(window, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    later = m.select(back.alias(window), F.col("cluster").alias("next"), "author")
+    both = m.join(later, [window, "author"]).groupBy(window, "cluster", "next").agg(F.count(F.lit(1)).alias("both"))
+    sizes = size.select(back.alias(window), F.col("cluster").alias("next"), F.col("n").alias("n2"))
+    lines = (both.join(size, [window, "cluster"]).join(sizes, [window, "next"])
+             .where(F.col("both") >= F.lit(share) * F.least("n", "n2")))
+    on = lines.groupBy(window, "cluster").agg(F.count(F.lit(1)).alias("n_after"))
+    step = F.col(window) + F.make_dt_interval(days=F.lit(step_days))
+    into = lines.groupBy(step.alias(window), F.col("next").alias("cluster")).agg(F.count(F.lit(1)).alias("n_before"))
+    ends = size.agg(F.min(window).alias("a"), F.max(window).alias("b")).first()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    word = lambda c, none, many: F.when(F.col(c) == 0, none).when(F.col(c) > 1, many).otherwise("goes on")
+    out = (size.join(into, [window, "cluster"], "left").join(on, [window, "cluster"], "left")
+           .withColumn("n_before", zero("n_before")).withColumn("n_after", zero("n_after")))
+    return out.select(window, "cluster", "n", "n_before", "n_after",
+                      F.when(F.col(window) > F.lit(ends["a"]), word("n_before", "birth", "merge")).alias("came"),
+                      F.when(F.col(window) < F.lit(ends["b"]), word("n_after", "death", "split")).alias("went"))

@@ -502,3 +502,25 @@ FROM c""").replace("WITH ", "WITH RECURSIVE ", 1))
 def j12_closeness_all(spark, sf_dir):
     from threadlens.operators.sketches import closeness_all
     return closeness_all(_clean_pairs(spark, sf_dir))
+
+
+@register("j16_cluster_events", sql(EV_CTES, body="""
+, m AS (SELECT DISTINCT CAST(CAST(created_utc AS DATE) + CAST((7 - isodow(created_utc)) % 7 AS INTEGER) AS TIMESTAMP) AS w,
+               post_id AS cluster, author FROM comments WHERE author IS NOT NULL),
+n AS (SELECT w, cluster, count(*) AS n FROM m GROUP BY 1, 2),
+o AS (SELECT a.w, a.cluster AS c1, b.cluster AS c2, count(*) AS i
+      FROM m a JOIN m b ON b.author = a.author AND b.w = a.w + INTERVAL 7 DAY GROUP BY 1, 2, 3),
+l AS (SELECT o.* FROM o JOIN n x ON x.w = o.w AND x.cluster = o.c1
+      JOIN n y ON y.w = o.w + INTERVAL 7 DAY AND y.cluster = o.c2 WHERE o.i >= 0.3 * least(x.n, y.n)),
+r AS (SELECT n.w, n.cluster, n.n, (SELECT count(*) FROM l WHERE l.w = n.w - INTERVAL 7 DAY AND l.c2 = n.cluster) AS n_before,
+             (SELECT count(*) FROM l WHERE l.w = n.w AND l.c1 = n.cluster) AS n_after FROM n)
+SELECT w AS "window", cluster, n, n_before, n_after,
+       CASE WHEN w = (SELECT min(w) FROM n) THEN NULL WHEN n_before = 0 THEN 'birth' WHEN n_before > 1 THEN 'merge' ELSE 'goes on' END AS came,
+       CASE WHEN w = (SELECT max(w) FROM n) THEN NULL WHEN n_after = 0 THEN 'death' WHEN n_after > 1 THEN 'split' ELSE 'goes on' END AS went
+FROM r"""))
+def j16_cluster_events(spark, sf_dir):
+    """Births, deaths, merges and splits of the weekly groups of commenters of each thread."""
+    from threadlens.functions.timebuckets import bucket
+    c = forum_from_events(spark, sf_dir).comments
+    m = c.select(bucket("created_utc", "W").alias("window"), F.col("post_id").alias("cluster"), "author")
+    return G.cluster_events(m, "window", 7, 0.3)
