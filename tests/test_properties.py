@@ -640,3 +640,18 @@ def test_sub_communities_stay_in_their_cluster(spark):
     for r in got.collect():
         parts.setdefault((r.cluster, r.community), set()).add(r.node)
     assert {k: "".join(sorted(v)) for k, v in parts.items()} == {(0, 0): "abcd", (0, 1): "efgh", (1, 0): "mnop", (2, 0): "x"}
+
+
+def test_elimination_keeps_what_scores(spark):
+    from threadlens.operators.ml import elimination_by_score, vectors
+    rnd = random.Random(3)
+    rows = []
+    for i in range(200):
+        y = rnd.randrange(2)
+        rows.append((i, [rnd.gauss(0, 1), 4.0 * y + rnd.gauss(0, 0.5), rnd.gauss(0, 1), rnd.gauss(0, 1)], y))
+    df = vectors(spark.createDataFrame(rows, "id int, v array<double>, y int"), "v")
+    run = lambda: elimination_by_score(df, "features", "y", "id", folds=2, step=0.5, n_trees=5).collect()
+    got = run()
+    assert [r.n_features for r in got] == [4, 2, 1] and sum(r.chosen for r in got) == 1 and got == run()
+    chosen = next(r for r in got if r.chosen)
+    assert 1 in chosen.features and chosen.f1 == max(r.f1 for r in got) > 0.95

@@ -131,6 +131,11 @@ def k15_gbt_importance(spark, sf_dir):
     return M.feature_importance(e, "features", "bin", "gbt")
 
 
+@register("k14_cross_validated_elimination")
+def k14_cross_validated_elimination(spark, sf_dir):
+    return M.elimination_by_score(_emb(spark, sf_dir), "features", "label", "vec_id", least=16, n_trees=10)
+
+
 @register("k14_recursive_elimination")
 def k14_recursive_elimination(spark, sf_dir):
     kept = M.recursive_elimination(_emb(spark, sf_dir), "features", "label", keep=20)
