@@ -21,11 +21,15 @@ def swarm_alerts(comments: DataFrame, min_users: int = 5, k: float = 3.0) -> Dat
     """N3 + D29: (hour, thread) cells whose comment count exceeds the thread's
     hourly mean + k·std and that involve at least ``min_users`` distinct users;
     reported with their density (users, comments, comments per user).
-    Statistics are per thread over its hourly series (bounded windows)."""
+    The thread's mean and deviation are over all hours from its first to its last one, empty
+    hours as 0; counts, sums and sums of squares of the other hours are enough for that."""
     cells = (comments.groupBy("post_id", F.window("created_utc", "1 hour").start.alias("hour"))
              .agg(F.count(F.lit(1)).alias("n_comments"), F.countDistinct("author").alias("n_users")))
-    series = TS.keyed_zero_filled_counts(comments, "post_id", "created_utc", "1h", "n")
-    st = series.groupBy("post_id").agg(F.avg("n").alias("mu"), F.stddev_samp("n").alias("sd"))
+    hours = (F.timestamp_diff("HOUR", F.min("hour"), F.max("hour")) + 1).cast("double")
+    st = cells.groupBy("post_id").agg(hours.alias("h"), F.sum("n_comments").cast("double").alias("s1"),
+                                      F.sum(F.col("n_comments") * F.col("n_comments")).cast("double").alias("s2"))
+    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("h")) / F.when(F.col("h") > 1, F.col("h") - 1)
+    st = st.select("post_id", (F.col("s1") / F.col("h")).alias("mu"), F.sqrt(F.greatest(var, F.lit(0.0) * var)).alias("sd"))
     x = cells.join(st, "post_id")
     hit = x.filter((F.col("n_comments") > F.col("mu") + F.lit(k) * F.col("sd")) & (F.col("n_users") >= min_users))
     return hit.select("hour", "post_id", "n_comments", "n_users",

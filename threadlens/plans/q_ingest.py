@@ -159,3 +159,19 @@ def d19_new_returning_users(spark, sf_dir):
     f = forum_from_events(spark, sf_dir)
     d = daily_engagement(f.posts, f.comments)
     return d.filter(F.col("active_users") > 0).select("day", "active_users", "new_users", "returning_users")
+
+
+@register("a15_event_days", sql(ORD_CTES, body="""
+, days AS (SELECT date_trunc('day', created_utc) AS day, count(*) AS n FROM posts GROUP BY 1),
+cal AS (SELECT DISTINCT CAST(created_utc AS DATE) AS date FROM posts WHERE day(created_utc) IN (1, 15))
+SELECT CAST(d.day AS TIMESTAMP) AS day, d.n, CAST(c.date IS NOT NULL AS INTEGER) AS is_event
+FROM days d LEFT JOIN cal c ON c.date = CAST(d.day AS DATE)"""))
+def a15_event_days(spark, sf_dir):
+    """A calendar of paydays is written as CSV, read as an external source and flagged on the days."""
+    p = forum_from_orders(spark, sf_dir).posts
+    path = scratch_path(spark, "calendar")
+    dates = p.select(F.to_date("created_utc").alias("date")).where("day(date) in (1, 15)").distinct()
+    I.write_csv(dates.withColumn("name", F.lit("payday")).unionByName(
+        dates.where("month(date) = 1").withColumn("name", F.lit("January"))), path)
+    days = p.groupBy(F.date_trunc("day", "created_utc").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return I.flag_event_days(days, I.external_events(spark, path))
