@@ -288,6 +288,23 @@ def chunked_running(df: DataFrame, key: str, ts: str, value: str, tiebreak: str,
             .drop("_c", "_in", "_is", "_on", "_os"))
 
 
+def shift_between_thirds(df: DataFrame, key: str, ts: str, value: str, tiebreak: str, middle: float = 0.0) -> DataFrame:
+    """Per key the mean of ``value`` in the first and the last third of its events (as ``ntile(3)`` deals
+    them), their difference, and whether the means lie on different sides of ``middle``. Ranks come from the
+    chunked running count; NULL values count as events but not in the means."""
+    r = chunked_running(df.withColumn("_one", F.lit(1.0)), key, ts, "_one", tiebreak)
+    r = null_safe_join(r, df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), [key])
+    base, rem = F.floor(F.col("_n") / 3), F.col("_n") % 3
+    big = rem * (base + 1)
+    third = F.when(F.col("run_n") <= big, F.floor((F.col("run_n") - 1) / (base + 1)) + 1).otherwise(
+        rem + F.floor((F.col("run_n") - big - 1) / base) + 1)
+    a = r.withColumn("_third", third).groupBy(key).agg(
+        F.avg(F.when(F.col("_third") == 1, F.col(value))).alias("f"), F.avg(F.when(F.col("_third") == 3, F.col(value))).alias("l"))
+    return a.select(key, r6("f").alias("first_third_mean"), r6("l").alias("last_third_mean"),
+                    r6(F.col("l") - F.col("f")).alias("shift"),
+                    (F.signum(F.col("f") - middle) != F.signum(F.col("l") - middle)).cast("int").alias("crosses_middle"))
+
+
 def max_in_lookback(df: DataFrame, key: str, ts: str, seconds: int = 60,
                     chunk_seconds: int = 3600) -> DataFrame:
     """Per key, the largest number of events in any window

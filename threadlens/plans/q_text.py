@@ -216,6 +216,15 @@ def i9_exact_repetition(spark, sf_dir):
     return T.exact_repetition(forum_with_text(spark, sf_dir).comments, "body", "author", 2)
 
 
+@register("e24_repeated_texts", sql(EV_CTES, TEXT_CTES, body=f"""
+, x AS (SELECT author, md5(trim(regexp_replace(lower(body), '\\s+', ' ', 'g'))) AS d FROM comments_t WHERE body IS NOT NULL),
+c AS (SELECT author, d, count(*) AS c FROM x GROUP BY 1, 2)
+SELECT author, CAST(sum(c) AS BIGINT) AS n_texts, count(*) AS n_distinct,
+       {sql_r6('coalesce(sum(c) FILTER (c > 1), 0) / sum(c)')} AS repeated_share FROM c GROUP BY author"""))
+def e24_repeated_texts(spark, sf_dir):
+    return T.repeated_text_share(forum_with_text(spark, sf_dir).comments, "body", "author")
+
+
 @register("i7_keyword_repetition", sql(EV_CTES, TEXT_CTES, body=f"""
 , t AS (SELECT author, unnest({_clean_sql('body')}) AS tok FROM comments_t)
 SELECT author, count(*) AS n_tokens, count(DISTINCT tok) AS n_distinct,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions.numeric import sql_r6
+from threadlens.functions.sentiment import sentiment_sql, with_compound
 from threadlens.operators import timeseries as TS
-from threadlens.plans.catalog import EV_CTES, ORD_CTES, register, sql
-from threadlens.sources.roles import forum_from_events, forum_from_orders
+from threadlens.plans.catalog import EV_CTES, ORD_CTES, TEXT_CTES, register, sql
+from threadlens.sources.roles import forum_from_events, forum_from_orders, forum_with_text
 
 # ------------------------------------------------------------ shared series
 _SERIES_SQL = """
@@ -357,3 +358,33 @@ def e11_extrema_with_distance(spark, sf_dir):
     m = TS.local_extrema(ord_series(spark, sf_dir), "day", "n", BY)
     return TS.extrema_with_distance(m, "day", "n", BY, 7).select("subreddit", "day", "n", "is_peak",
                                                                  "is_peak_distance")
+
+
+@register("e22_sentiment_thirds", sql(EV_CTES, TEXT_CTES, body=", " + sentiment_sql(
+    "SELECT comment_id, body FROM comments_t", "comment_id", "body") + f"""
+, t AS (SELECT c.post_id, s.compound, ntile(3) OVER (PARTITION BY c.post_id ORDER BY c.created_utc, c.comment_id) AS third
+        FROM comments c JOIN sent s ON s.comment_id = c.comment_id),
+a AS (SELECT post_id, avg(CASE WHEN third = 1 THEN compound END) AS f, avg(CASE WHEN third = 3 THEN compound END) AS l
+      FROM t GROUP BY post_id)
+SELECT post_id, {sql_r6('f')} AS first_third_mean, {sql_r6('l')} AS last_third_mean, {sql_r6('l - f')} AS shift,
+       CAST(sign(f) <> sign(l) AS INTEGER) AS crosses_middle FROM a"""))
+def e22_sentiment_thirds(spark, sf_dir):
+    c = with_compound(forum_with_text(spark, sf_dir).comments, "body").select("comment_id", "post_id", "created_utc", "compound")
+    return TS.shift_between_thirds(c, "post_id", "created_utc", "compound", "comment_id")
+
+
+@register("e17_sentiment_bursts", sql(EV_CTES, TEXT_CTES, body=", " + sentiment_sql(
+    "SELECT comment_id, body FROM comments_t", "comment_id", "body") + f"""
+, d AS (SELECT c.src_type, date_trunc('day', c.created_utc) AS day, {sql_r6('avg(abs(s.compound))')} AS strength
+        FROM comments c JOIN sent s ON s.comment_id = c.comment_id GROUP BY 1, 2)
+SELECT src_type, CAST(day AS TIMESTAMP) AS day, strength,
+       CASE WHEN count(strength) OVER w = 7 AND strength > avg(strength) OVER w + 1.0 * stddev_samp(strength) OVER w
+            THEN 1 ELSE 0 END AS is_burst
+FROM d WINDOW w AS (PARTITION BY src_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""))
+def e17_sentiment_bursts(spark, sf_dir):
+    """Days on which the strength of a community's sentiment stands out from the seven before."""
+    from threadlens.functions.numeric import r6
+    c = with_compound(forum_with_text(spark, sf_dir).comments, "body")
+    d = c.groupBy("src_type", F.date_trunc("day", "created_utc").cast("timestamp_ntz").alias("day")).agg(
+        r6(F.avg(F.abs("compound"))).alias("strength"))
+    return TS.burst_flags(d, "day", "strength", 1.0, 7, ["src_type"])
