@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -61,6 +63,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="threadlens-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
