@@ -498,3 +498,20 @@ def cluster_events(members: DataFrame, window: str, step_days: int, share: float
     return out.select(window, "cluster", "n", "n_before", "n_after",
                       F.when(F.col(window) > F.lit(ends["a"]), word("n_before", "birth", "merge")).alias("came"),
                       F.when(F.col(window) < F.lit(ends["b"]), word("n_after", "death", "split")).alias("went"))
+
+
+def overlap_clusters(members: DataFrame, cluster: str, member: str, share: float) -> DataFrame:
+    """J19 by members: (cluster, n, meta). Two clusters are tied if they share at least ``share`` of the smaller
+    one's members; meta names the tied ones by their smallest (as text). Pairs of clusters come from the tiled pair
+    job with roles swapped, so a member of very many clusters is spread. NULLs are no members."""
+    from threadlens.session import written
+    m = written(members.select(F.col(cluster).cast("string").alias("username"), F.col(member).alias("post_id"))
+                .where("username is not null and post_id is not null").distinct(), "overlap-members")
+    size = m.groupBy("username").agg(F.count(F.lit(1)).alias("n"))
+    pairs = shared_thread_pairs(m, 1)
+    at = lambda c, n: size.select(F.col("username").alias(c), F.col("n").alias(n))
+    ties = (pairs.join(at("user1", "n1"), "user1").join(at("user2", "n2"), "user2")
+            .where(F.col("shared_interactions") >= F.lit(share) * F.least("n1", "n2")))
+    found = connected_components(ties, "user1", "user2").select(F.col("node").alias("username"), "component")
+    return size.join(found, "username", "left").select(
+        F.col("username").alias("cluster"), "n", F.coalesce("component", "username").alias("meta"))

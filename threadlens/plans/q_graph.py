@@ -524,3 +524,20 @@ def j16_cluster_events(spark, sf_dir):
     c = forum_from_events(spark, sf_dir).comments
     m = c.select(bucket("created_utc", "W").alias("window"), F.col("post_id").alias("cluster"), "author")
     return G.cluster_events(m, "window", 7, 0.3)
+
+
+@register("j19_overlap_clusters", sql(EV_CTES, body="""
+, m AS (SELECT DISTINCT CAST(post_id AS VARCHAR) || '/' || strftime(created_utc, '%Y-%m-%d') AS c, author FROM comments
+        WHERE author IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM m GROUP BY c),
+o AS (SELECT a.c AS a, b.c AS b, count(*) AS i FROM m a JOIN m b ON a.author = b.author AND a.c <> b.c GROUP BY 1, 2),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.c = o.a JOIN n y ON y.c = o.b WHERE o.i >= 0.8 * least(x.n, y.n) AND least(x.n, y.n) > 3),
+reach AS (SELECT c AS a, c AS b FROM n WHERE n > 3 UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+SELECT n.c AS cluster, n.n, min(reach.b) AS meta FROM n JOIN reach ON reach.a = n.c GROUP BY 1, 2""").replace(
+    "WITH ", "WITH RECURSIVE ", 1))
+def j19_overlap_clusters(spark, sf_dir):
+    """Daily groups of commenters of a thread (more than three), tied by shared members."""
+    c = forum_from_events(spark, sf_dir).comments.where("author is not null")
+    m = c.select(F.concat(F.col("post_id").cast("string"), F.lit("/"), F.date_format("created_utc", "yyyy-MM-dd")).alias("c"), "author").distinct()
+    big = m.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("c")
+    return G.overlap_clusters(m.join(big, "c"), "c", "author", 0.8)
