@@ -233,13 +233,6 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         both * 100 >= (F.size("of_a") + F.size("of_b") - both) * PERCENT).select("a", "b").distinct()
 
 
-def finer(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are similar by the longer signature as well."""
-    fine = materialise(fine_signatures(_texts_of(pairs, nodes, docs)).distinct(), "fine")
-    return _with_both(pairs, fine, "fine").where(
-        estimate(F.col("of_a"), F.col("of_b"), FINE_HASHES) >= MIN_FINE).select("a", "b")
-
-
 def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(band, node, component) of the bands that reach into more than one component."""
     rows = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -248,14 +241,55 @@ def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(mixed, "band", "left_semi").select("band", "node", "component")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, name: str,
-            fine: bool = False) -> tuple[DataFrame, bool]:
+def _sides(rows: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison of a band's nodes, dealt into tiles (band, i, j) of at most about BLOCK by
+    BLOCK. At most one of a pair is in the band's largest component (``main``), so all nodes stand on one
+    side and on the other those of all other components."""
+    largest = (rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+               .groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+               .select("band", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"),
+                       F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("cols")))
+    dealt = rows.join(largest, "band")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = dealt.where("cols > 0").select("band", place("rows").alias("i"), over("cols").alias("j"),
+                                           *[F.col(c).alias(f"{c}_a") for c in names], (F.col("component") == F.col("largest")).alias("main"))
+    # A column of its own, as both sides of a cogroup need.
+    band = F.col("band").bitwiseOR(F.lit(0).cast("long")).alias("band")
+    others = dealt.where("component <> largest").select(band, over("rows").alias("i"), place("cols").alias("j"),
+                                                        *[F.col(c).alias(f"{c}_b") for c in names])
+    return every, others
+
+
+def _partnered(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(band, node, component) of the nodes of a tile with a partner on the other side that lies in another component and
+    is similar by the short signature."""
+    a, b = ([np.array(t.column(f"signature_{x}").to_pylist(), np.int64).view(np.uint64) for t, x in ((left, "a"), (right, "b"))]
+            if left.num_rows and right.num_rows else (None, None))
+    ours, theirs = left.column("component_a").to_pylist(), right.column("component_b").to_pylist()
+    found = {}
+    if a is not None:
+        code = {c: k for k, c in enumerate({*ours, *theirs})}
+        unequal = np.zeros((len(a), len(b)), np.int64)
+        for k in range(a.shape[1]):
+            d = a[:, k][:, None] ^ b[:, k][None, :]
+            unequal += np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        chance = 1 / (1 << LOW_BITS)
+        near = ((1 - unequal / HASHES - chance) / (1 - chance) >= MIN_ESTIMATE - 1e-9) & (
+            np.array([code[c] for c in ours])[:, None] != np.array([code[c] for c in theirs])[None, :])
+        for rows, parts, name, at in ((left, ours, "node_a", near.any(1)), (right, theirs, "node_b", near.any(0))):
+            own = rows.column(name).to_pylist()
+            found |= {own[i]: parts[i] for i in np.flatnonzero(at).tolist()}
+    band = left.column("band")[0].as_py() if left.num_rows else None
+    return pa.table({"band": pa.array([band] * len(found), pa.int64()), "node": pa.array(list(found), pa.binary()),
+                     "component": pa.array(list(found.values()), pa.binary())})
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """The classes with the confirmed ones of the pairs (a, b), and whether there were any."""
     pairs = materialise(pairs.distinct(), f"pairs-{name}")
     if pairs.isEmpty():
         return classes, False
-    if fine:
-        pairs = materialise(finer(pairs, nodes, docs), f"fine-pairs-{name}")
     found = materialise(confirm(pairs, nodes, docs), f"links-{name}")
     if found.isEmpty():
         return classes, False
@@ -294,23 +328,24 @@ def _rows(docs: DataFrame) -> DataFrame:
             break
 
     # Then all that still shares a band and is similar by both signatures, but lies in two
-    # components. At most one of a pair is in the band's largest component, so the others are
-    # compared with all, in blocks, by the short signature; the longer one is made for pairs found.
+    # components. The short signature first tells, tile by tile, which nodes have such a partner at all;
+    # only for these the longer one is made and moved, and only pairs that pass both come out.
     apart = materialise(_apart(members, classes), "apart")
-    largest = (apart.groupBy("band", "component").agg(F.count("*").alias("n"))
-               .groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"))
-               .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    dealt = apart.join(largest, "band").join(nodes.select("node", "signature"), "node")
-    names = ("node", "component", "signature")
-    every = dealt.select("band", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
-                         *[F.col(c).alias(f"{c}_a") for c in names], (F.col("component") == F.col("largest")).alias("main"))
-    others = dealt.where("component <> largest").select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in names])
+    every, others = _sides(apart.join(nodes.select("node", "signature"), "node"), ("node", "component", "signature"))
+    tile = ("band", "i", "j")
+    partnered = materialise(every.groupBy(*tile).cogroup(others.groupBy(*tile)).applyInArrow(
+        _partnered, "band long, node binary, component binary").distinct(), "partnered")
+    asked = partnered.select("node").distinct().join(nodes, "node")
+    fine = materialise(fine_signatures(_texts_of(asked.select(F.col("node").alias("a"), F.col("node").alias("b")), nodes, docs))
+                       .dropDuplicates(["node"]).join(asked.select("node", "signature", "bands"), "node"), "fine")
+    every, others = _sides(partnered.join(fine, "node"), ("node", "component", "signature", "bands", "fine"))
+    first = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
     meet = F.expr("component_a <> component_b and (main or node_a < node_b)") & (
-        estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE)
-    left = every.join(others, ["band", "block"]).where(meet)
+        estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE) & (first == F.col("band")) & (
+        estimate(F.col("fine_a"), F.col("fine_b"), FINE_HASHES) >= MIN_FINE)
+    left = every.join(others, list(tile)).where(meet)
     classes, _ = _linked(left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")),
-                         nodes, docs, classes, "rest", fine=True)
+                         nodes, docs, classes, "rest")
 
     named = nodes.select("node").join(classes, "node", "left").select(
         F.col("node").alias("digest"), F.coalesce("component", "node").alias("component"))
