@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.functions.numeric import r6, sql_r6
 from threadlens.plans.catalog import EV_CTES, register, sql
 from threadlens.session import scratch_path
 from threadlens.sources.roles import forum_from_events, read_table, thread_key
@@ -109,18 +110,18 @@ def l5_stream_static_join(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", F.col("k").alias("post_id"), "subreddit")
 
 
-@register("l6_stream_alerts", """
+@register("l6_stream_alerts", f"""
 WITH c AS (SELECT event_type AS key, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2),
 closed AS (SELECT * FROM c WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
 h AS (SELECT *, count(*) OVER w AS known, coalesce(avg(n) OVER w, 0) AS mean, coalesce(stddev_samp(n) OVER w, 0) AS std
       FROM closed WINDOW w AS (PARTITION BY key ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT key, window_start, n, round(mean, 4) AS mean, round(std, 4) AS std,
+SELECT key, window_start, n, {sql_r6('mean')} AS mean, {sql_r6('std')} AS std,
        CAST(known >= 6 AND n > mean + 2 * std + 1e-9 AS INTEGER) AS alert FROM h""")
 def l6_stream_alerts(spark, sf_dir):
     out, ckpt = scratch_path(spark, "l6-out"), scratch_path(spark, "l6-ckpt")
     _in_arrivals(spark, sf_dir, lambda s: S.stream_alerts(s, "ts", "event_type", "1 hour", out, ckpt))
     told = _ntz(spark.read.parquet(out).drop("batch_id"), ["window_start"])
-    return told.withColumn("mean", F.round("mean", 4)).withColumn("std", F.round("std", 4))
+    return told.withColumn("mean", r6("mean")).withColumn("std", r6("std"))
 
 
 @register("l7_new_users_per_day", """
