@@ -38,8 +38,10 @@ def zero_filled_counts(df: DataFrame, ts: str, freq: str, name: str = "n",
                        extra_aggs: Sequence = ()) -> DataFrame:
     """Counts per bucket for every bucket between the first and the last
     event; empty buckets get 0 (``resample().size()``)."""
+    from threadlens.session import written
     b = df.withColumn("bucket", bucket(ts, freq))
-    counts = b.groupBy("bucket").agg(F.count(F.lit(1)).alias(name), *extra_aggs)
+    # a row per bucket, written: it is read for its range and for the result
+    counts = written(b.groupBy("bucket").agg(F.count(F.lit(1)).alias(name), *extra_aggs), "bucket-counts")
     rng = counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).first()
     if rng["a"] is None:
         return counts

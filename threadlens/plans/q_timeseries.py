@@ -369,7 +369,8 @@ a AS (SELECT post_id, avg(CASE WHEN third = 1 THEN compound END) AS f, avg(CASE
 SELECT post_id, {sql_r6('f')} AS first_third_mean, {sql_r6('l')} AS last_third_mean, {sql_r6('l - f')} AS shift,
        CAST(sign(f) <> sign(l) AS INTEGER) AS crosses_middle FROM a"""))
 def e22_sentiment_thirds(spark, sf_dir):
-    c = with_compound(forum_with_text(spark, sf_dir).comments, "body").select("comment_id", "post_id", "created_utc", "compound")
+    from threadlens.plans.q_text import scored_comments
+    c = scored_comments(spark, sf_dir).select("comment_id", "post_id", "created_utc", "compound")
     return TS.shift_between_thirds(c, "post_id", "created_utc", "compound", "comment_id")
 
 
