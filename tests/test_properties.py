@@ -655,3 +655,35 @@ def test_elimination_keeps_what_scores(spark):
     assert [r.n_features for r in got] == [4, 2, 1] and sum(r.chosen for r in got) == 1 and got == run()
     chosen = next(r for r in got if r.chosen)
     assert 1 in chosen.features and chosen.f1 == max(r.f1 for r in got) > 0.95
+
+
+def test_candidate_pairs_are_not_shuffled(spark):
+    """Pairs are counted where a tile's users meet: between the tiles' exchange and the count there is no other."""
+    from collections import Counter
+    from itertools import combinations
+
+    from threadlens.operators.graph import shared_thread_pairs
+    rnd = random.Random(11)
+    rows = sorted({(f"u{rnd.randrange(60)}", rnd.randrange(25), k) for _ in range(2500) for k in (0, 1)})
+    up = spark.createDataFrame(rows, "username string, post_id long, k int")
+    for keys in ([], ["k"]):
+        one = up if keys else up.where("k = 0").drop("k")
+        crowd = {}
+        for u, p, k in rows:
+            if keys or k == 0:
+                crowd.setdefault((k, p), []).append(u)
+        want = Counter((k if keys else 0, *pair) for (k, _), us in crowd.items() for pair in combinations(sorted(us), 2))
+        df = shared_thread_pairs(one, 3, chunk_users=8, keys=keys)
+        got = {(r.k if keys else 0, r.user1, r.user2): r.shared_interactions for r in df.collect()}
+        assert got == {p: n for p, n in want.items() if n >= 3} and got
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        last = [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in ln
+                and "u#" in ln and "v#" in ln]
+        assert not last and "collect_list" in plan
+
+
+def test_degrees_take_one_pass(spark):
+    from threadlens.operators.graph import degree_centrality
+    edges = spark.createDataFrame([("a", "b", 2), ("a", "c", 3), ("b", "c", 1), ("a", "d", 4)], "user1 string, user2 string, weight long")
+    got = {r.username: (r.degree, r.weighted_degree, r.degree_centrality) for r in degree_centrality(edges).collect()}
+    assert got == {"a": (3, 9, 1.0), "b": (2, 3, 0.666667), "c": (2, 4, 0.666667), "d": (1, 4, 0.333333)}
