@@ -152,3 +152,12 @@ def test_a_language_of_copies_is_learned(spark):
     rows += [(f"the cat number {i} sits in the house and looks out of the window", "en") for i in range(400)]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"), train_rows=50)
     assert model.predict([rows[0][0], rows[-1][0]])[0] == ["es", "en"]
+
+
+def test_every_round_learns_from_all_texts(spark, monkeypatch):
+    from threadlens.llm import hmm
+    texts = spark.createDataFrame([(f"w{i % 7} w{i % 3} w{i}",) for i in range(40)], "text string")
+    taken, whole = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda t, vocab, model: taken.append(t.count()) or whole(t, vocab, model))
+    hmm.train(texts)
+    assert taken == [40] * hmm.ROUNDS and hmm.ROUNDS > 1

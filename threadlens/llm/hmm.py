@@ -28,8 +28,7 @@ STATES = 8
 OWN_SYMBOLS = 4096
 SHARED_SYMBOLS = 2048
 HOT_WORDS = 1 << 19
-WARM_UP_PART, WARM_UP_ROUNDS = 8, 6      # first rounds of Baum-Welch, over an eighth of the training texts
-ROUNDS = 1                               # over all of them
+ROUNDS = 2                               # of Baum-Welch, each over all training texts
 BATCH_TOKENS = 200_000
 SEGMENT = 50_000                         # positions of one text held at once
 END = b"\n"                              # no word has white space in it
@@ -309,16 +308,12 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Model) -> Model:
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
-    """Token counts, vocabulary and model of all rows of (text). The first rounds take one in
-    WARM_UP_PART of them, by a hash of the text, at every size; counts and the round after them take all."""
+    """Token counts, vocabulary and model of all rows of (text); counts and every round take all of them."""
     prepare_workers(texts.sparkSession)
     texts = texts.select("text")
     counts = materialise(count_tokens(texts), "hmm-counts")
     vocab = vocabulary(counts)
     model = Model.first(vocab.symbols)
-    sample = materialise(texts.where(F.pmod(F.xxhash64("text"), F.lit(WARM_UP_PART)) == 0), "hmm-sample")
-    for _ in range(WARM_UP_ROUNDS):
-        model = baum_welch(sample, vocab, model)
     for _ in range(ROUNDS):
         model = baum_welch(texts, vocab, model)
     return counts, vocab, model
