@@ -71,6 +71,26 @@ def test_links_match_brute_force(spark):
     assert all(r["kept"] == (r["component_id"] == k) and r["n_shingles"] == len(shingles(texts[k])) for k, r in got.items())
 
 
+def test_few_partners_move_as_pairs(spark, monkeypatch):
+    """Nodes of small bands that are similar but not enough to be linked come out once a pair, not once a band."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        texts += family(rng, 3, [f"w{rng.randrange(4000)}" for _ in range(150)], 4)
+    rows, seen, keep = list(enumerate(texts)), {}, neardup.materialise
+
+    def watched(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(neardup, "materialise", watched)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    moved = [r.asDict() for r in seen["partnered"].collect()]
+    assert moved and all(r["band"] is None and r["other"] is not None for r in moved) and len(moved) <= 3 * 12
+    assert dict(seen["members"].dtypes) == {"node": "bigint", "band": "bigint"}
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(edges).collect()}

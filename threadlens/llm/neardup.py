@@ -5,10 +5,11 @@ bits of every minimum are packed into a signature of 60 bytes. Documents that sh
 are candidates, the equal bits of their signatures estimate their similarity (corrected
 for chance agreement), and what the estimate leaves is confirmed on full shingle sets.
 
-No group is spread into all its pairs. Equal sets are one node. In a few rounds each node is
-tried with one other of its bands, and the links make components; only then are nodes of
-one band but different components compared, by signature inside the join, so rows come
-out for those alone that may yet connect two components.
+No group is spread into all its pairs. Equal sets are one node, named by a number. In a few rounds
+each node is tried with one other of its bands, and the links make components; only then are nodes
+of one band but different components compared, by signature inside the join, so rows come
+out for those alone that may yet connect two components. Rows of (band, node) hold numbers only;
+signatures and sets move with the pairs that are tried, never with the bands.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ MIN_ESTIMATE = 0.60
 # Before what is left is confirmed, a longer signature of the nodes in question narrows it:
 # its standard deviation is 0.0115, so the limit is as safe as the one above.
 FINE_HASHES, MIN_FINE = 2048, 0.697
-STAND_INS = 4              # members that stand for a band in a round
+STAND_INS = 2              # members that stand for a band in a round
 ROUNDS = 3                 # of one try a node, before what is left is compared in full
 BLOCK = 256                # nodes of a band that others are compared with in one task
+FEW = 8                    # partners in a band of one tile up to which a node's pairs move, not its rows
 KEY = "__threadlens_key"
 _STEP = 1024               # shingles of one document hashed at once
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -52,6 +54,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = (_seeds.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _seeds.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint64).astype(np.uint32)
+_SALTS = [int(x) for x in _seeds.integers(0, 1 << 63, 64)]    # XOR with one puts nodes into another order
 _PLACE = _mix(np.arange(1, 2 * SHINGLE + BANDS + ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -146,17 +149,19 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _of_sets(texts: DataFrame, name: str, longs) -> DataFrame:
-    """(node, name): an array of 64-bit numbers made of each text's shingle set, which its digest names."""
+    """(node, name): an array of 64-bit numbers made of the shingle set of each text (node, digest, text)
+    that has the node's digest."""
     prepare_workers(texts.sparkSession)
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s)]
+            rows = [(n, s) for n, d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
+                                              shingle_sets(b.column(2).to_pylist())) if _digest(s) == d]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(s) for s in sets], pa.binary()),
-                 pa.array([longs(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", name])
+                [pa.array([n for n, _ in rows], pa.int64()),
+                 pa.array([longs(s).view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["node", name])
 
-    return texts.select("text").mapInArrow(of_batch, f"node binary, `{name}` array<long>")
+    return texts.select("node", "digest", "text").mapInArrow(of_batch, f"node long, `{name}` array<long>")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -211,10 +216,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The texts (one a node, or repeated rows) that the nodes of the pairs (a, b) stand for."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "key"), "node")
+    """(node, digest, text): the texts (one a node, or repeated rows) that the nodes of the pairs (a, b) stand for."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        nodes.select("node", "digest", "doc_id", "key"), "node")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").join(
-        wanted.select("doc_id", "key"), ["doc_id", "key"], "left_semi")
+        wanted, ["doc_id", "key"]).select("node", "digest", "text")
 
 
 def _with_both(pairs: DataFrame, of_node: DataFrame, name: str) -> DataFrame:
@@ -233,9 +239,32 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         both * 100 >= (F.size("of_a") + F.size("of_b") - both) * PERCENT).select("a", "b").distinct()
 
 
+def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _tries(members: DataFrame, nodes: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node and the most similar one, by signature, of the nodes that stand for its bands this
+    turn and lie in another component. The same few nodes stand for all bands they share, so the distinct
+    pairs are far fewer than the rows of the bands."""
+    rows = _with_component(members, classes)
+    salts = [F.lit(x) for x in _SALTS[turn * STAND_INS:(turn + 1) * STAND_INS]]
+    some = rows.groupBy("band").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        *[F.min(F.col("node").bitwiseXOR(x)).alias(f"s{i}") for i, x in enumerate(salts)]).where("lo < hi").select(
+        "band", F.array_distinct(F.array(*[F.col(f"s{i}").bitwiseXOR(x) for i, x in enumerate(salts)])).alias("some"))
+    pairs = rows.join(some, "band").select("node", "component", F.explode("some").alias("other")).where("node <> other").distinct()
+    theirs = classes.select(F.col("node").alias("other"), F.col("component").alias("theirs"))
+    pairs = pairs.join(theirs, "other", "left").where(F.col("component") != F.coalesce("theirs", "other")).select(
+        F.col("node").alias("a"), F.col("other").alias("b"))
+    alike = estimate(F.col("of_a"), F.col("of_b"))
+    return (_with_both(pairs, nodes, "signature").select("a", F.struct(alike.alias("e"), "b").alias("t"))
+            .where(F.col("t.e") >= MIN_ESTIMATE).groupBy("a").agg(F.max("t").alias("t")).select("a", "t.b"))
+
+
 def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(band, node, component) of the bands that reach into more than one component."""
-    rows = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = _with_component(members, classes)
     mixed = (rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("band"))
     return rows.join(mixed, "band", "left_semi").select("band", "node", "component")
@@ -253,7 +282,8 @@ def _sides(rows: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, DataFram
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = dealt.where("cols > 0").select("band", place("rows").alias("i"), over("cols").alias("j"),
-                                           *[F.col(c).alias(f"{c}_a") for c in names], (F.col("component") == F.col("largest")).alias("main"))
+                                           *[F.col(c).alias(f"{c}_a") for c in names], (F.col("component") == F.col("largest")).alias("main"),
+                                           (F.col("rows") == 1).alias("alone"))
     # A column of its own, as both sides of a cogroup need.
     band = F.col("band").bitwiseOR(F.lit(0).cast("long")).alias("band")
     others = dealt.where("component <> largest").select(band, over("rows").alias("i"), place("cols").alias("j"),
@@ -262,12 +292,13 @@ def _sides(rows: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, DataFram
 
 
 def _partnered(left: pa.Table, right: pa.Table) -> pa.Table:
-    """(band, node, component) of the nodes of a tile with a partner on the other side that lies in another component and
-    is similar by the short signature."""
+    """The partners in a tile: nodes of both sides that lie in different components and are similar by the short
+    signature. In a band of one tile, pairs with an end that has few partners come out as (node, other), which is
+    little and the same in all bands they share; for all others (band, node, component) of both ends."""
     a, b = ([np.array(t.column(f"signature_{x}").to_pylist(), np.int64).view(np.uint64) for t, x in ((left, "a"), (right, "b"))]
             if left.num_rows and right.num_rows else (None, None))
     ours, theirs = left.column("component_a").to_pylist(), right.column("component_b").to_pylist()
-    found = {}
+    found, few = {}, []
     if a is not None:
         code = {c: k for k, c in enumerate({*ours, *theirs})}
         unequal = np.zeros((len(a), len(b)), np.int64)
@@ -277,12 +308,19 @@ def _partnered(left: pa.Table, right: pa.Table) -> pa.Table:
         chance = 1 / (1 << LOW_BITS)
         near = ((1 - unequal / HASHES - chance) / (1 - chance) >= MIN_ESTIMATE - 1e-9) & (
             np.array([code[c] for c in ours])[:, None] != np.array([code[c] for c in theirs])[None, :])
-        for rows, parts, name, at in ((left, ours, "node_a", near.any(1)), (right, theirs, "node_b", near.any(0))):
-            own = rows.column(name).to_pylist()
+        nodes_a, nodes_b = left.column("node_a").to_pylist(), right.column("node_b").to_pylist()
+        if left.column("alone")[0].as_py():
+            light = near & ((near.sum(1) <= FEW)[:, None] | (near.sum(0) <= FEW)[None, :])
+            few = sorted({tuple(sorted((nodes_a[i], nodes_b[j]))) for i, j in np.argwhere(light).tolist()})
+            near &= ~light
+        for own, parts, at in ((nodes_a, ours, near.any(1)), (nodes_b, theirs, near.any(0))):
             found |= {own[i]: parts[i] for i in np.flatnonzero(at).tolist()}
     band = left.column("band")[0].as_py() if left.num_rows else None
-    return pa.table({"band": pa.array([band] * len(found), pa.int64()), "node": pa.array(list(found), pa.binary()),
-                     "component": pa.array(list(found.values()), pa.binary())})
+    nothing = [None] * len(few)
+    return pa.table({"band": pa.array([band] * len(found) + nothing, pa.int64()),
+                     "node": pa.array([*found, *[x for x, _ in few]], pa.int64()),
+                     "component": pa.array([*found.values(), *nothing], pa.int64()),
+                     "other": pa.array([None] * len(found) + [x for _, x in few], pa.int64())})
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> tuple[DataFrame, bool]:
@@ -299,56 +337,50 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFr
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n_shingles, digest, component) per row; component is null for rows without an id
-    or words, else the smallest node (set digest) connected with the row's."""
+    or words, else the smallest node connected with the row's."""
     signed = materialise(sign(docs), "signatures")
-    # A node is a set, named by its digest; its smallest document gives its text.
-    nodes = materialise(signed.where("doc_id is not null and digest is not null").groupBy(F.col("digest").alias("node")).agg(
+    # A node is a set; its smallest document gives its text.
+    nodes = materialise(signed.where("doc_id is not null and digest is not null").groupBy("digest").agg(
         F.min(F.struct("doc_id", "key")).alias("text"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-        .select("node", "text.doc_id", "text.key", "signature", "bands"), "nodes")
+        .select(F.monotonically_increasing_id().alias("node"), "digest", "text.doc_id", "text.key", "signature", "bands"), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = materialise(banded.join(shared, "band"), "members")
     classes = materialise(members.select("node", F.col("node").alias("component")).limit(0), "classes")
 
-    # Rounds of one try a node, so pairs stay as many as nodes: in each band a few members,
-    # others each round, stand for the band, and a node is tried with the most similar one,
-    # by signature, that lies in another component.
+    # Rounds of one try a node, so pairs that are confirmed stay as many as nodes: in each band a few
+    # members, others each round, stand for the band.
     for turn in range(ROUNDS):
-        apart = _apart(members, classes).join(nodes.select("node", "signature"), "node")
-        who = F.struct("node", "component", "signature")
-        some = apart.groupBy("band").agg(F.array(*[
-            F.min_by(who, F.xxhash64("node", F.lit(turn * STAND_INS + i))) for i in range(STAND_INS)]).alias("some"))
-        tries = F.transform(F.filter("some", lambda p: p["component"] != F.col("component")),
-                            lambda p: F.struct(estimate(F.col("signature"), p["signature"]).alias("e"), p["node"].alias("other")))
-        best = (apart.join(some, "band").select("node", F.array_max(tries).alias("t")).where(F.col("t.e") >= MIN_ESTIMATE)
-                .groupBy("node").agg(F.max("t").alias("t")))
-        classes, more = _linked(best.select(F.least("node", "t.other").alias("a"), F.greatest("node", "t.other").alias("b")),
+        best = _tries(members, nodes, classes, turn)
+        classes, more = _linked(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
                                 nodes, docs, classes, f"round-{turn}")
         if not more:
             break
 
     # Then all that still shares a band and is similar by both signatures, but lies in two
-    # components. The short signature first tells, tile by tile, which nodes have such a partner at all;
-    # only for these the longer one is made and moved, and only pairs that pass both come out.
+    # components. The short signature first tells, tile by tile, the pairs of nodes with few such partners
+    # and which other nodes have one at all; only for these the longer one is made and moved.
     apart = materialise(_apart(members, classes), "apart")
     every, others = _sides(apart.join(nodes.select("node", "signature"), "node"), ("node", "component", "signature"))
     tile = ("band", "i", "j")
-    partnered = materialise(every.groupBy(*tile).cogroup(others.groupBy(*tile)).applyInArrow(
-        _partnered, "band long, node binary, component binary").distinct(), "partnered")
-    asked = partnered.select("node").distinct().join(nodes, "node")
-    fine = materialise(fine_signatures(_texts_of(asked.select(F.col("node").alias("a"), F.col("node").alias("b")), nodes, docs))
-                       .dropDuplicates(["node"]).join(asked.select("node", "signature", "bands"), "node"), "fine")
-    every, others = _sides(partnered.join(fine, "node"), ("node", "component", "signature", "bands", "fine"))
+    partners = materialise(every.groupBy(*tile).cogroup(others.groupBy(*tile)).applyInArrow(
+        _partnered, "band long, node long, component long, other long").distinct(), "partnered")
+    partnered = partners.where("other is null").drop("other")
+    few = partners.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    ends = partners.select(F.col("node").alias("a"), F.coalesce("other", "node").alias("b"))
+    fine = materialise(fine_signatures(_texts_of(ends, nodes, docs)).dropDuplicates(["node"]), "fine")
+    near = _with_both(few, fine, "fine").where(estimate(F.col("of_a"), F.col("of_b"), FINE_HASHES) >= MIN_FINE).select("a", "b")
+    every, others = _sides(partnered.join(fine, "node").join(nodes.select("node", "signature", "bands"), "node"),
+                           ("node", "component", "signature", "bands", "fine"))
     first = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
     meet = F.expr("component_a <> component_b and (main or node_a < node_b)") & (
         estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE) & (first == F.col("band")) & (
         estimate(F.col("fine_a"), F.col("fine_b"), FINE_HASHES) >= MIN_FINE)
     left = every.join(others, list(tile)).where(meet)
-    classes, _ = _linked(left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")),
+    classes, _ = _linked(left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).unionAll(near),
                          nodes, docs, classes, "rest")
 
-    named = nodes.select("node").join(classes, "node", "left").select(
-        F.col("node").alias("digest"), F.coalesce("component", "node").alias("component"))
+    named = _with_component(nodes.select("node", "digest"), classes).select("digest", "component")
     rows = signed.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return rows.join(named, "digest", "left")
 
