@@ -348,8 +348,11 @@ def elimination_by_score(df: DataFrame, vec: str, label: str, id_col: str, folds
     from pyspark.ml.feature import VectorSlicer
     from threadlens.session import written
     rows = written(df.select(F.col(vec).alias("_all"), F.col(label).cast("double").alias("_y"),
-                             F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).alias("_fold"))
-                   .where("_all is not null and _y is not null"), "elimination")
+                             F.xxhash64(F.col(id_col), F.lit(seed)).alias("_hash"))
+                   .where("_all is not null and _y is not null")
+                   .withColumn("_fold", F.pmod("_hash", F.lit(folds))), "elimination")
+    # A forest draws rows by partition and place, and files come back in no fixed order, so rows get a place of their own.
+    rows = rows.repartition(1 + rows.count() // 20_000, "_hash").sortWithinPartitions("_hash", "_y", F.hash("_all"))
     judge = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction", metricName="f1")
     idx, told = list(range(len(rows.select("_all").first()[0]))), []
     while True:
