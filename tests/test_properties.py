@@ -551,6 +551,25 @@ def test_knn_index_leaves_most_pairs_out(spark):
     assert sum(r.compared for r in got.values()) < len(pts) ** 2 / 4
 
 
+def test_knn_measures_candidates_only_and_in_pieces(spark, monkeypatch):
+    """Bounds are made for a block's mean against all blocks and for its rows against the blocks near it only;
+    vectors leave a task in pieces, and the result is that of brute force."""
+    import numpy as np
+    from threadlens.operators import knn
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2))
+    index = knn.Directory(x[:20].copy(), [(i, i % 20, 0.01 * i, 0.01 * i + 0.02) for i in range(60)])
+    cell, block = np.arange(5) % 20, np.arange(5)
+    some = np.array([3, 17, 40])
+    assert np.array_equal(index.bounds(x[:5], cell, block)[:, some], index.bounds(x[:5], cell, block, some))
+    monkeypatch.setattr(knn, "_OUT", 100)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = {r.id: r.distances for r in knn.nearest(df, "id", "v", k=3, block=32, pivots=8).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = np.sort(d, axis=1)[:, 1:4]
+    assert len(got) == 3000 and all(np.allclose(got[i], want[i]) for i in range(3000))
+
+
 def test_knn_of_unusable_vectors(spark):
     from threadlens.operators.knn import knn_distance
     inf = float("inf")
