@@ -91,6 +91,27 @@ def test_few_partners_move_as_pairs(spark, monkeypatch):
     assert dict(seen["members"].dtypes) == {"node": "bigint", "band": "bigint"}
 
 
+def test_component_stands_for_its_bands(spark, monkeypatch):
+    """What lies next to a large component is compared with its nodes once, not once in each of the bands they share, and
+    texts that share no band move no further."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    texts = family(rng, 60, base, 1) + family(rng, 12, base, 4) + [" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows, seen, keep = list(enumerate(texts)), {}, neardup.materialise
+
+    def watched(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(neardup, "materialise", watched)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    whole = seen["groups"].where("whole")
+    assert 0 < whole.count() == whole.select("band", "node").distinct().count() <= 72
+    assert seen["groups"].count() * 3 < seen["apart"].count()
+    assert seen["texts"].count() <= 72
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(edges).collect()}

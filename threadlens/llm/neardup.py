@@ -215,12 +215,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, digest, text): the texts (one a node, or repeated rows) that the nodes of the pairs (a, b) stand for."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
-        nodes.select("node", "digest", "doc_id", "key"), "node")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").join(
-        wanted, ["doc_id", "key"]).select("node", "digest", "text")
+def _member_texts(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, digest, text), a materialised table: the texts (one a node, or repeated rows) of the nodes that share a
+    band with another. Only these are ever compared, so all other texts move once and no more."""
+    wanted = members.select("node").distinct().join(nodes.select("node", "digest", "doc_id", "key"), "node")
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").join(
+        wanted, ["doc_id", "key"]).select("node", "digest", "text"), "texts")
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, digest, text) of the nodes of the pairs (a, b)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return texts.join(wanted, "node", "left_semi")
 
 
 def _with_both(pairs: DataFrame, of_node: DataFrame, name: str) -> DataFrame:
@@ -230,10 +236,10 @@ def _with_both(pairs: DataFrame, of_node: DataFrame, name: str) -> DataFrame:
             .join(of_node.select(F.col("node").alias("b"), F.col(name).alias("of_b")), "b"))
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The distinct pairs (a, b), a materialised table, whose full sets have 100 * intersection >= 75 * union. Sets are made
     anew from the texts of the nodes in question only."""
-    sets = materialise(full_sets(_texts_of(pairs, nodes, docs)), "sets")
+    sets = materialise(full_sets(_texts_of(pairs, texts)), "sets")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return _with_both(pairs, sets, "set").where(
         both * 100 >= (F.size("of_a") + F.size("of_b") - both) * PERCENT).select("a", "b").distinct()
@@ -270,31 +276,56 @@ def _apart(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(mixed, "band", "left_semi").select("band", "node", "component")
 
 
-def _sides(rows: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the comparison of a band's nodes, dealt into tiles (band, i, j) of at most about BLOCK by
-    BLOCK. At most one of a pair is in the band's largest component (``main``), so all nodes stand on one
-    side and on the other those of all other components."""
-    largest = (rows.groupBy("band", "component").agg(F.count("*").alias("n"))
-               .groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-               .select("band", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"),
+def _groups(apart: DataFrame, classes: DataFrame) -> DataFrame:
+    """(whole, band, node, component): what is compared, a band's nodes or (``whole``, named by the component) those of
+    a component and all nodes next to it.
+
+    Bands that lie mostly in one component hold much the same nodes, over and over. Where a component makes half
+    of a band or more, and the band holds a quarter of the component or more, the component stands for the band:
+    its nodes come once instead of once a band. So at most four times the pairs of the bands are compared.
+    """
+    sizes = classes.groupBy(F.col("component").alias("largest")).agg(F.count("*").alias("size"))
+    covered = (apart.groupBy("band", "component").agg(F.count("*").alias("n"))
+               .groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+               .select("band", F.col("top.component").alias("largest"), F.col("top.n").alias("n"), "all")
+               .join(sizes, "largest").where("2 * n >= all and 4 * n >= size").select("band", "largest"))
+    covered = materialise(covered, "covered")
+    rest = apart.join(covered, "band", "left_anti").select(F.lit(False).alias("whole"), "band", "node", "component")
+    near = apart.join(covered, "band").where("component <> largest").select(
+        F.lit(True).alias("whole"), F.col("largest").alias("band"), "node", "component").distinct()
+    own = classes.join(covered.select(F.col("largest").alias("component")).distinct(), "component", "left_semi").select(
+        F.lit(True).alias("whole"), F.col("component").alias("band"), "node", "component")
+    return rest.unionAll(near).unionAll(own)
+
+
+def _sides(rows: DataFrame, of_node: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison of a group's nodes, dealt into tiles (whole, band, i, j) of at most about BLOCK by
+    BLOCK, with the columns of ``of_node``. At most one of a pair is in the group's largest component (``main``), so all
+    nodes stand on one side and on the other those of all other components. What a node carries joins it once it is dealt."""
+    group = ["whole", "band"]
+    largest = (rows.groupBy(*group, "component").agg(F.count("*").alias("n"))
+               .groupBy(*group).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+               .select(*group, F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"),
                        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("cols")))
-    dealt = rows.join(largest, "band")
+    dealt = rows.join(largest, group)
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    every = dealt.where("cols > 0").select("band", place("rows").alias("i"), over("cols").alias("j"),
-                                           *[F.col(c).alias(f"{c}_a") for c in names], (F.col("component") == F.col("largest")).alias("main"),
-                                           (F.col("rows") == 1).alias("alone"))
-    # A column of its own, as both sides of a cogroup need.
-    band = F.col("band").bitwiseOR(F.lit(0).cast("long")).alias("band")
-    others = dealt.where("component <> largest").select(band, over("rows").alias("i"), place("cols").alias("j"),
-                                                        *[F.col(c).alias(f"{c}_b") for c in names])
+    carried = lambda x: of_node.select(*[F.col(c).alias(f"{c}_{x}") for c in of_node.columns])
+    every = dealt.where("cols > 0").select(
+        *group, place("rows").alias("i"), over("cols").alias("j"), F.col("node").alias("node_a"), F.col("component").alias("component_a"),
+        (F.col("component") == F.col("largest")).alias("main"), (F.col("rows") == 1).alias("alone")).join(carried("a"), "node_a")
+    # Columns of their own, as both sides of a cogroup need.
+    whole, band = (F.col("whole") | F.lit(False)).alias("whole"), F.col("band").bitwiseOR(F.lit(0).cast("long")).alias("band")
+    others = dealt.where("component <> largest").select(
+        whole, band, over("rows").alias("i"), place("cols").alias("j"), F.col("node").alias("node_b"),
+        F.col("component").alias("component_b")).join(carried("b"), "node_b")
     return every, others
 
 
 def _partnered(left: pa.Table, right: pa.Table) -> pa.Table:
     """The partners in a tile: nodes of both sides that lie in different components and are similar by the short
     signature. In a band of one tile, pairs with an end that has few partners come out as (node, other), which is
-    little and the same in all bands they share; for all others (band, node, component) of both ends."""
+    little and the same in all bands they share; for all others (whole, band, node, component) of both ends."""
     a, b = ([np.array(t.column(f"signature_{x}").to_pylist(), np.int64).view(np.uint64) for t, x in ((left, "a"), (right, "b"))]
             if left.num_rows and right.num_rows else (None, None))
     ours, theirs = left.column("component_a").to_pylist(), right.column("component_b").to_pylist()
@@ -315,20 +346,21 @@ def _partnered(left: pa.Table, right: pa.Table) -> pa.Table:
             near &= ~light
         for own, parts, at in ((nodes_a, ours, near.any(1)), (nodes_b, theirs, near.any(0))):
             found |= {own[i]: parts[i] for i in np.flatnonzero(at).tolist()}
-    band = left.column("band")[0].as_py() if left.num_rows else None
+    whole, band = (left.column(c)[0].as_py() if left.num_rows else None for c in ("whole", "band"))
     nothing = [None] * len(few)
-    return pa.table({"band": pa.array([band] * len(found) + nothing, pa.int64()),
+    return pa.table({"whole": pa.array([whole] * len(found) + nothing, pa.bool_()),
+                     "band": pa.array([band] * len(found) + nothing, pa.int64()),
                      "node": pa.array([*found, *[x for x, _ in few]], pa.int64()),
                      "component": pa.array([*found.values(), *nothing], pa.int64()),
                      "other": pa.array([None] * len(found) + [x for _, x in few], pa.int64())})
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> tuple[DataFrame, bool]:
+def _linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """The classes with the confirmed ones of the pairs (a, b), and whether there were any."""
     pairs = materialise(pairs.distinct(), f"pairs-{name}")
     if pairs.isEmpty():
         return classes, False
-    found = materialise(confirm(pairs, nodes, docs), f"links-{name}")
+    found = materialise(confirm(pairs, texts), f"links-{name}")
     if found.isEmpty():
         return classes, False
     known = classes.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
@@ -346,6 +378,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = materialise(banded.join(shared, "band"), "members")
+    texts = _member_texts(members, nodes, docs)
     classes = materialise(members.select("node", F.col("node").alias("component")).limit(0), "classes")
 
     # Rounds of one try a node, so pairs that are confirmed stay as many as nodes: in each band a few
@@ -353,32 +386,32 @@ def _rows(docs: DataFrame) -> DataFrame:
     for turn in range(ROUNDS):
         best = _tries(members, nodes, classes, turn)
         classes, more = _linked(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                                nodes, docs, classes, f"round-{turn}")
+                                texts, classes, f"round-{turn}")
         if not more:
             break
 
     # Then all that still shares a band and is similar by both signatures, but lies in two
     # components. The short signature first tells, tile by tile, the pairs of nodes with few such partners
     # and which other nodes have one at all; only for these the longer one is made and moved.
-    apart = materialise(_apart(members, classes), "apart")
-    every, others = _sides(apart.join(nodes.select("node", "signature"), "node"), ("node", "component", "signature"))
-    tile = ("band", "i", "j")
+    groups = materialise(_groups(materialise(_apart(members, classes), "apart"), classes), "groups")
+    every, others = _sides(groups, nodes.select("node", "signature"))
+    tile = ["whole", "band", "i", "j"]
     partners = materialise(every.groupBy(*tile).cogroup(others.groupBy(*tile)).applyInArrow(
-        _partnered, "band long, node long, component long, other long").distinct(), "partnered")
+        _partnered, "whole boolean, band long, node long, component long, other long").distinct(), "partnered")
     partnered = partners.where("other is null").drop("other")
     few = partners.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     ends = partners.select(F.col("node").alias("a"), F.coalesce("other", "node").alias("b"))
-    fine = materialise(fine_signatures(_texts_of(ends, nodes, docs)).dropDuplicates(["node"]), "fine")
+    fine = materialise(fine_signatures(_texts_of(ends, texts)).dropDuplicates(["node"]).join(
+        nodes.select("node", "signature", "bands"), "node"), "fine")
     near = _with_both(few, fine, "fine").where(estimate(F.col("of_a"), F.col("of_b"), FINE_HASHES) >= MIN_FINE).select("a", "b")
-    every, others = _sides(partnered.join(fine, "node").join(nodes.select("node", "signature", "bands"), "node"),
-                           ("node", "component", "signature", "bands", "fine"))
+    every, others = _sides(partnered, fine)
     first = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
     meet = F.expr("component_a <> component_b and (main or node_a < node_b)") & (
-        estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE) & (first == F.col("band")) & (
+        estimate(F.col("signature_a"), F.col("signature_b")) >= MIN_ESTIMATE) & (F.col("whole") | (first == F.col("band"))) & (
         estimate(F.col("fine_a"), F.col("fine_b"), FINE_HASHES) >= MIN_FINE)
-    left = every.join(others, list(tile)).where(meet)
+    left = every.join(others, tile).where(meet)
     classes, _ = _linked(left.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).unionAll(near),
-                         nodes, docs, classes, "rest")
+                         texts, classes, "rest")
 
     named = _with_component(nodes.select("node", "digest"), classes).select("digest", "component")
     rows = signed.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
