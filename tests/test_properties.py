@@ -706,3 +706,20 @@ def test_degrees_take_one_pass(spark):
     edges = spark.createDataFrame([("a", "b", 2), ("a", "c", 3), ("b", "c", 1), ("a", "d", 4)], "user1 string, user2 string, weight long")
     got = {r.username: (r.degree, r.weighted_degree, r.degree_centrality) for r in degree_centrality(edges).collect()}
     assert got == {"a": (3, 9, 1.0), "b": (2, 3, 0.666667), "c": (2, 4, 0.666667), "d": (1, 4, 0.333333)}
+
+
+def test_searches_from_sources_make_the_edges_once(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.operators.graph import betweenness_sampled, closeness_sampled
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        made.add(1)
+        return x
+    path = [(f"n{i}", f"n{i + 1}") for i in range(5)]
+    for search in (closeness_sampled, betweenness_sampled):
+        before = made.value
+        e = spark.createDataFrame(path, "user1 string, user2 string").withColumn("user1", F.udf(mark)("user1"))
+        assert search(e, 3).count() == (3 if search is closeness_sampled else 6)
+        assert made.value - before == len(path)

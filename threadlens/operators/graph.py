@@ -339,22 +339,30 @@ def reciprocity_tiers(d: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return x.withColumn("tier", tier)
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Every edge as (a, b) and (b, a), written: each level of a search reads them, and making the
+    edges (pairs of users) is most of the work."""
+    from threadlens.session import written
+    e = written(edges.select("user1", "user2"), "graph-edges")
+    return e.select(F.col("user1").alias("a"), F.col("user2").alias("b")).unionByName(
+        e.select(F.col("user2").alias("a"), F.col("user1").alias("b")))
+
+
 def closeness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> DataFrame:
     """Closeness of the sampled source nodes (unweighted shortest paths):
     (reached − 1)/Σdist × (reached − 1)/(n − 1), the Wasserman–Faust form.
 
     Sources are the ``n_sources`` nodes with the smallest hash (deterministic).
     All sources advance together, one join per BFS level, until no frontier is
-    left (no depth cap); the visited set is checkpointed per level."""
+    left (no depth cap); the edges and every level are written once."""
     from threadlens.functions.numeric import r6
-    from threadlens.session import cut_lineage
-    und = (edges.select(F.col("user1").alias("a"), F.col("user2").alias("b"))
-           .unionByName(edges.select(F.col("user2").alias("a"), F.col("user1").alias("b"))))
-    nodes = und.select(F.col("a").alias("node")).distinct()
+    from threadlens.session import written
+    und = _both_ways(edges)
+    nodes = written(und.select(F.col("a").alias("node")).distinct(), "graph-nodes")
     n = nodes.count()
     src = (nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
            .select(F.col("node").alias("src")))
-    visited = cut_lineage(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist")))
+    visited = written(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist")), "closeness-level")
     frontier = visited
     level = 0
     while True:
@@ -362,10 +370,10 @@ def closeness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> D
         nxt = (frontier.join(und, frontier["node"] == und["a"]).select("src", F.col("b").alias("node"))
                .distinct().join(visited.select("src", "node"), ["src", "node"], "left_anti")
                .withColumn("dist", F.lit(level)))
-        nxt = cut_lineage(nxt)
+        nxt = written(nxt, "closeness-level")
         if nxt.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(nxt))
+        visited = visited.unionByName(nxt)
         frontier = nxt
     agg = visited.groupBy("src").agg(F.count(F.lit(1)).alias("reached"), F.sum("dist").alias("total_dist"))
     r = F.col("reached") - 1
@@ -383,16 +391,15 @@ def betweenness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) ->
     Σ_sources δ(v); ``normalized`` = that · n/k / ((n−1)(n−2)) as networkx's
     sampled, normalized form. Exact when every node is a source."""
     from threadlens.functions.numeric import r6
-    from threadlens.session import cut_lineage
-    und = (edges.select(F.col("user1").alias("a"), F.col("user2").alias("b"))
-           .unionByName(edges.select(F.col("user2").alias("a"), F.col("user1").alias("b"))))
-    nodes = und.select(F.col("a").alias("node")).distinct()
+    from threadlens.session import written
+    und = _both_ways(edges)
+    nodes = written(und.select(F.col("a").alias("node")).distinct(), "graph-nodes")
     n = nodes.count()
-    src = (nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
-           .select(F.col("node").alias("src")))
+    src = written(nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
+                  .select(F.col("node").alias("src")), "betweenness-sources")
     k = src.count()
-    lv = cut_lineage(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist"),
-                                F.lit(1.0).alias("sigma")))
+    lv = written(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist"),
+                            F.lit(1.0).alias("sigma")), "betweenness-level")
     levels = [lv]
     visited = lv.select("src", "node")
     d = 0
@@ -402,11 +409,11 @@ def betweenness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) ->
         nxt = (f.join(und, f["node"] == und["a"]).groupBy("src", F.col("b").alias("node"))
                .agg(F.sum("sigma").alias("sigma"))
                .join(visited, ["src", "node"], "left_anti").withColumn("dist", F.lit(d)))
-        nxt = cut_lineage(nxt.select("src", "node", "dist", "sigma"))
+        nxt = written(nxt.select("src", "node", "dist", "sigma"), "betweenness-level")
         if nxt.isEmpty():
             break
         levels.append(nxt)
-        visited = cut_lineage(visited.unionByName(nxt.select("src", "node")))
+        visited = visited.unionByName(nxt.select("src", "node"))
     delta = levels[-1].select("src", "node", "sigma", F.lit(0.0).alias("delta"))
     parts = [delta]
     for L in range(len(levels) - 2, 0, -1):
@@ -416,8 +423,8 @@ def betweenness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) ->
                    .join(w, ["src", "w"])
                    .groupBy("src", "node", "sigma").agg(
                        F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
-        delta = cut_lineage(cur.select("src", "node", "sigma").join(
-            contrib.select("src", "node", "delta"), ["src", "node"], "left").fillna(0.0, subset=["delta"]))
+        delta = written(cur.select("src", "node", "sigma").join(
+            contrib.select("src", "node", "delta"), ["src", "node"], "left").fillna(0.0, subset=["delta"]), "betweenness-delta")
         parts.append(delta)
     allp = parts[0]
     for p in parts[1:]:
