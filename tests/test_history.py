@@ -91,3 +91,23 @@ def test_clusters_are_born_merge_split_and_die(spark):
     assert got == {(0, "a"): (3, None, "goes on"), (0, "b"): (3, None, "goes on"), (0, "c"): (1, None, "death"),
                    (1, "ab"): (6, "merge", "split"), (1, "new"): (2, "birth", "goes on"),
                    (2, "left"): (3, "goes on", None), (2, "right"): (3, "goes on", None), (2, "new"): (3, "goes on", None)}
+
+
+def test_closeness_moves_a_sketch_once_to_a_block(spark, monkeypatch):
+    from threadlens.operators import sketches
+    made = {}
+
+    def kept(df, name="table"):
+        from threadlens.session import written
+        made[name] = written(df, name)
+        return made[name]
+    monkeypatch.setattr(sketches, "written", kept)
+    n, key = 150, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    e = spark.range(n).selectExpr("id as a").crossJoin(spark.range(n).selectExpr("id as b")).where("a < b")
+    e = e.selectExpr("concat('n', a) as user1", "concat('n', b) as user2")
+    got = sketches.closeness_all(e.unionByName(e.limit(10))).collect()
+    assert len(got) == n and {(r.reached, r.closeness) for r in got} == {(n - 1, 1.0)}
+    blocks = spark.sparkContext.defaultParallelism
+    assert made["closeness-near"].count() <= n * blocks and made["closeness-united"].count() == n
+    assert spark.conf.get(key) == before
