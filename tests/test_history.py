@@ -111,3 +111,21 @@ def test_closeness_moves_a_sketch_once_to_a_block(spark, monkeypatch):
     blocks = spark.sparkContext.defaultParallelism
     assert made["closeness-near"].count() <= n * blocks and made["closeness-united"].count() == n
     assert spark.conf.get(key) == before
+
+
+def test_tokens_and_ngrams_are_counted_in_the_task_of_their_user(spark, monkeypatch):
+    from threadlens.operators import text as T
+    rows = [("a", "one two one two"), ("a", "two One"), ("b", None), (None, "one two three"), (None, "one"), ("c", "x x x x")] + [
+        ("d", f"word{i % 3} and more") for i in range(9)]
+    df = spark.createDataFrame(rows, "who string, body string")
+    found = []
+    for most in (100, 1):
+        monkeypatch.setattr(T, "TASK_TEXTS", most)
+        for f in (T.keyword_repetition, T.repeated_ngrams):
+            out = f(df, "body", "who")
+            if most == 100:
+                assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+            found.append(sorted(map(tuple, out.collect()), key=str))
+    assert found[:2] == found[2:]
+    assert [r for r in found[0] if r[0] in ("a", None)] == [("a", 6, 2, 0.666667), (None, 4, 3, 0.25)]
+    assert ("a", 2, 4, 2, "one two", 2, 1.0) in found[1] and ("c", 3, 2, 1, "x x x", 2, 1.0) in found[1]
