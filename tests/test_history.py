@@ -129,3 +129,12 @@ def test_tokens_and_ngrams_are_counted_in_the_task_of_their_user(spark, monkeypa
     assert found[:2] == found[2:]
     assert [r for r in found[0] if r[0] in ("a", None)] == [("a", 6, 2, 0.666667), (None, 4, 3, 0.25)]
     assert ("a", 2, 4, 2, "one two", 2, 1.0) in found[1] and ("c", 3, 2, 1, "x x x", 2, 1.0) in found[1]
+
+
+def test_rows_are_dealt_over_tasks_before_their_texts_join(spark, tmp_path):
+    from threadlens.sources.roles import attach_text
+    spark.createDataFrame([(i, f"text {i}") for i in range(7)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = spark.range(100).coalesce(1).selectExpr("if(id = 50, null, id) as id", "'x' as body")
+    out = attach_text(spark, str(tmp_path), rows, "id", "body")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.id, r.body) for r in out.collect()} == {(None, None)} | {(i, f"text {i % 7}") for i in range(100) if i != 50}

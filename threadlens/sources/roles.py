@@ -132,12 +132,15 @@ def attach_text(spark: SparkSession, sf_dir: str, df: DataFrame, id_col: str,
 
     The document count is a parquet-footer count (no scan of the text). The
     join is an equi join on doc_id; AQE broadcasts documents only when the
-    materialised side is under the threshold, else it sort-merges.
+    materialised side is under the threshold, else it sort-merges. Rows without
+    text are small, so few tasks may hold them all; they are dealt over as many as
+    a shuffle has before the texts come in, as what follows works on every text.
     """
     n = _doc_count(f"{sf_dir}/documents.parquet")
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("_doc"), F.col("text").alias(out_col))
     keyed = df.drop(out_col).withColumn("_doc", F.pmod(F.col(id_col), F.lit(n)))
+    keyed = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_doc")   # a number, or they'd be put together again
     return keyed.join(docs, "_doc", "left").drop("_doc")
 
 
