@@ -138,3 +138,20 @@ def test_rows_are_dealt_over_tasks_before_their_texts_join(spark, tmp_path):
     out = attach_text(spark, str(tmp_path), rows, "id", "body")
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(r.id, r.body) for r in out.collect()} == {(None, None)} | {(i, f"text {i % 7}") for i in range(100) if i != 50}
+
+
+def test_texts_are_dealt_over_tasks_before_a_lexicon_table_scores_them(spark, monkeypatch):
+    from threadlens import session
+    from threadlens.functions.sentiment import LEXICON, with_compound, with_compound_table
+    parts, write = {}, session.written
+
+    def kept(df, name="table"):
+        parts[name] = df.rdd.getNumPartitions()
+        return write(df, name)
+    monkeypatch.setattr(session, "written", kept)
+    texts = ["a very good day", "not bad but GREAT!", "so sad", None, "plain words"]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(40)], "id long, t string").coalesce(1)
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "word string, val double")
+    got = {r.id: r.compound for r in with_compound_table(df, "id", "t", lexicon).collect()}
+    assert parts["tokens"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got == {r.id: r.compound for r in with_compound(df, "t").collect()}

@@ -164,10 +164,12 @@ def with_compound_table(df: DataFrame, key: str, text: str, lexicon: DataFrame,
 
     Token positions become rows with what stands before them and meet the lexicon by word. Words that
     make up more than a 1,024th of all tokens, fewer than 1,024 words, are broadcast; all others are
-    shuffled, so no word makes a task large.
+    shuffled, so no word makes a task large. Texts are dealt over as many tasks as a shuffle has before
+    they are cut, whatever files they come from; the lexicon is written once, as it is read twice.
     """
     from threadlens.session import written
-    x = df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where("_id is not null")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where("_id is not null").repartition(tasks, "_id")
     x = x.withColumn("_raw", raw_tokens("_t")).withColumn("_toks", F.transform("_raw", lambda w: F.lower(w)))
     x = x.withColumn("_mixed", F.exists("_raw", _loud) & F.exists("_raw", lambda w: ~_loud(w)))
     x = x.withColumn("_but", F.array_position("_toks", "but") - 1)
@@ -185,7 +187,7 @@ def with_compound_table(df: DataFrame, key: str, text: str, lexicon: DataFrame,
         F.col("i") > F.col("_but"), F.lit(BUT_AFTER)).otherwise(F.lit(1.0))
     tokens_ = written(each.select("_id", "word", (lift + caps).alias("_add"),
                                   (F.when(negated, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0)) * at).alias("_by")), "tokens")
-    lex = lexicon.where("word is not null").groupBy("word").agg(F.avg("val").alias("_v"))
+    lex = written(lexicon.where("word is not null").groupBy("word").agg(F.avg("val").alias("_v")), "lexicon")
     counts = tokens_.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") * 1024 > tokens_.count()).select("word")
     hot = written(hot, "hot-words")

@@ -60,7 +60,8 @@ SELECT doc_id, compound FROM sent"""))
 def i1_table_sentiment(spark, sf_dir):
     """Sentiment by a lexicon table: all words of two documents or more, with a value by their form."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = d.select("doc_id", F.explode(F.transform(raw_tokens("text"), lambda w: F.lower(w))).alias("word"))
+    dealt = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    w = dealt.select("doc_id", F.explode(F.transform(raw_tokens("text"), lambda w: F.lower(w))).alias("word"))
     n = w.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     lexicon = n.select("word", (((F.length("word") * 7 + F.ascii("word")) % 9 - 4) / F.lit(2.0)).alias("val")).where("val <> 0")
     return with_compound_table(d, "doc_id", "text", lexicon).select("doc_id", "compound")
