@@ -97,3 +97,37 @@ def test_modularity_passes_over_the_edges_once(spark):
         want += inner / m2 - (sum(deg[n] for n in mine) / m2) ** 2
     assert abs(got - want) < 1e-9
     assert made.value == len(es)
+
+
+def test_searches_meet_an_edge_once_for_all_sources(spark, monkeypatch):
+    """Rows of a level's join are edges, not edges times sources; many sources take several rows a node."""
+    from threadlens.operators import graph as G
+    rnd = random.Random(8)
+    names = [f"n{i}" for i in range(40)]
+    es = sorted({tuple(sorted(rnd.sample(names, 2))) for _ in range(260)}) + [("x", "y")]
+    e = spark.createDataFrame(es, "user1 string, user2 string")
+    near = defaultdict(set)
+    for a, b in es:
+        near[a].add(b)
+        near[b].add(a)
+    met, kept = [], G._around
+
+    def around(und, held):
+        out = kept(und, held)
+        node = held.select("node").distinct()
+        met.append(und.join(node, und["a"] == node["node"]).count())
+        assert out.count() <= len(near) * 40
+        return out
+    monkeypatch.setattr(G, "_around", around)
+    for limit in (G.SENT_NODES, 0):
+        monkeypatch.setattr(G, "SENT_NODES", limit)
+        got = {r.username: (r.reached, r.total_dist) for r in G.closeness_sampled(e, 40).collect()}
+        assert len(got) == 40
+        for s, (reached, total) in got.items():
+            dist, at = {s: 0}, [s]
+            for v in at:
+                for w in sorted(near[v] - dist.keys()):
+                    dist[w] = dist[v] + 1
+                    at.append(w)
+            assert (reached, total) == (len(dist), sum(dist.values()))
+    assert met and max(met) <= 2 * len(es)

@@ -21,6 +21,8 @@ MAX_TILE_TASKS = 4096     # tasks for pairs of users; beyond it a task takes sev
 DENSE = 0.25              # candidates a pair of users from which a tile counts by matrices
 TILE_ENTRIES = 2_000_000  # users of threads in a block of such a tile
 TILES_OF_TASK = 4         # such tiles one task takes
+WIDE = 16                 # sources of a search whose values at a node are one row
+SENT_NODES = 250_000      # such rows (about 40 MB) that go to the edges; more are met by a shuffle
 
 
 def interactions(forum: Forum, start, end, communities: Sequence[str] | None = None,
@@ -389,34 +391,57 @@ def _both_ways(edges: DataFrame) -> DataFrame:
         e.select(F.col("user2").alias("a"), F.col("user1").alias("b")))
 
 
+def _sources(nodes: DataFrame, n_sources: int, seed: int) -> DataFrame:
+    """(src, pos): the ``n_sources`` nodes with the smallest hash (deterministic) and their places from 0."""
+    from threadlens.session import written
+    src = nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
+    place = F.row_number().over(Window.orderBy("_h", "node")) - 1
+    return written(src.select(F.col("node").alias("src"), place.alias("pos")), "sources")
+
+
+def _around(und: DataFrame, held: DataFrame) -> DataFrame:
+    """(pos, node, value): for every source ``pos`` the sum of the values ``held`` (pos, node, value > 0) by a node's
+    neighbours, where there is one. A node's values of ``WIDE`` sources are one row, so an edge is met once for all
+    of them and not once a source; few such rows go to the edges."""
+    from threadlens.session import written
+    slot = F.pmod("pos", F.lit(WIDE))
+    wide = written(held.groupBy("node", F.floor(F.col("pos") / WIDE).cast("int").alias("part")).agg(
+        *[F.sum(F.when(slot == i, F.col("value"))).alias(f"v{i}") for i in range(WIDE)]), "values-at-nodes")
+    if wide.count() <= SENT_NODES:
+        wide = F.broadcast(wide)
+    sums = und.join(wide, und["a"] == wide["node"]).groupBy("part", F.col("b").alias("node")).agg(
+        *[F.sum(f"v{i}").alias(f"v{i}") for i in range(WIDE)])
+    one = F.explode(F.array(*[F.struct((F.col("part") * WIDE + i).alias("pos"), F.col(f"v{i}").alias("value")) for i in range(WIDE)]))
+    return sums.select("node", one.alias("x")).select("x.pos", "node", "x.value").where("value is not null")
+
+
 def closeness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> DataFrame:
     """Closeness of the sampled source nodes (unweighted shortest paths):
     (reached − 1)/Σdist × (reached − 1)/(n − 1), the Wasserman–Faust form.
 
     Sources are the ``n_sources`` nodes with the smallest hash (deterministic).
-    All sources advance together, one join per BFS level, until no frontier is
-    left (no depth cap); the edges and every level are written once."""
+    All sources advance together, one pass over the edges per BFS level, until no frontier is
+    left (no depth cap) or every node is reached; the edges and every level are written once."""
     from threadlens.functions.numeric import r6
     from threadlens.session import written
     und = _both_ways(edges)
     nodes = written(und.select(F.col("a").alias("node")).distinct(), "graph-nodes")
     n = nodes.count()
-    src = (nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
-           .select(F.col("node").alias("src")))
-    visited = written(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist")), "closeness-level")
-    frontier = visited
-    level = 0
-    while True:
+    src = _sources(nodes, n_sources, seed)
+    visited = written(src.select("pos", F.col("src").alias("node"), F.lit(0).alias("dist")), "closeness-level")
+    frontier, found, level = visited, src.count(), 0
+    every = n * found
+    while found < every:
         level += 1
-        nxt = (frontier.join(und, frontier["node"] == und["a"]).select("src", F.col("b").alias("node"))
-               .distinct().join(visited.select("src", "node"), ["src", "node"], "left_anti")
-               .withColumn("dist", F.lit(level)))
+        nxt = _around(und, frontier.select("pos", "node", F.lit(1.0).alias("value"))).select("pos", "node").join(
+            visited.select("pos", "node"), ["pos", "node"], "left_anti").withColumn("dist", F.lit(level))
         nxt = written(nxt, "closeness-level")
-        if nxt.isEmpty():
+        new = nxt.count()
+        if not new:
             break
-        visited = visited.unionByName(nxt)
+        visited, found = visited.unionByName(nxt), found + new
         frontier = nxt
-    agg = visited.groupBy("src").agg(F.count(F.lit(1)).alias("reached"), F.sum("dist").alias("total_dist"))
+    agg = visited.groupBy("pos").agg(F.count(F.lit(1)).alias("reached"), F.sum("dist").alias("total_dist")).join(src, "pos")
     r = F.col("reached") - 1
     return agg.select(F.col("src").alias("username"), "reached", "total_dist",
                       r6(F.when(F.col("total_dist") > 0, r / F.col("total_dist") * r / F.lit(float(max(n - 1, 1))))
@@ -426,9 +451,9 @@ def closeness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> D
 def betweenness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) -> DataFrame:
     """Betweenness from sampled sources (Brandes), unweighted.
 
-    Forward: all sources advance one BFS level per join, carrying σ (number of
+    Forward: all sources advance one BFS level per pass over the edges, carrying σ (number of
     shortest paths). Backward: levels are processed from the deepest up,
-    δ(v) = Σ_{w: v→w, d(w)=d(v)+1} σ(v)/σ(w)·(1 + δ(w)). Betweenness(v) =
+    δ(v) = σ(v) · Σ_{w: v→w, d(w)=d(v)+1} (1 + δ(w))/σ(w). Betweenness(v) =
     Σ_sources δ(v); ``normalized`` = that · n/k / ((n−1)(n−2)) as networkx's
     sampled, normalized form. Exact when every node is a source."""
     from threadlens.functions.numeric import r6
@@ -436,36 +461,25 @@ def betweenness_sampled(edges: DataFrame, n_sources: int = 16, seed: int = 7) ->
     und = _both_ways(edges)
     nodes = written(und.select(F.col("a").alias("node")).distinct(), "graph-nodes")
     n = nodes.count()
-    src = written(nodes.withColumn("_h", F.xxhash64("node", F.lit(seed))).orderBy("_h", "node").limit(n_sources)
-                  .select(F.col("node").alias("src")), "betweenness-sources")
+    src = _sources(nodes, n_sources, seed)
     k = src.count()
-    lv = written(src.select("src", F.col("src").alias("node"), F.lit(0).alias("dist"),
-                            F.lit(1.0).alias("sigma")), "betweenness-level")
+    lv = written(src.select("pos", F.col("src").alias("node"), F.lit(1.0).alias("sigma")), "betweenness-level")
     levels = [lv]
-    visited = lv.select("src", "node")
-    d = 0
-    while True:
-        d += 1
-        f = levels[-1]
-        nxt = (f.join(und, f["node"] == und["a"]).groupBy("src", F.col("b").alias("node"))
-               .agg(F.sum("sigma").alias("sigma"))
-               .join(visited, ["src", "node"], "left_anti").withColumn("dist", F.lit(d)))
-        nxt = written(nxt.select("src", "node", "dist", "sigma"), "betweenness-level")
-        if nxt.isEmpty():
+    visited, found = lv.select("pos", "node"), k
+    while found < n * k:
+        nxt = _around(und, levels[-1].withColumnRenamed("sigma", "value")).withColumnRenamed("value", "sigma")
+        nxt = written(nxt.join(visited, ["pos", "node"], "left_anti").select("pos", "node", "sigma"), "betweenness-level")
+        new = nxt.count()
+        if not new:
             break
         levels.append(nxt)
-        visited = visited.unionByName(nxt.select("src", "node"))
-    delta = levels[-1].select("src", "node", "sigma", F.lit(0.0).alias("delta"))
+        visited, found = visited.unionByName(nxt.select("pos", "node")), found + new
+    delta = levels[-1].select("pos", "node", "sigma", F.lit(0.0).alias("delta"))
     parts = [delta]
     for L in range(len(levels) - 2, 0, -1):
-        cur = levels[L]
-        w = delta.select("src", F.col("node").alias("w"), F.col("sigma").alias("sw"), F.col("delta").alias("dw"))
-        contrib = (cur.join(und, cur["node"] == und["a"]).select("src", "node", "sigma", F.col("b").alias("w"))
-                   .join(w, ["src", "w"])
-                   .groupBy("src", "node", "sigma").agg(
-                       F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
-        delta = written(cur.select("src", "node", "sigma").join(
-            contrib.select("src", "node", "delta"), ["src", "node"], "left").fillna(0.0, subset=["delta"]), "betweenness-delta")
+        share = delta.select("pos", "node", ((1 + F.col("delta")) / F.col("sigma")).alias("value"))
+        delta = written(levels[L].join(_around(und, share), ["pos", "node"], "left").select(
+            "pos", "node", "sigma", F.coalesce(F.col("sigma") * F.col("value"), F.lit(0.0)).alias("delta")), "betweenness-delta")
         parts.append(delta)
     allp = parts[0]
     for p in parts[1:]:
