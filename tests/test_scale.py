@@ -131,3 +131,28 @@ def test_searches_meet_an_edge_once_for_all_sources(spark, monkeypatch):
                     at.append(w)
             assert (reached, total) == (len(dist), sum(dist.values()))
     assert met and max(met) <= 2 * len(es)
+
+
+@pytest.mark.parametrize("most", [1024, 5])
+def test_ngrams_of_a_user_are_counted_as_numbers(spark, monkeypatch, most):
+    """Users whose texts fit make no row an n-gram; ties go to the smallest n-gram as text, over texts none is made."""
+    from threadlens.operators import text as T
+    monkeypatch.setattr(T, "TASK_TEXTS", most)
+    rnd = random.Random(4)
+    words = ["a", "ab", "b", "é", "zz", "中", "c", "ba"]
+    rows = [(rnd.choice(["u", "v", "w", None]), " ".join(rnd.choices(words, k=rnd.randrange(9)))) for _ in range(40)]
+    rows += [("one", "x"), ("none", ""), ("null", None), ("tie", "b a"), ("tie", "a b")]
+    out = T.repeated_ngrams(spark.createDataFrame(rows, "who string, t string"), "t", "who", 4)
+    if most == 1024:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "FlatMapGroupsInArrow" in plan
+    want = set()
+    for who in {u for u, _ in rows}:
+        texts = [t.split() for u, t in rows if u == who and t]
+        for n in range(1, 5):
+            c = Counter(" ".join(t[i:i + n]) for t in texts for i in range(len(t) - n + 1))
+            if c:
+                top = min(c, key=lambda g: (-c[g], g.encode()))
+                again = sum(v for v in c.values() if v > 1)
+                want.add((who, n, sum(c.values()), len(c), top, c[top], int(again / sum(c.values()) * 1e6 + 0.5) / 1e6))
+    assert set(map(tuple, out.collect())) == want
