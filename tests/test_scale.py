@@ -156,3 +156,35 @@ def test_ngrams_of_a_user_are_counted_as_numbers(spark, monkeypatch, most):
                 again = sum(v for v in c.values() if v > 1)
                 want.add((who, n, sum(c.values()), len(c), top, c[top], int(again / sum(c.values()) * 1e6 + 0.5) / 1e6))
     assert set(map(tuple, out.collect())) == want
+
+
+@pytest.mark.parametrize("t", [0.8, 0.3])
+def test_near_duplicates_move_few_sets(spark, monkeypatch, t):
+    """Sets that share one rare word are no candidates; all near-duplicates are found, whatever the order of tokens."""
+    from threadlens.operators import text as T
+    monkeypatch.setattr(T, "SLOTS", 8)            # slots that many tokens share: any order will do
+    rnd = random.Random(6)
+    words = ["w" + "".join(rnd.choices("abcdefgh", k=3)) for _ in range(300)]
+    sets = {i: set(rnd.sample(words, rnd.randrange(1, 30))) for i in range(120)}
+    for i in range(120, 170):
+        near = set(sets[i - 100])
+        near ^= set(rnd.sample(words, rnd.randrange(0, 4)))
+        sets[i] = near or {"alone"}
+    for i in range(170, 230):
+        sets[i] = {"rare", *(f"x{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}{'q' * (i - 169)}" for k in range(20))}
+    kept, moved = T._prefixes, []
+
+    def prefixes(s, id_col, threshold):
+        assert s.columns == [id_col, "words"]
+        out = kept(s, id_col, threshold)
+        moved.append(out)
+        return out
+    monkeypatch.setattr(T, "_prefixes", prefixes)
+    df = spark.createDataFrame([(i, " ".join(rnd.sample(sorted(s), len(s)))) for i, s in sets.items()], "id long, t string")
+    got = {(r.id_a, r.id_b) for r in T.near_duplicates(df, "id", "t", t).where("kind = 'near'").collect()}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12}
+    texts = defaultdict(list)
+    for (i, s), r in zip(sets.items(), df.collect()):
+        texts[r.t].append(i)
+    alike = {i for x in texts.values() for i in sorted(x)[1:]}
+    assert got == {p for p in want if not alike & set(p)} and got and moved
