@@ -188,3 +188,19 @@ def test_near_duplicates_move_few_sets(spark, monkeypatch, t):
         texts[r.t].append(i)
     alike = {i for x in texts.values() for i in sorted(x)[1:]}
     assert got == {p for p in want if not alike & set(p)} and got and moved
+
+
+def test_texts_move_packed(spark):
+    """What moves to a user's task is a fraction of the texts."""
+    from threadlens.operators import text as T
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(400)]
+    rows = [(f"u{i % 7}", " ".join(rnd.choices(words, k=600))) for i in range(60)] + [("u1", None), ("empty", "12 34"), (None, "a b")]
+    df = spark.createDataFrame(rows, "who string, t string")
+    seen = T._packed(df.select("who", T.clean_tokens("t").alias("w")), "who", F.array_distinct("w"), F.size("w"))
+    assert seen.agg(F.sum(F.length("packed"))).first()[0] < 0.6 * sum(len(t or "") for _, t in rows)
+    got = {(r.who, r.n_tokens, r.n_distinct) for r in T.keyword_repetition(df, "t", "who").collect()}
+    by = defaultdict(list)
+    for who, t in rows:
+        by[who] += [w for w in (t or "").split() if w.isalpha()]
+    assert got == {(who, len(x), len(set(x))) for who, x in by.items() if x}
