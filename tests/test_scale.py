@@ -204,3 +204,19 @@ def test_texts_move_packed(spark):
     for who, t in rows:
         by[who] += [w for w in (t or "").split() if w.isalpha()]
     assert got == {(who, len(x), len(set(x))) for who, x in by.items() if x}
+
+
+def test_small_graphs_of_many_take_one_task_each(spark, monkeypatch):
+    """Graphs that fit in a task come out as by rounds over all of them, beside those that don't."""
+    from threadlens.operators import louvain as L
+    rnd = random.Random(12)
+    rows = []
+    for g, (n, m) in {"a": (24, 60), "b": (40, 70), "c": (12, 50), "d": (30, 45), "e": (2, 1)}.items():
+        rows += [(g, f"n{u}", f"n{v}", float(rnd.randrange(1, 4))) for u, v in sorted({tuple(rnd.sample(range(n), 2)) for _ in range(m)})]
+    rows += [("a", "n1", "n1", 2.0), ("a", "n1", None, 1.0), (None, "x", "y", 1.0)]
+    df = spark.createDataFrame(rows, "g string, user1 string, user2 string, w double")
+    found = []
+    for most in (1_000_000, 95):
+        monkeypatch.setattr(L, "TASK_ENTRIES", most)
+        found.append({(r.g, r.node): r.community for r in L.louvain(df, w="w", group="g").collect()})
+    assert found[0] == found[1] and {g for g, _ in found[0]} == set("abcde")
